@@ -180,7 +180,7 @@ class PrefixBlocker:
     def block(self, left, right, id_col, cols):
         def first(df):
             n = normalize_records(df, id_col, cols, self.stem)
-            return n.select("id", split_by_space("value").getItem(0).alias("w"))
+            return n.select("id", F.try_element_at(split_by_space("value"), F.lit(1)).alias("w"))
         lf = first(left).withColumnRenamed("id", "id_l")
         rf = first(right).withColumnRenamed("id", "id_r")
         return lf.join(rf, "w").select("id_l", "id_r")
