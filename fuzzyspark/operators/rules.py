@@ -32,7 +32,7 @@ def learn(ll_pairs: DataFrame, lsets: DataFrame) -> DataFrame:
     """Rules ``(a, b)`` in both orientations from LL candidate pairs."""
     d = (_pair_diffs(ll_pairs, lsets, lsets)
          .where((F.size("dl") == 1) & (F.size("dr") == 1) & (F.size("tl") != 1))
-         .select(F.col("dl")[0].alias("a"), F.col("dr")[0].alias("b")))
+         .select(F.try_element_at("dl", F.lit(1)).alias("a"), F.try_element_at("dr", F.lit(1)).alias("b")))
     return d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
