@@ -56,12 +56,15 @@ def config_gains(G: DataFrame, selected) -> list:
         ltype = G.schema["m"].dataType.valueType["l"].dataType
         cands = F.array().cast(T.ArrayType(ltype))
     base = G.select(p_cur.alias("p_cur"), cands.alias("cands"), F.explode("m").alias("j", "v"))
-    x = (base.select("j", F.col("v.l").alias("l"), "p_cur", "cands",
-                     F.posexplode("v.ps").alias("t", "p"))
+    # "is l new for r" is decided once per (r, jf) entry, before the
+    # per-threshold explode, so the candidate list is not copied T times.
+    per_jf = base.select("j", "p_cur", F.col("v.ps").alias("ps"),
+                         F.when(F.array_contains("cands", F.col("v.l")), 0).otherwise(1).alias("dn"))
+    x = (per_jf.select("j", "p_cur", "dn", F.posexplode("ps").alias("t", "p"))
          .where(F.col("p").isNotNull()))
     agg = x.groupBy("j", "t").agg(
         F.sum(F.greatest(F.col("p") - F.col("p_cur"), F.lit(0.0))).alias("dtp"),
-        F.sum(F.when(F.array_contains("cands", F.col("l")), 0).otherwise(1)).alias("dn"))
+        F.sum("dn").alias("dn"))
     return sorted((r["j"], r["t"], r["dtp"], r["dn"]) for r in agg.collect())
 
 
@@ -121,7 +124,9 @@ def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
 def materialize_G(G: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Persist G and cut its lineage once (reliable checkpoint)."""
     if checkpoint:
-        return reliable_checkpoint(G.repartition("id_r"))
+        g = reliable_checkpoint(G.repartition("id_r")).persist(StorageLevel.MEMORY_AND_DISK)
+        g.count()
+        return g
     g = G.persist(StorageLevel.MEMORY_AND_DISK)
     g.count()
     return g

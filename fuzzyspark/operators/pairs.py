@@ -133,12 +133,43 @@ class PairSpace:
         j = (pairs.withColumn("need", F.when(F.col("side") == "LL", "L").otherwise("R"))
              .join(lrec, F.col("id_l") == F.col("l.id"))
              .join(rrec, (F.col("id_r") == F.col("r.id")) & (F.col("need") == F.col("r.rside"))))
-        cols = [F.col("side"), F.col("id_l"), F.col("id_r")]
-        lstruct, rstruct = _StructView("l"), _StructView("r")
+        # Stage 1: each record's profile for every (group, column) is looked
+        # up once; stage 2: pair stats (the token intersection) once per
+        # (group, column); stage 3: every distance as arithmetic on those.
+        # Separate projections keep Catalyst from re-inlining the shared
+        # non-cheap expressions into each distance.
+        keys = sorted({(_key(jf.group, ci), jf.group, ci) for jf in self.builtin if jf.is_set
+                       for ci in range(len(self.cols))})
+        kix = {k: i for i, (k, _, _) in enumerate(keys)}
+        strs = sorted({self._pcol(jf.preprocess, ci) for jf in self.builtin if not jf.is_set
+                       for ci in range(len(self.cols))})
+        stage1 = [F.col("side"), F.col("id_l"), F.col("id_r")]
+        for k, i in kix.items():
+            stage1.append(F.try_element_at(F.col("l.prof"), F.lit(k)).alias(f"pl{i}"))
+            stage1.append(F.try_element_at(F.col("r.prof"), F.lit(k)).alias(f"pr{i}"))
+        for c in strs:
+            stage1 += [F.col(f"l.{c}").alias(f"l_{c}"), F.col(f"r.{c}").alias(f"r_{c}")]
+        for ci in range(len(self.cols)):
+            if self.custom:
+                stage1 += [F.col(f"l.v_{ci}").alias(f"l_v_{ci}"), F.col(f"r.v_{ci}").alias(f"r_v_{ci}")]
+        s1 = j.select(*stage1)
+        keep = [c for c in s1.columns]
+        s2 = s1.select(*keep, *[D.pair_stats(F.col(f"pl{i}"), F.col(f"pr{i}")).alias(f"st{i}")
+                               for i in kix.values()])
+        out = [F.col("side"), F.col("id_l"), F.col("id_r")]
         for name, _, ci in self.dist_columns():
             fi = int(name[1:].split("_")[0])
-            cols.append(F.round(self._expr(self.jfs[fi], ci, lstruct, rstruct), D.DIST_DIGITS).alias(name))
-        wide = j.select(*cols)
+            jf = self.jfs[fi]
+            if not isinstance(jf, JoinFunction):
+                e = jf.distance(F.col(f"l_v_{ci}"), F.col(f"r_v_{ci}")).cast("double")
+            elif jf.is_set:
+                i = kix[_key(jf.group, ci)]
+                e = D.set_distance(jf.distance, F.col(f"pl{i}"), F.col(f"pr{i}"), F.col(f"st{i}"))
+            else:
+                c = self._pcol(jf.preprocess, ci)
+                e = D.char_distance(jf.distance, F.col(f"l_{c}"), F.col(f"r_{c}"))
+            out.append(F.round(e, D.DIST_DIGITS).alias(name))
+        wide = s2.select(*out)
         return fill_nulls(wide, [c for c, _, _ in self.dist_columns()]) if fill else wide
 
     def unpersist(self):
