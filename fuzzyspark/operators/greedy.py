@@ -11,6 +11,7 @@ task.  No per-iteration state table, no lineage growth.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -23,49 +24,94 @@ from fuzzyspark.session import reliable_checkpoint
 PATIENCE = 0.05
 
 
-def _sel_literal(selected: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t).alias("t"), F.lit(k).alias("k"))
+def densify(G: DataFrame) -> DataFrame:
+    """Map layout ``m: map<j, struct<l, ps>>`` → dense layout
+    ``ls: array<l>`` (|JF|) and ``ps: array<double>`` (|JF|·T, config
+    c = j·T + t), which the per-iteration scan explodes inside codegen."""
+    if "ps" in G.columns:
+        return G
+    sizes = G.select(F.max(F.array_max(F.map_keys("m"))).alias("nj"),
+                     F.max(F.array_max(F.transform(F.map_values("m"), lambda v: F.size(v["ps"])))).alias("nt")).first()
+    nj, nt = int(sizes["nj"] or 0) + 1, int(sizes["nt"] or 0)
+    m = F.col("m")
+    ls = F.transform(F.sequence(F.lit(0), F.lit(nj - 1)), lambda j: F.try_element_at(m, j)["l"])
+    pad = lambda j: F.coalesce(F.try_element_at(m, j)["ps"], F.array().cast("array<double>"))
+    ps = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(nj - 1)), lambda j: F.concat(
+        pad(j), F.array_repeat(F.lit(None).cast("double"), F.lit(nt) - F.size(pad(j))))))
+    return G.select("id_r", ls.alias("ls"), ps.alias("ps"), F.lit(nt).alias("nt"))
+
+
+def _dims(G: DataFrame) -> tuple[int, int]:
+    """(T, |JF|) of a dense G."""
+    r = G.select("nt", F.size("ls").alias("nj")).head(1)
+    return (int(r[0]["nt"]), int(r[0]["nj"])) if r else (1, 0)
+
+
+def _nt(G: DataFrame) -> int:
+    return _dims(G)[0]
+
+
+def _sel_literal(selected: list[tuple[int, int]], nt: int) -> Column:
+    return F.array(*[F.struct(F.lit(j * nt + t).alias("c"), F.lit(j).alias("j"), F.lit(k).alias("k"))
                      for k, (j, t) in enumerate(selected)])
 
 
-def _p_at(m: Column, s: Column) -> Column:
-    return F.try_element_at(F.try_element_at(m, s["j"])["ps"], s["t"] + 1)
+def _p_at(s: Column) -> Column:
+    return F.try_element_at(F.col("ps"), s["c"] + 1)
 
 
-def _l_at(m: Column, s: Column) -> Column:
-    return F.try_element_at(m, s["j"])["l"]
+def _l_at(s: Column) -> Column:
+    return F.try_element_at(F.col("ls"), s["j"] + 1)
 
 
-def state_columns(selected):
+def state_columns(selected, nt: int):
     """(p_cur, cands) of every r after ``selected``."""
-    m = F.col("m")
     if not selected:
         return F.lit(0.0), None
-    sel = _sel_literal(selected)
-    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda s: _p_at(m, s))), F.lit(0.0))
-    cands = F.filter(F.transform(sel, lambda s: F.when(_p_at(m, s).isNotNull(), _l_at(m, s))),
+    sel = _sel_literal(selected, nt)
+    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda s: _p_at(s))), F.lit(0.0))
+    cands = F.filter(F.transform(sel, lambda s: F.when(_p_at(s).isNotNull(), _l_at(s))),
                      lambda x: x.isNotNull())
     return p_cur, cands
 
 
-def config_gains(G: DataFrame, selected) -> list:
+def _flat_state(selected, nt: int, ltype):
+    """(p_cur, cands) as flat expressions (whole-stage codegen).
+
+    ps of one jf is non-null exactly from the first threshold ≥ d on, so
+    "r has a proposal from jf js" is one null test at the largest selected
+    threshold of js; the proposed l's of those jfs are r's candidates."""
+    ps, ls = F.col("ps"), F.col("ls")
+    if not selected:
+        return F.lit(0.0), F.array().cast(T.ArrayType(ltype))
+    vals = [F.element_at(ps, j * nt + t + 1) for j, t in selected]
+    p_cur = F.coalesce(vals[0] if len(vals) == 1 else F.greatest(*vals), F.lit(0.0))
+    tmax = {}
+    for j, t in selected:
+        tmax[j] = max(t, tmax.get(j, -1))
+    cands = F.array(*[F.when(F.element_at(ps, js * nt + t + 1).isNotNull(), F.element_at(ls, js + 1))
+                      for js, t in sorted(tmax.items())])
+    return p_cur, cands
+
+
+def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
     """Per config (j, t): ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed
-    l is new for r.  Returns the small aggregate as rows."""
-    p_cur, cands = state_columns(selected)
-    if cands is None:
-        ltype = G.schema["m"].dataType.valueType["l"].dataType
-        cands = F.array().cast(T.ArrayType(ltype))
-    base = G.select(p_cur.alias("p_cur"), cands.alias("cands"), F.explode("m").alias("j", "v"))
-    # "is l new for r" is decided once per (r, jf) entry, before the
-    # per-threshold explode, so the candidate list is not copied T times.
-    per_jf = base.select("j", "p_cur", F.col("v.ps").alias("ps"),
-                         F.when(F.array_contains("cands", F.col("v.l")), 0).otherwise(1).alias("dn"))
-    x = (per_jf.select("j", "p_cur", "dn", F.posexplode("ps").alias("t", "p"))
-         .where(F.col("p").isNotNull()))
-    agg = x.groupBy("j", "t").agg(
-        F.sum(F.greatest(F.col("p") - F.col("p_cur"), F.lit(0.0))).alias("dtp"),
-        F.sum("dn").alias("dn"))
-    return sorted((r["j"], r["t"], r["dtp"], r["dn"]) for r in agg.collect())
+    l is new for r.  Returns the small aggregate as rows.
+
+    The state is evaluated once per r inside an ``inline`` generator (a
+    plain projection would be pushed past the explode and re-evaluated per
+    row); the per-config arithmetic after ``posexplode`` is codegen'd."""
+    G = densify(G)
+    nt = nt or _nt(G)
+    p_cur, cands = _flat_state(selected, nt, G.schema["ls"].dataType.elementType)
+    st = G.select(F.inline(F.array(F.struct(p_cur.alias("pc"), cands.alias("cs"), "ls", "ps"))))
+    owner = F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
+    x = (st.select("pc", "cs", "ls", F.posexplode("ps").alias("c", "p"))
+         .where(F.col("p").isNotNull())
+         .select("c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"),
+                 F.when(F.array_contains("cs", owner), 0).otherwise(1).alias("dn")))
+    agg = x.groupBy("c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn"))
+    return sorted((r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg.collect())
 
 
 @dataclass
@@ -81,13 +127,40 @@ class GreedyResult:
         return self.selected[: self.n_keep] if self.n_keep else None
 
 
+@contextmanager
+def small_aggregate_conf(spark, partitions: int = 4):
+    """The per-iteration aggregate holds at most |JF|·T rows, so its shuffle
+    gets a few fixed partitions and no adaptive re-planning (which costs
+    more than the job itself at that size).  Restored on exit."""
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE,
                max_iter: int = 10_000) -> GreedyResult:
+    with small_aggregate_conf(G.sparkSession):
+        return _run_greedy(densify(G), target, patience, max_iter)
+
+
+def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int) -> GreedyResult:
+    nt = _nt(G)
+    if nt == 1 and not G.head(1):
+        return GreedyResult()
     res = GreedyResult()
     tp, n = 0.0, 0
     for _ in range(max_iter):
         best = None
-        for j, t, dtp, dn in config_gains(G, res.selected):
+        for j, t, dtp, dn in config_gains(G, res.selected, nt):
             if dn == 0:
                 continue
             tpn, nn = tp + dtp, n + dn
@@ -111,10 +184,11 @@ def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE,
 def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
     """Per r the l of the config with the highest local precision, earliest
     config on ties: ``(id_l, id_r, p)``."""
-    m = F.col("m")
-    sel = _sel_literal(configs)
+    G = densify(G)
+    nt = _nt(G)
+    sel = _sel_literal(configs, nt)
     cand = F.filter(F.transform(sel, lambda s: F.struct(
-        _p_at(m, s).alias("p"), (-s["k"]).alias("nk"), _l_at(m, s).alias("l"))),
+        _p_at(s).alias("p"), (-s["k"]).alias("nk"), _l_at(s).alias("l"))),
         lambda x: x["p"].isNotNull())
     best = F.array_max(cand)
     return (G.select("id_r", best.alias("b")).where(F.col("b").isNotNull())
@@ -123,6 +197,7 @@ def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
 
 def materialize_G(G: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Persist G and cut its lineage once (reliable checkpoint)."""
+    G = densify(G)
     if checkpoint:
         g = reliable_checkpoint(G.repartition("id_r")).persist(StorageLevel.MEMORY_AND_DISK)
         g.count()
