@@ -3,7 +3,7 @@
 Set-based distances read two token *profiles* (one per record, built once
 per preprocess/tokenize/weight group by :mod:`fuzzyspark.operators.pairs`):
 
-    struct<tw: map<token, weight>, tc: map<token, count>, n: int, s: double, nrm: double>
+    struct<tk: array<"token\x01weight">, dup: map<encoded token, count > 1>, n: int, s: double, nrm: double>
 
 so that every pair needs only one pass over the left record's tokens.
 Let I = Σ w over X∩Y, sx, sy = Σ w over X, Y, U = sx + sy − I, ε = 1e-9.
@@ -20,17 +20,23 @@ EPS = 1e-9
 DIST_DIGITS = 9
 
 
-def _inter(pl: Column, pr: Column) -> Column:
-    return F.filter(F.map_keys(pl["tw"]), lambda k: F.map_contains_key(pr["tw"], k))
+SEP = "\u0001"
 
 
-def pair_stats(pl: Column, pr: Column) -> Column:
-    """struct(ni, I, dot) for two profiles."""
-    inter = _inter(pl, pr)
-    i_sum = F.aggregate(inter, F.lit(0.0), lambda a, k: a + F.element_at(pl["tw"], k))
-    dot = F.aggregate(inter, F.lit(0.0), lambda a, k: a + F.element_at(pl["tw"], k)
-                      * F.element_at(pl["tw"], k) * F.element_at(pl["tc"], k)
-                      * F.element_at(pr["tc"], k))
+def _w(x: Column) -> Column:
+    return F.substring_index(x, SEP, -1).cast("double")
+
+
+def pair_stats(pl: Column, pr: Column, with_dot: bool = True) -> Column:
+    """struct(ni, I, dot) for two profiles: one hash intersection of the
+    encoded token arrays, then sums over the shared tokens only."""
+    inter = F.array_intersect(pl["tk"], pr["tk"])
+    i_sum = F.aggregate(inter, F.lit(0.0), lambda a, x: a + _w(x))
+    if with_dot:
+        cnt = lambda p, x: F.coalesce(F.try_element_at(p["dup"], x), F.lit(1))
+        dot = F.aggregate(inter, F.lit(0.0), lambda a, x: a + _w(x) * _w(x) * cnt(pl, x) * cnt(pr, x))
+    else:
+        dot = F.lit(0.0)
     return F.struct(F.size(inter).alias("ni"), i_sum.alias("I"), dot.alias("dot"))
 
 

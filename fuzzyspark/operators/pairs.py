@@ -41,6 +41,7 @@ class PairSpace:
         self.groups = sorted({j.group for j in self.builtin if j.is_set},
                              key=lambda g: (g[0], g[1], g[2] or ""))
         self.n_left = None
+        self._persisted = []
         base = self._records(left, "L").unionByName(self._records(right, "R"))
         if persist:
             base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -64,7 +65,7 @@ class PairSpace:
     def _with_profiles(self, base: DataFrame) -> DataFrame:
         if not self.groups:
             return base.withColumn("prof", F.create_map().cast(
-                "map<string,struct<tw:map<string,double>,tc:map<string,int>,n:int,s:double,nrm:double>>"))
+                "map<string,struct<tk:array<string>,dup:map<string,int>,n:int,s:double,nrm:double>>"))
         lists = []
         for g in self.groups:
             pre, tok, _ = g
@@ -87,14 +88,19 @@ class PairSpace:
         else:
             w = F.lit(1.0)
         ex = ex.select("side", "id", "key", "token", "c", w.alias("w"))
+        # A token is stored as "token<SEP>weight": weights are global per
+        # token, so shared tokens encode identically on both sides and the
+        # hash-based array_intersect finds them in linear time.  Counts
+        # above one (rare) go to a small map used by the cosine dot.
+        enc = F.concat(F.col("token"), F.lit(D.SEP), F.col("w").cast("string"))
         prof = (ex.groupBy("side", "id", "key").agg(
-            F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("tw"),
-            F.map_from_entries(F.collect_list(F.struct("token", "c"))).alias("tc"),
+            F.collect_list(enc).alias("tk"),
+            F.map_from_entries(F.collect_list(F.when(F.col("c") > 1, F.struct(enc, F.col("c"))))).alias("dup"),
             F.count(F.lit(1)).cast("int").alias("n"),
             F.sum("w").alias("s"),
             F.sqrt(F.sum((F.col("w") * F.col("c")) ** 2)).alias("nrm"))
             .groupBy("side", "id").agg(F.map_from_entries(F.collect_list(
-                F.struct("key", F.struct("tw", "tc", "n", "s", "nrm")))).alias("prof")))
+                F.struct("key", F.struct("tk", "dup", "n", "s", "nrm")))).alias("prof")))
         return base.join(prof, ["side", "id"], "left")
 
     # -- pair level ------------------------------------------------------
@@ -154,7 +160,9 @@ class PairSpace:
                 stage1 += [F.col(f"l.v_{ci}").alias(f"l_v_{ci}"), F.col(f"r.v_{ci}").alias(f"r_v_{ci}")]
         s1 = j.select(*stage1)
         keep = [c for c in s1.columns]
-        s2 = s1.select(*keep, *[D.pair_stats(F.col(f"pl{i}"), F.col(f"pr{i}")).alias(f"st{i}")
+        cos_keys = {kix[_key(jf.group, ci)] for jf in self.builtin if jf.is_set and "osine" in jf.distance
+                    for ci in range(len(self.cols))}
+        s2 = s1.select(*keep, *[D.pair_stats(F.col(f"pl{i}"), F.col(f"pr{i}"), i in cos_keys).alias(f"st{i}")
                                for i in kix.values()])
         out = [F.col("side"), F.col("id_l"), F.col("id_r")]
         for name, _, ci in self.dist_columns():
@@ -170,9 +178,17 @@ class PairSpace:
                 e = D.char_distance(jf.distance, F.col(f"l_{c}"), F.col(f"r_{c}"))
             out.append(F.round(e, D.DIST_DIGITS).alias(name))
         wide = s2.select(*out)
-        return fill_nulls(wide, [c for c, _, _ in self.dist_columns()]) if fill else wide
+        if not fill:
+            return wide
+        # the fill needs two passes (per-side maxima, then coalesce):
+        # persist so the distances are computed once
+        wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted.append(wide)
+        return fill_nulls(wide, [c for c, _, _ in self.dist_columns()])
 
     def unpersist(self):
+        for df in self._persisted:
+            df.unpersist()
         self.records.unpersist()
         self.base.unpersist()
 
