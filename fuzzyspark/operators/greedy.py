@@ -24,15 +24,16 @@ from fuzzyspark.session import reliable_checkpoint
 PATIENCE = 0.05
 
 
-def densify(G: DataFrame) -> DataFrame:
+def densify(G: DataFrame, nj: int | None = None, nt: int | None = None) -> DataFrame:
     """Map layout ``m: map<j, struct<l, ps>>`` → dense layout
     ``ls: array<l>`` (|JF|) and ``ps: array<double>`` (|JF|·T, config
     c = j·T + t), which the per-iteration scan explodes inside codegen."""
     if "ps" in G.columns:
         return G
-    sizes = G.select(F.max(F.array_max(F.map_keys("m"))).alias("nj"),
-                     F.max(F.array_max(F.transform(F.map_values("m"), lambda v: F.size(v["ps"])))).alias("nt")).first()
-    nj, nt = int(sizes["nj"] or 0) + 1, int(sizes["nt"] or 0)
+    if nj is None or nt is None:
+        sizes = G.select(F.max(F.array_max(F.map_keys("m"))).alias("nj"),
+                         F.max(F.array_max(F.transform(F.map_values("m"), lambda v: F.size(v["ps"])))).alias("nt")).first()
+        nj, nt = int(sizes["nj"] or 0) + 1, int(sizes["nt"] or 0)
     m = F.col("m")
     ls = F.transform(F.sequence(F.lit(0), F.lit(nj - 1)), lambda j: F.try_element_at(m, j)["l"])
     pad = lambda j: F.coalesce(F.try_element_at(m, j)["ps"], F.array().cast("array<double>"))
@@ -195,9 +196,10 @@ def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
             .select(F.col("b.l").alias("id_l"), "id_r", F.col("b.p").alias("p")))
 
 
-def materialize_G(G: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Persist G and cut its lineage once (reliable checkpoint)."""
-    G = densify(G)
+def materialize_G(G: DataFrame, checkpoint: bool = True, nj: int | None = None,
+                  nt: int | None = None) -> DataFrame:
+    """Dense G, persisted, lineage cut once (reliable checkpoint)."""
+    G = densify(G, nj, nt)
     if checkpoint:
         g = reliable_checkpoint(G.repartition("id_r")).persist(StorageLevel.MEMORY_AND_DISK)
         g.count()

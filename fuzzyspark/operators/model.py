@@ -74,9 +74,22 @@ class Prepared:
     cols: list
 
 
+def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
+    """Stage boundary: a reliable checkpoint in the shared checkpoint folder
+    (short plans, survives executor loss), else a materialised persist."""
+    if checkpoint:
+        return reliable_checkpoint(df)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
             stem=True, checkpoint=True) -> Prepared:
-    """Blocking, rule learning + pruning, and every distance (long form)."""
+    """Blocking, rule learning + pruning, and every distance (long form).
+
+    The candidate pairs, the rules and the distance table are each cut at a
+    checkpoint, so downstream plans stay short whatever came before."""
     blocker = blocker or B.TokenBlocker(stem=stem)
     ll, lr, lnorm, rnorm = B.block_pairs(blocker, left, right, id_col, cols)
     if lnorm is not None:
@@ -87,12 +100,15 @@ def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
     else:
         lsets = NR.token_sets(left, id_col, cols, stem)
         rsets = NR.token_sets(right, id_col, cols, stem)
-    ll = ll.persist(StorageLevel.MEMORY_AND_DISK)
-    rules = NR.merge(pretrained_rules, NR.learn(ll, lsets)).persist(StorageLevel.MEMORY_AND_DISK)
-    lr = NR.apply(lr, lsets, rsets, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    ll = _cut(ll, checkpoint)
+    rules = _cut(NR.merge(pretrained_rules, NR.learn(ll, lsets)), checkpoint)
+    lr = _cut(NR.apply(lr, lsets, rsets, rules), checkpoint)
+    for df in (lnorm, rnorm):
+        if df is not None:
+            df.unpersist()
     ps = PairSpace(left, right, id_col, cols, jfs, stem)
-    long = to_long(ps.pair_distances(ll, lr), ps)
-    long = reliable_checkpoint(long) if checkpoint else long.persist(StorageLevel.MEMORY_AND_DISK)
+    long = _cut(to_long(ps.pair_distances(ll, lr), ps), checkpoint)
+    ps.unpersist()
     return Prepared(ll, lr, rules, ps, long, cols)
 
 
@@ -101,7 +117,8 @@ def _build_G(spark, dist, ts_map, checkpoint=True):
     thr = P.threshold_table(spark, ts_map)
     balls = P.ball_counts(dist, near, thr)
     m = P.local_precision(near, balls, thr)
-    return G.materialize_G(P.per_r(m), checkpoint), thr
+    nj, nt = len(ts_map), max((len(v) for v in ts_map.values()), default=1)
+    return G.materialize_G(P.per_r(m), checkpoint, nj, nt), thr
 
 
 def run_one_weight(spark, prep: Prepared, weights: list[float], target: float,
@@ -167,7 +184,11 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
                     continue
                 r["columns"], r["wlist_sel"] = base_cols + [c], w
                 if step_best is None or r["reward"] > step_best["reward"]:
+                    if step_best is not None and step_best is not best:
+                        step_best["G"].unpersist()
                     step_best = r
+                else:
+                    r["G"].unpersist()
         if step_best is None or step_best["reward"] <= best_reward:
             break
         best_reward, best = step_best["reward"], step_best

@@ -305,7 +305,7 @@ def q_negative_rule_apply(spark, d):
 def _prepared(spark, d, jf_names, pretrained=None):
     L, R = _lr(spark, d)
     return M.prepare(L, R, "id", ["title"], [from_name(n) for n in jf_names], None, pretrained,
-                     stem=False, checkpoint=False)
+                     stem=False)
 
 
 def _precision_parts(spark, d, fixed=None):
@@ -341,10 +341,15 @@ def q_local_precision(spark, d):
             .where(F.col("p").isNotNull()).select("jf", "ti", "id_r", "id_l", _r("p")))
 
 
+def _ts_of(thr):
+    return {r["jf"]: r["ts"] for r in thr.collect()}
+
+
 def q_config_profit(spark, d):
     _, near, thr, balls = _precision_parts(spark, d)
-    g = P.per_r(P.local_precision(near, balls, thr)).cache()
-    rows = G.config_gains(g, [])
+    nt = max(len(v) for v in ts.values()) if (ts := _ts_of(thr)) else 1
+    g = G.materialize_G(P.per_r(P.local_precision(near, balls, thr)), False, len(ts), nt)
+    rows = G.config_gains(g, [], nt)
     out = [(j, t, float(tp), int(n), float(tp / (n - tp + 1e-9)), float(tp / (n + 1e-9))) for j, t, tp, n in rows]
     df = spark.createDataFrame(out, "j int, ti int, tp double, n long, profit double, prec double")
     names = thr.select("j", "jf")
@@ -369,7 +374,7 @@ def _uoc_model(spark):
 
 def _predict_pairs(spark, d):
     L, R = _lr(spark, d)
-    return M.predict_matches(_uoc_model(spark), L, R, "id", checkpoint=False)
+    return M.predict_matches(_uoc_model(spark), L, R, "id")
 
 
 def q_predict(spark, d):
@@ -428,7 +433,7 @@ def q_model_roundtrip(spark, d):
 
 def q_featurize(spark, d):
     L, R = _lr(spark, d)
-    prep = M.prepare(L, R, "id", ["title"], resolve("autofj_sm"), checkpoint=False)
+    prep = M.prepare(L, R, "id", ["title"], resolve("autofj_sm"))
     return prep.long.select("side", "id_l", "id_r", "jf", F.round("d_0", R6).alias("d"))
 
 
