@@ -104,3 +104,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive content hash: Σ xxhash64(row) as a decimal."""
     return df.select(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("fingerprint"),
                      F.count(F.lit(1)).alias("rows"))
+
+
+def packed_split(df: DataFrame, id_col: str, a: str, b: str, sep: str) -> DataFrame:
+    """Two packed lists split on ``sep`` and paired by position."""
+    z = F.arrays_zip(F.split(a, sep).alias("a"), F.split(b, sep).alias("b"))
+    return (df.select(id_col, F.posexplode(z).alias("pos", "ab"))
+            .select(id_col, "pos", F.col("ab.a").alias(a), F.col("ab.b").alias(b)))

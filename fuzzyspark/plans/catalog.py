@@ -526,6 +526,23 @@ def q_normalize_claims(spark, d):
     return PR.normalize_props(V.table(spark, d, "events"))
 
 
+def q_rename_project(spark, d):
+    c = V.table(spark, d, "customer")
+    return PR.rename(c, {"c_custkey": "id", "c_name": "title", "c_mktsegment": "segment"})
+
+
+def q_drop_by_regex(spark, d):
+    return PR.drop_by_regex(V.table(spark, d, "orders"), "key")
+
+
+def q_packed_split(spark, d):
+    p = V.table(spark, d, "pages")
+    packed = p.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"),
+                      F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+    packed = packed.select("page_id", F.regexp_replace("host", r"\.", "/").alias("hosts"), "path")
+    return PR.packed_split(packed, "page_id", "hosts", "path", "/")
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 for _name, _jf in DIST_QUERIES.items():
     QUERIES[_name] = _make_dist(_jf)

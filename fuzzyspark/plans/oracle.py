@@ -209,4 +209,11 @@ def oracle() -> dict[str, str]:
     o["normalize_claims"] = (f"SELECT event_id, regexp_extract(CAST(ts AS VARCHAR), '{YEAR_RE}', 1) AS year, "
                              f"CAST(value AS VARCHAR) || ' ' || event_type AS quantity, "
                              f"json_extract_string(props, '$.k') AS k FROM events")
+    o["rename_project"] = "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS segment FROM customer"
+    o["drop_by_regex"] = "SELECT * EXCLUDE (o_orderkey, o_custkey) FROM orders"
+    o["packed_split"] = (
+        "SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, hs[i] AS hosts, ps[i] AS path FROM ("
+        "SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '\\.', '/', 'g'), '/') AS hs, "
+        "string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS ps FROM pages), "
+        "LATERAL (SELECT unnest(range(1, greatest(len(hs), len(ps)) + 1)) AS i)")
     return o

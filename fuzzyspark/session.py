@@ -18,15 +18,21 @@ _DEFAULTS = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "fuzzyspark", **conf) -> SparkSession:
-    """Build (or reuse) a session with AQE on and the UI off."""
+    """Build (or reuse) a session with AQE on and the UI off.
+
+    Partition counts and memory are left to the cluster's configuration;
+    they are set here only for local runs (or when given explicitly)."""
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
     settings = dict(_DEFAULTS)
-    settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    settings.setdefault("spark.driver.memory", "16g")
+    local = bool(master) and master.startswith("local")
+    if shuffle_partitions is not None or local:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    if local:
+        settings["spark.driver.memory"] = "16g"
     settings.update({k.replace("_", "."): str(v) for k, v in conf.items()})
     for k, v in settings.items():
         b = b.config(k, v)

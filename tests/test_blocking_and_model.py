@@ -94,3 +94,46 @@ def test_quality_on_reference_dataset(spark, name):
     ids = [r["id_r"] for r in pred.collect()]
     assert len(ids) == len(set(ids))
     print(name, sc)
+
+
+class LenDiff:
+    """A custom join function: absolute length difference."""
+    name = "lenDiff"
+
+    def distance(self, left, right):
+        return F.abs(F.length(left) - F.length(right)).cast("double")
+
+
+def test_custom_join_function(spark):
+    from fuzzyspark.operators.pairs import PairSpace
+    L = spark.createDataFrame([(1, "abc"), (2, "a")], "id long, v string")
+    R = spark.createDataFrame([(10, "abcde")], "id long, v string")
+    ps = PairSpace(L, R, "id", ["v"], [LenDiff()], stem=False, persist=False)
+    lr = spark.createDataFrame([(1, 10), (2, 10)], "id_l long, id_r long")
+    got = {(r["id_l"], r["id_r"]): r["d0_0"] for r in ps.pair_distances(None, lr).collect()}
+    assert got == {(1, 10): 2.0, (2, 10): 4.0}
+
+
+def test_json_and_csv_readers(spark, tmp_path):
+    from fuzzyspark.sources import io
+    (tmp_path / "b.json").write_text('{"results": {"bindings": [{"entId": {"value": "Q1", "type": "uri"}}, '
+                                     '{"entId": {"value": "Q2", "type": "uri"}}]}}')
+    rows = io.read_bindings(spark, str(tmp_path / "b.json")).collect()
+    assert [r["entId"]["value"] for r in rows] == ["Q1", "Q2"]
+    d = tmp_path / "ds"
+    d.mkdir()
+    (d / "left.csv").write_text('id,title\n1,"A, B"\n2,C\n')
+    (d / "right.csv").write_text('id,title\n5,"A B"\n')
+    (d / "gt.csv").write_text('id_l,title_l,id_r,title_r\n1,"A, B",5,A B\n')
+    left, right, gt = io.load_triple(spark, str(d))
+    assert [r["title"] for r in left.orderBy("id").collect()] == ["A, B", "C"]
+    assert gt.count() == 1
+
+
+def test_reward_is_precision_times_matches(spark, sf):
+    from fuzzyspark.operators import greedy as G
+    g = spark.createDataFrame([(1, {0: (1, [1.0])}), (2, {0: (2, [0.5])})],
+                              "id_r long, m map<int, struct<l: long, ps: array<double>>>")
+    res = G.run_greedy(g, 0.7)
+    n = G.resolve_matches(g, res.configs).count()
+    assert round(res.precision * n, 6) == round(1.5 / 2 * 2, 6)
