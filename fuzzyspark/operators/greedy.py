@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from fuzzyspark.session import reliable_checkpoint
 
 PATIENCE = 0.05
+# next picks speculatively evaluated per greedy job
+LOOKAHEAD = 0
 
 
 def densify(G: DataFrame, nj: int | None = None, nt: int | None = None) -> DataFrame:
@@ -65,54 +67,79 @@ def _l_at(s: Column) -> Column:
     return F.try_element_at(F.col("ls"), s["j"] + 1)
 
 
-def state_columns(selected, nt: int):
-    """(p_cur, cands) of every r after ``selected``."""
-    if not selected:
-        return F.lit(0.0), None
-    sel = _sel_literal(selected, nt)
-    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda s: _p_at(s))), F.lit(0.0))
-    cands = F.filter(F.transform(sel, lambda s: F.when(_p_at(s).isNotNull(), _l_at(s))),
-                     lambda x: x.isNotNull())
-    return p_cur, cands
+def _int_array(values) -> Column:
+    """Array literal: code generation references it instead of inlining the
+    values, so the generated code (and its compile cache) is the same in
+    every greedy iteration."""
+    return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>") if values \
+        else F.array().cast("array<int>")
 
 
-def _flat_state(selected, nt: int, ltype):
-    """(p_cur, cands) as flat expressions (whole-stage codegen).
+def _state(selected, nt: int):
+    """(p_cur, cands) of every r after ``selected``.
 
     ps of one jf is non-null exactly from the first threshold ≥ d on, so
     "r has a proposal from jf js" is one null test at the largest selected
     threshold of js; the proposed l's of those jfs are r's candidates."""
     ps, ls = F.col("ps"), F.col("ls")
-    if not selected:
-        return F.lit(0.0), F.array().cast(T.ArrayType(ltype))
-    vals = [F.element_at(ps, j * nt + t + 1) for j, t in selected]
-    p_cur = F.coalesce(vals[0] if len(vals) == 1 else F.greatest(*vals), F.lit(0.0))
     tmax = {}
     for j, t in selected:
         tmax[j] = max(t, tmax.get(j, -1))
-    cands = F.array(*[F.when(F.element_at(ps, js * nt + t + 1).isNotNull(), F.element_at(ls, js + 1))
-                      for js, t in sorted(tmax.items())])
+    sel = _int_array([j * nt + t for j, t in selected])
+    act_j = _int_array(sorted(tmax))
+    act_c = _int_array([j * nt + tmax[j] for j in sorted(tmax)])
+    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda c: F.element_at(ps, c + 1))), F.lit(0.0))
+    cands = F.filter(F.transform(act_j, lambda j, i: F.when(
+        F.element_at(ps, F.element_at(act_c, i + 1) + 1).isNotNull(), F.element_at(ls, j + 1))),
+        lambda x: x.isNotNull())
     return p_cur, cands
 
 
-def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
-    """Per config (j, t): ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed
-    l is new for r.  Returns the small aggregate as rows.
+def config_gains_multi(G: DataFrame, selected, guesses=(), nt: int | None = None,
+                       width: int | None = None) -> list[list]:
+    """Gains of every config after ``selected`` and after ``selected + [g]``
+    for each ``g`` in ``guesses``, in one scan of G.
 
-    The state is evaluated once per r inside an ``inline`` generator (a
-    plain projection would be pushed past the explode and re-evaluated per
-    row); the per-config arithmetic after ``posexplode`` is codegen'd."""
+    Per config (j, t): ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed
+    l is new for r.  The base state is evaluated once per r inside an
+    ``inline`` generator (a plain projection would be pushed past the
+    explode and re-evaluated per row); a guess only adds one config, so its
+    state is the base state plus two element lookups, done per row in
+    codegen.  ``width`` pads the guesses so every call generates the same
+    code.  Returns one sorted row list for the base and one per guess."""
     G = densify(G)
     nt = nt or _nt(G)
-    p_cur, cands = _flat_state(selected, nt, G.schema["ls"].dataType.elementType)
-    st = G.select(F.inline(F.array(F.struct(p_cur.alias("pc"), cands.alias("cs"), "ls", "ps"))))
+    guesses = list(guesses)
+    width = max(width or 0, len(guesses))
+    gc = _int_array([j * nt + t for j, t in guesses] + [-1] * (width - len(guesses)))
+    gj = _int_array([j for j, _ in guesses] + [-1] * (width - len(guesses)))
+    p_cur, cands = _state(selected, nt)
+    ltype = G.schema["ls"].dataType.elementType
+    st = G.select(F.inline(F.array(F.struct(p_cur.alias("pc"), cands.cast(T.ArrayType(ltype)).alias("cs"),
+                                            "ls", "ps"))))
     owner = F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
-    x = (st.select("pc", "cs", "ls", F.posexplode("ps").alias("c", "p"))
-         .where(F.col("p").isNotNull())
-         .select("c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"),
-                 F.when(F.array_contains("cs", owner), 0).otherwise(1).alias("dn")))
-    agg = x.groupBy("c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn"))
-    return sorted((r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg.collect())
+    in_cs = F.coalesce(F.array_contains("cs", owner), F.lit(False))
+    cols = [F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp0"),
+            F.when(in_cs, 0).otherwise(1).alias("dn0")]
+    for v in range(1, width + 1):
+        c_v = F.element_at(gc, v)
+        pg = F.when(c_v >= 0, F.try_element_at("ps", c_v + 1))
+        pc_v = F.greatest(F.col("pc"), F.coalesce(pg, F.lit(0.0)))
+        new_l = pg.isNotNull() & (F.try_element_at("ls", F.element_at(gj, v) + 1) == owner)
+        cols += [F.greatest(F.col("p") - pc_v, F.lit(0.0)).alias(f"dtp{v}"),
+                 F.when(in_cs | F.coalesce(new_l, F.lit(False)), 0).otherwise(1).alias(f"dn{v}")]
+    x = (st.select("pc", "cs", "ls", "ps", F.posexplode("ps").alias("c", "p"))
+         .where(F.col("p").isNotNull()).select("c", *cols))
+    nv = len(guesses) + 1
+    agg = x.groupBy("c").agg(*[a for v in range(width + 1) for a in (
+        F.sum(f"dtp{v}").alias(f"dtp{v}"), F.sum(f"dn{v}").alias(f"dn{v}"))]).collect()
+    return [sorted((r["c"] // nt, r["c"] % nt, r[f"dtp{v}"], r[f"dn{v}"]) for r in agg)
+            for v in range(nv)]
+
+
+def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
+    """Gains of every config after ``selected`` (see config_gains_multi)."""
+    return config_gains_multi(G, selected, (), nt)[0]
 
 
 @dataclass
@@ -148,26 +175,45 @@ def small_aggregate_conf(spark, partitions: int = 4):
 
 
 def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE,
-               max_iter: int = 10_000) -> GreedyResult:
+               max_iter: int = 10_000, lookahead: int = LOOKAHEAD) -> GreedyResult:
     with small_aggregate_conf(G.sparkSession):
-        return _run_greedy(densify(G), target, patience, max_iter)
-
-
-def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int) -> GreedyResult:
+        return _run_greedy(densify(G), target, patience, max_iter, lookahead)
+
+
+def _best(gains, tp, n):
+    """Argmax profit (first wins on ties, configs in (jf, threshold) order)
+    and the ranking of the remaining candidates."""
+    best, ranked = None, []
+    for j, t, dtp, dn in gains:
+        if dn == 0:
+            continue
+        tpn, nn = tp + dtp, n + dn
+        profit = tpn / (nn - tpn + 1e-9)
+        ranked.append((-profit, j, t))
+        if best is None or profit > best[0]:
+            best = (profit, j, t, dtp, dn, tpn / (nn + 1e-9))
+    ranked.sort()
+    return best, [(j, t) for _, j, t in ranked]
+
+
+def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int,
+                lookahead: int = LOOKAHEAD) -> GreedyResult:
+    """Greedy loop.  Each Spark job also evaluates the gains after the
+    ``lookahead`` best-ranked next picks; when the actual pick is among
+    them the following iteration needs no job.  Results are exact."""
     nt = _nt(G)
-    if nt == 1 and not G.head(1):
-        return GreedyResult()
     res = GreedyResult()
     tp, n = 0.0, 0
+    ready, guesses = None, []
     for _ in range(max_iter):
-        best = None
-        for j, t, dtp, dn in config_gains(G, res.selected, nt):
-            if dn == 0:
-                continue
-            tpn, nn = tp + dtp, n + dn
-            profit = tpn / (nn - tpn + 1e-9)
-            if best is None or profit > best[0]:
-                best = (profit, j, t, dtp, dn, tpn / (nn + 1e-9))
+        if ready is not None:
+            gains, spec = ready, {}
+        else:
+            guesses = [g for g in guesses if g not in res.selected][:lookahead]
+            out = config_gains_multi(G, res.selected, guesses, nt, lookahead)
+            gains, spec = out[0], dict(zip(guesses, out[1:]))
+        ready = None
+        best, ranked = _best(gains, tp, n)
         if best is None:
             break
         profit, j, t, dtp, dn, avg = best
@@ -179,6 +225,8 @@ def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int) ->
             res.n_keep, res.precision = len(res.selected), avg
         if avg < target - patience:
             break
+        ready = spec.get((j, t))
+        guesses = [g for g in ranked if g != (j, t)]
     return res
 
 

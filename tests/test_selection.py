@@ -80,7 +80,8 @@ def _brute_greedy(configs, target, patience=0.05):
     return keep
 
 
-def test_greedy_matches_brute_force_random(spark):
+@pytest.mark.parametrize("lookahead", [0, 3])
+def test_greedy_matches_brute_force_random(spark, lookahead):
     import random
     rng = random.Random(7)
     for _ in range(4):
@@ -94,7 +95,7 @@ def test_greedy_matches_brute_force_random(spark):
         target = rng.choice([0.5, 0.6, 0.7])
         want = _brute_greedy(configs, target)
         g = _G(spark, configs).cache()
-        res = G.run_greedy(g, target)
+        res = G.run_greedy(g, target, lookahead=lookahead)
         if want is None:
             assert res.configs is None
             continue
