@@ -107,8 +107,11 @@ def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
         if df is not None:
             df.unpersist()
     ps = PairSpace(left, right, id_col, cols, jfs, stem)
-    long = _cut(to_long(ps.pair_distances(ll, lr), ps), checkpoint)
+    # the wide table (one row per pair) is the stage boundary; the long
+    # form is a narrow projection of it
+    wide = _cut(ps.pair_distances(ll, lr), checkpoint)
     ps.unpersist()
+    long = to_long(wide, ps)
     return Prepared(ll, lr, rules, ps, long, cols)
 
 

@@ -61,9 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    The eager checkpoint runs one job to count and another to write; the
+    input is persisted first so it is computed once, and released after."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = src.checkpoint(eager=True)
+    src.unpersist()
+    return out
 
 
 def env_int(name: str, default: int) -> int:
