@@ -118,9 +118,9 @@ def q_block_score(spark, d):
 
 def _block(spark, d, weighting="tfidf", self_block=False):
     L, R = _lr(spark, d)
-    ln = B.normalize_records(L, "id", ["title"], stem=False)
-    rn = ln if self_block else B.normalize_records(R, "id", ["title"], stem=False)
-    out = B.block_normalized(ln, rn, L.count(), weighting=weighting, keep_score=True)
+    ln = B.normalize_records(L, "id", ["title"], stem=False).persist()
+    rn = ln if self_block else B.normalize_records(R, "id", ["title"], stem=False).persist()
+    out = B.block_normalized(ln, rn, ln.count(), weighting=weighting, keep_score=True)
     if self_block:
         out = out.where(F.col("id_l") != F.col("id_r"))
     return out.select("id_l", "id_r", _r("score"))
