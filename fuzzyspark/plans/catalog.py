@@ -543,6 +543,24 @@ def q_packed_split(spark, d):
     return PR.packed_split(packed, "page_id", "hosts", "path", "/")
 
 
+def q_json_props(spark, d):
+    e = V.table(spark, d, "events")
+    return e.select("event_id", F.from_json("props", "k INT").alias("p")).select("event_id", "p.k")
+
+
+def q_blocker_compare(spark, d):
+    L, R = _lr(spark, d)
+    blockers = {"tfidf": B.TokenBlocker(), "bm25": B.TokenBlocker(weighting="bm25"),
+                "bm25_compat": B.TokenBlocker(weighting="bm25_compat")}
+    return VA.blocker_compare(L, R, V.fj_gt(spark, d), "id", blockers)
+
+
+def q_augment_curve(spark, d):
+    L, R = _lr(spark, d)
+    extra = V.page_titles(spark, d).where(F.col("id") % 2 == 1).select("id", "title")
+    return VA.augment_curve(L, R, V.fj_gt(spark, d), extra, "id")
+
+
 QUERIES = {k[2:]: v for k, v in dict(globals()).items() if k.startswith("q_") and callable(v)}
 for _name, _jf in DIST_QUERIES.items():
     QUERIES[_name] = _make_dist(_jf)

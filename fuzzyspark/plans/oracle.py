@@ -216,4 +216,5 @@ def oracle() -> dict[str, str]:
         "SELECT page_id, string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '\\.', '/', 'g'), '/') AS hs, "
         "string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS ps FROM pages), "
         "LATERAL (SELECT unnest(range(1, greatest(len(hs), len(ps)) + 1)) AS i)")
+    o["json_props"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
     return o
