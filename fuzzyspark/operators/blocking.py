@@ -118,8 +118,9 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def block_scores(lnorm: DataFrame, rnorm: DataFrame, n_left: int,
-                 weighting: str = "tfidf", salt_rows: int = SALT_ROWS) -> DataFrame:
-    post = left_postings(lnorm, n_left, weighting)
+                 weighting: str = "tfidf", salt_rows: int = SALT_ROWS,
+                 postings: DataFrame | None = None) -> DataFrame:
+    post = postings if postings is not None else left_postings(lnorm, n_left, weighting)
     matches = token_join(right_tokens(rnorm), post, salt_rows)
     return (matches.groupBy("id_r", "id_l").agg(F.sum("w").alias("score"))
             .select("id_l", "id_r", F.round("score", SCORE_DIGITS).alias("score")))
@@ -127,9 +128,10 @@ def block_scores(lnorm: DataFrame, rnorm: DataFrame, n_left: int,
 
 def block_normalized(lnorm: DataFrame, rnorm: DataFrame, n_left: int,
                      k: int | None = None, weighting: str = "tfidf",
-                     salt_rows: int = SALT_ROWS, keep_score: bool = False) -> DataFrame:
+                     salt_rows: int = SALT_ROWS, keep_score: bool = False,
+                     postings: DataFrame | None = None) -> DataFrame:
     k = default_k(n_left) if k is None else k
-    out = top_k(block_scores(lnorm, rnorm, n_left, weighting, salt_rows), k)
+    out = top_k(block_scores(lnorm, rnorm, n_left, weighting, salt_rows, postings), k)
     return out if keep_score else out.select("id_l", "id_r")
 
 
@@ -200,10 +202,13 @@ def block_pairs(blocker, left: DataFrame, right: DataFrame, id_col: str,
         lnorm = normalize_records(left, id_col, cols, blocker.stem).persist(StorageLevel.MEMORY_AND_DISK)
         rnorm = normalize_records(right, id_col, cols, blocker.stem).persist(StorageLevel.MEMORY_AND_DISK)
         n_left = lnorm.count()
+        # L's postings serve both the LL and the LR blocking
+        post = left_postings(lnorm, n_left, blocker.weighting).persist(StorageLevel.MEMORY_AND_DISK)
+        blocker.last_postings = post  # released by the caller once the pairs are cut
         ll = block_normalized(lnorm, lnorm, n_left, blocker.num_candidates, blocker.weighting,
-                              blocker.salt_rows).where(F.col("id_l") != F.col("id_r"))
+                              blocker.salt_rows, postings=post).where(F.col("id_l") != F.col("id_r"))
         lr = block_normalized(lnorm, rnorm, n_left, blocker.num_candidates, blocker.weighting,
-                              blocker.salt_rows)
+                              blocker.salt_rows, postings=post)
         return ll, lr, lnorm, rnorm
     ll = block_self(blocker, left, id_col, cols)
     lr = blocker.block(left, right, id_col, cols)

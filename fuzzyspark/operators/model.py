@@ -103,7 +103,7 @@ def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
     ll = _cut(ll, checkpoint)
     rules = _cut(NR.merge(pretrained_rules, NR.learn(ll, lsets)), checkpoint)
     lr = _cut(NR.apply(lr, lsets, rsets, rules), checkpoint)
-    for df in (lnorm, rnorm):
+    for df in (lnorm, rnorm, getattr(blocker, "last_postings", None)):
         if df is not None:
             df.unpersist()
     ps = PairSpace(left, right, id_col, cols, jfs, stem)
