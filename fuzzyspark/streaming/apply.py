@@ -16,7 +16,9 @@ from fuzzyspark.operators import model as M
 
 
 def start(model: M.FuzzyJoinModel, left: DataFrame, stream: DataFrame, id_col: str, out_path: str,
-          checkpoint_location: str, trigger_seconds: int = 60):
+          checkpoint_location: str, trigger_seconds: int | None = 60):
+    """Start the query; ``trigger_seconds=None`` processes what is
+    available and stops (``availableNow``)."""
     def run_batch(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
@@ -24,6 +26,7 @@ def start(model: M.FuzzyJoinModel, left: DataFrame, stream: DataFrame, id_col: s
         (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_path))
 
-    return (stream.writeStream.foreachBatch(run_batch)
-            .option("checkpointLocation", checkpoint_location)
-            .trigger(processingTime=f"{trigger_seconds} seconds").start())
+    w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(availableNow=True) if trigger_seconds is None else \
+        w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()

@@ -137,3 +137,20 @@ def test_reward_is_precision_times_matches(spark, sf):
     res = G.run_greedy(g, 0.7)
     n = G.resolve_matches(g, res.configs).count()
     assert round(res.precision * n, 6) == round(1.5 / 2 * 2, 6)
+
+
+def test_streaming_apply_matches_batch_predict(spark, sf, tmp_path):
+    from fuzzyspark.streaming import apply as SA
+    L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
+    model, _ = M.fit(L, R, "id")
+    if not model.configs:
+        pytest.skip("no join learned at this size")
+    src = str(tmp_path / "r")
+    R.write.parquet(src)
+    stream = spark.readStream.schema(R.schema).parquet(src)
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    q = SA.start(model, L, stream, "id", out, ck, trigger_seconds=None)
+    q.awaitTermination(300)
+    got = {(r["id_l"], r["id_r"]) for r in spark.read.parquet(out).collect()}
+    want = {(r["id_l"], r["id_r"]) for r in M.predict(model, L, R, "id").collect()}
+    assert got == want
