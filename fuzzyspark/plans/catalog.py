@@ -207,10 +207,10 @@ def q_token_set_ops(spark, d):
     ls = L.select(F.col("id").alias("id_l"), F.array_distinct(split_by_space(F.lower("title"))).alias("x"))
     rs = R.select(F.col("id").alias("id_r"), F.array_distinct(split_by_space(F.lower("title"))).alias("y"))
     j = lr.join(ls, "id_l").join(rs, "id_r")
-    return j.select("id_l", "id_r", F.size(F.array_intersect("x", "y")).alias("n_inter"),
-                    F.size(F.array_union("x", "y")).alias("n_union"),
-                    F.size(F.array_except("x", "y")).alias("n_l_only"),
-                    F.size(F.array_except("y", "x")).alias("n_r_only"))
+    return j.select("id_l", "id_r", F.size(F.array_intersect("x", "y")).cast("long").alias("n_inter"),
+                    F.size(F.array_union("x", "y")).cast("long").alias("n_union"),
+                    F.size(F.array_except("x", "y")).cast("long").alias("n_l_only"),
+                    F.size(F.array_except("y", "x")).cast("long").alias("n_r_only"))
 
 
 def q_contain_join(spark, d):
