@@ -154,3 +154,19 @@ def test_streaming_apply_matches_batch_predict(spark, sf, tmp_path):
     got = {(r["id_l"], r["id_r"]) for r in spark.read.parquet(out).collect()}
     want = {(r["id_l"], r["id_r"]) for r in M.predict(model, L, R, "id").collect()}
     assert got == want
+
+
+def test_new_column_weights_keep_ratios():
+    assert M.new_weights(None, [0, 0.5, 1]) == [[1.0]]
+    got = M.new_weights([0.5, 0.5], [0.0, 0.1, 0.2, 1.0])
+    assert got == [[pytest.approx(0.45), pytest.approx(0.45), 0.1], [pytest.approx(0.4), pytest.approx(0.4), 0.2]]
+
+
+def test_multi_column_fit(spark, sf):
+    L, R = V.fj_left(spark, sf, True), V.fj_right(spark, sf, True)
+    model, res = M.fit(L, R, "id", on=["title", "lang"])
+    ids = [r["id_r"] for r in res.collect()]
+    assert len(ids) == len(set(ids))
+    if model.configs:
+        assert sum(model.column_weights.values()) == pytest.approx(1.0)
+        assert set(model.column_weights) <= {"title", "lang"}
