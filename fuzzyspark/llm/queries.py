@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import mixing, sharding
+from fuzzyspark.llm import mixing, secrets, sharding, urls
 from fuzzyspark.llm.common import table
 
 
+def op3_linked_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(table(spark, d, "documents"))
+
+
+def op4_url_rules(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(table(spark, d, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -16,5 +24,5 @@ def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op10_hash_tree_shards)}
+QUERIES = {f.__name__: f for f in (op3_linked_secrets, op4_url_rules, op5_mix_sources, op10_hash_tree_shards)}
 ORACLES = {"op5_mix_sources": mixing.oracle()}
