@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import mixing, secrets, sharding, urls
+from fuzzyspark.llm import decontaminate, mixing, secrets, sharding, urls
 from fuzzyspark.llm.common import table
 
 
+def op2_fm_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op3_linked_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan(table(spark, d, "documents"))
 
@@ -24,5 +28,5 @@ def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op3_linked_secrets, op4_url_rules, op5_mix_sources, op10_hash_tree_shards)}
+QUERIES = {f.__name__: f for f in (op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op10_hash_tree_shards)}
 ORACLES = {"op5_mix_sources": mixing.oracle()}
