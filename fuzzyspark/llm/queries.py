@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import decontaminate, mixing, secrets, sharding, simhash, urls
+from fuzzyspark.llm import decontaminate, mixing, secrets, sharding, simhash, toxicity, urls
 from fuzzyspark.llm.common import table
 
 
+def op1_toxic_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op2_fm_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -32,6 +36,6 @@ def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
+QUERIES = {f.__name__: f for f in (op1_toxic_clauses, op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
                                  op10_hash_tree_shards)}
 ORACLES = {"op5_mix_sources": mixing.oracle()}
