@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import decontaminate, mixing, quality, secrets, sharding, simhash, toxicity, urls
+from fuzzyspark.llm import decontaminate, hnsw, mixing, quality, secrets, sharding, simhash, toxicity, urls
 from fuzzyspark.llm.common import table
 
 
@@ -36,10 +36,14 @@ def op8_weak_label_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
 
 
+def op9_hnsw_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return hnsw.nearest(table(spark, d, "embeddings"))
+
+
 def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 16)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxic_clauses, op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
-                                 op8_weak_label_quality, op10_hash_tree_shards)}
+                                 op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards)}
 ORACLES = {"op5_mix_sources": mixing.oracle()}
