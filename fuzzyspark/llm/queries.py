@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import decontaminate, hnsw, mixing, quality, secrets, sharding, simhash, toxicity, urls
+from fuzzyspark.llm import decontaminate, hnsw, mixing, quality, secrets, sharding, simhash, token_files, toxicity, urls
 from fuzzyspark.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_simhash_groups(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op7_token_files(spark: SparkSession, d: str) -> DataFrame:
+    return token_files.token_files(table(spark, d, "documents"))
+
+
 def op8_weak_label_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"))
 
@@ -45,5 +49,5 @@ def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxic_clauses, op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
-                                 op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards)}
+                                 op7_token_files, op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards)}
 ORACLES = {"op5_mix_sources": mixing.oracle()}
