@@ -1,13 +1,51 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through the training-data operators, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; its result is written as Parquet and read again for the next.  All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fuzzyspark.llm import decontaminate, mixing, quality, simhash, token_files
 from fuzzyspark.llm.common import table, written
 
-STAGES = []
-#: the stages hash, learn and encode in ways that SQL cannot express
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, that with the least doc_id."""
+    return simhash.one_of_each(docs, simhash.SHINGLE, simhash.MAX_BITS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token files; their digests by document: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.token_files(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+#: the stages learn, hash and encode in ways that SQL cannot express
 ORACLE_SQL = None
 
 
