@@ -38,6 +38,9 @@ LABELLERS = {
 #: first accuracy of a labeller, and the bounds it is kept in: marks of bad text are specific, marks of
 #: prose are also met in bad text that no other labeller sees
 ACCURACY = {BAD: (0.95, 0.9, 0.995), GOOD: (0.6, 0.55, 0.65)}
+#: share of bad documents taken for granted before any vote; it is not estimated, as documents without
+#: votes say nothing on it
+BALANCE = 0.15
 #: byte classes: space, lower case (all beyond ASCII too), capital, digit, common mark, and each symbol its own
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[32, 9, 10, 11, 12, 13]] = 0
@@ -148,7 +151,7 @@ def vote_counts(docs: DataFrame) -> dict[int, int]:
 
 
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9):
-    """(P(bad), accuracy of each labeller, posterior of bad by pattern).
+    """(accuracy of each labeller, posterior of bad by pattern).
 
     An accuracy is how often a labeller is right where it votes; to abstain
     says nothing.  Smoothing by one vote and the bounds of ``ACCURACY`` keep
@@ -160,18 +163,17 @@ def expectation_maximisation(counts: dict[int, int], rounds: int = 200, tol: flo
     n = np.array([counts[p] for p in patterns.tolist()], float)
     voted = (patterns[:, None] // 3 ** np.arange(k)) % 3 != ABSTAIN
     sign = np.where(casts == BAD, 1.0, -1.0)
-    accuracy, bad, post = first.copy(), 0.15, np.zeros(len(n))
+    accuracy, post = first.copy(), np.zeros(len(n))
     for _ in range(rounds):
-        odds = np.log(bad / (1 - bad)) + voted @ (sign * np.log(accuracy / (1 - accuracy)))
+        odds = np.log(BALANCE / (1 - BALANCE)) + voted @ (sign * np.log(accuracy / (1 - accuracy)))
         new = 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
         moved = np.abs(new - post).max(initial=0.0)
         post = new
-        bad = ((n * post).sum() + 1) / (n.sum() + 7)
         right = np.where(casts == BAD, (voted * (n * post)[:, None]).sum(axis=0), (voted * (n * (1 - post))[:, None]).sum(axis=0))
         accuracy = np.clip((right + first) / ((voted * n[:, None]).sum(axis=0) + 1), low, high)
         if moved < tol:
             break
-    return bad, accuracy, dict(zip(patterns.tolist(), post.tolist()))
+    return accuracy, dict(zip(patterns.tolist(), post.tolist()))
 
 
 def _sample(docs: DataFrame, total: int, bound: int) -> list:
@@ -211,20 +213,20 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int =
 
 
 class Model:
-    """P(bad), the labellers' accuracies, the posterior of each pattern, and the scorer's weights."""
+    """The labellers' accuracies, the posterior of each pattern, and the scorer's weights."""
 
-    def __init__(self, bad: float, accuracy: np.ndarray, posterior: dict[int, float], coef: np.ndarray):
-        self.bad, self.accuracy, self.posterior, self.coef = bad, accuracy, posterior, coef
+    def __init__(self, accuracy: np.ndarray, posterior: dict[int, float], coef: np.ndarray):
+        self.accuracy, self.posterior, self.coef = accuracy, posterior, coef
 
 
 def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     counts = vote_counts(docs)
-    bad, accuracy, posterior = expectation_maximisation(counts)
+    accuracy, posterior = expectation_maximisation(counts)
     rows = _sample(docs, sum(counts.values()), bound)
     x = np.zeros((len(rows), DIM))
     for i, r in enumerate(rows):
         x[i, r["f"]] = r["v"]
-    return Model(bad, accuracy, posterior, fit_scorer(x, np.array([posterior.get(r["pattern"], bad) for r in rows])))
+    return Model(accuracy, posterior, fit_scorer(x, np.array([posterior.get(r["pattern"], BALANCE) for r in rows])))
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None, bound: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
@@ -249,7 +251,7 @@ def judged(docs: DataFrame, keep: list[str] | None = None, bound: int = TRAIN_DO
                 logit = s.per_text(weight) + model.coef[-1]
                 good = 1.0 / (1.0 + np.exp(np.clip(logit, -40, 40)))
                 for v, p, g in zip(names[votes], _pattern(votes).tolist(), good.tolist()):
-                    found.append({"votes": "".join(v), "posterior": 1 - model.posterior.get(p, model.bad), "score": g, "keep": g >= threshold})
+                    found.append({"votes": "".join(v), "posterior": 1 - model.posterior.get(p, BALANCE), "score": g, "keep": g >= threshold})
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, kind)], [*keep, "judged"])
 
     rows = docs.select(*keep, text_of().alias("__text"))
