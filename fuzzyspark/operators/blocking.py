@@ -38,7 +38,7 @@ class Blocker(Protocol):
 
 
 def default_k(n_left: int, cap: int = 50) -> int:
-    return min(int(math.pow(n_left, 0.5)), cap)
+    return min(math.isqrt(n_left), cap)
 
 
 def normalize_records(df: DataFrame, id_col: str, cols: list[str],
@@ -162,7 +162,7 @@ class LookupBlocker:
     first ``k`` hits per R record are kept.
     """
 
-    def __init__(self, lookup: DataFrame, k: int = 10, stem: bool = False):
+    def __init__(self, lookup: DataFrame, k: int, stem: bool = False):
         self.lookup, self.k, self.stem = lookup, k, stem
 
     def block(self, left, right, id_col, cols):
@@ -173,19 +173,37 @@ class LookupBlocker:
         return hits.join(left.select(F.col(id_col).alias("id_l")), "id_l", "left_semi")
 
 
-class PrefixBlocker:
-    """Example custom blocker: L and R records sharing their first word."""
+class WordSetBlocker:
+    """Example custom blocker: L and R records with the same set of words."""
 
     def __init__(self, stem: bool = False):
         self.stem = stem
 
     def block(self, left, right, id_col, cols):
-        def first(df):
+        def keyed(df, name):
             n = normalize_records(df, id_col, cols, self.stem)
-            return n.select("id", F.try_element_at(split_by_space("value"), F.lit(1)).alias("w"))
-        lf = first(left).withColumnRenamed("id", "id_l")
-        rf = first(right).withColumnRenamed("id", "id_r")
-        return lf.join(rf, "w").select("id_l", "id_r")
+            words = F.array_sort(F.array_distinct(split_by_space("value")))
+            return n.select(F.col("id").alias(name), F.array_join(words, " ").alias("w"))
+        return keyed(left, "id_l").join(keyed(right, "id_r"), "w").select("id_l", "id_r")
+
+
+def containment_pairs(lsets: DataFrame, rsets: DataFrame) -> DataFrame:
+    """All (id_l, id_r) where one token set contains the other; sets: id, toks.
+
+    A contained set's rarest token also stands in the set that contains it,
+    so each set is joined by that one token to the other side's tokens and
+    then compared in full.  Nothing is cut; sets without tokens have no pair."""
+    both = lsets.select(F.explode("toks").alias("token")).unionByName(rsets.select(F.explode("toks").alias("token")))
+    freq = both.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def inside(small: DataFrame, big: DataFrame, a: str, b: str) -> DataFrame:
+        rare = (small.select("id", F.explode("toks").alias("token")).join(freq, "token")
+                .groupBy("id").agg(F.min(F.struct("n", "token"))["token"].alias("token")))
+        probe = small.join(rare, "id").select(F.col("id").alias(a), "token", F.col("toks").alias("x"))
+        held = big.select(F.col("id").alias(b), F.col("toks").alias("y"), F.explode("toks").alias("token"))
+        return probe.join(held, "token").where(F.size(F.array_except("x", "y")) == 0).select("id_l", "id_r")
+
+    return inside(lsets, rsets, "id_l", "id_r").unionByName(inside(rsets, lsets, "id_r", "id_l")).distinct()
 
 
 def block_self(blocker, left: DataFrame, id_col: str, cols: list[str]) -> DataFrame:

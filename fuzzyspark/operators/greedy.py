@@ -11,7 +11,6 @@ task.  No per-iteration state table, no lineage growth.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -22,8 +21,8 @@ from pyspark.sql import types as T
 from fuzzyspark.session import reliable_checkpoint
 
 PATIENCE = 0.05
-# next picks speculatively evaluated per greedy job
-LOOKAHEAD = 0
+# places to which profits are compared
+DIGITS = 9
 
 
 def densify(G: DataFrame, nj: int | None = None, nt: int | None = None) -> DataFrame:
@@ -95,51 +94,26 @@ def _state(selected, nt: int):
     return p_cur, cands
 
 
-def config_gains_multi(G: DataFrame, selected, guesses=(), nt: int | None = None,
-                       width: int | None = None) -> list[list]:
-    """Gains of every config after ``selected`` and after ``selected + [g]``
-    for each ``g`` in ``guesses``, in one scan of G.
+def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
+    """Gains of every config after ``selected``, in one scan of G: sorted
+    (j, t, ΔTP, Δn).
 
-    Per config (j, t): ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed
-    l is new for r.  The base state is evaluated once per r inside an
-    ``inline`` generator (a plain projection would be pushed past the
-    explode and re-evaluated per row); a guess only adds one config, so its
-    state is the base state plus two element lookups, done per row in
-    codegen.  ``width`` pads the guesses so every call generates the same
-    code.  Returns one sorted row list for the base and one per guess."""
+    ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed l is new for r.  The
+    state is evaluated once per r inside an ``inline`` generator (a plain
+    projection would be pushed past the explode and re-evaluated per row)."""
     G = densify(G)
     nt = nt or _nt(G)
-    guesses = list(guesses)
-    width = max(width or 0, len(guesses))
-    gc = _int_array([j * nt + t for j, t in guesses] + [-1] * (width - len(guesses)))
-    gj = _int_array([j for j, _ in guesses] + [-1] * (width - len(guesses)))
     p_cur, cands = _state(selected, nt)
     ltype = G.schema["ls"].dataType.elementType
     st = G.select(F.inline(F.array(F.struct(p_cur.alias("pc"), cands.cast(T.ArrayType(ltype)).alias("cs"),
                                             "ls", "ps"))))
     owner = F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
-    in_cs = F.coalesce(F.array_contains("cs", owner), F.lit(False))
-    cols = [F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp0"),
-            F.when(in_cs, 0).otherwise(1).alias("dn0")]
-    for v in range(1, width + 1):
-        c_v = F.element_at(gc, v)
-        pg = F.when(c_v >= 0, F.try_element_at("ps", c_v + 1))
-        pc_v = F.greatest(F.col("pc"), F.coalesce(pg, F.lit(0.0)))
-        new_l = pg.isNotNull() & (F.try_element_at("ls", F.element_at(gj, v) + 1) == owner)
-        cols += [F.greatest(F.col("p") - pc_v, F.lit(0.0)).alias(f"dtp{v}"),
-                 F.when(in_cs | F.coalesce(new_l, F.lit(False)), 0).otherwise(1).alias(f"dn{v}")]
+    known = F.coalesce(F.array_contains("cs", owner), F.lit(False))
     x = (st.select("pc", "cs", "ls", "ps", F.posexplode("ps").alias("c", "p"))
-         .where(F.col("p").isNotNull()).select("c", *cols))
-    nv = len(guesses) + 1
-    agg = x.groupBy("c").agg(*[a for v in range(width + 1) for a in (
-        F.sum(f"dtp{v}").alias(f"dtp{v}"), F.sum(f"dn{v}").alias(f"dn{v}"))]).collect()
-    return [sorted((r["c"] // nt, r["c"] % nt, r[f"dtp{v}"], r[f"dn{v}"]) for r in agg)
-            for v in range(nv)]
-
-
-def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
-    """Gains of every config after ``selected`` (see config_gains_multi)."""
-    return config_gains_multi(G, selected, (), nt)[0]
+         .where(F.col("p").isNotNull())
+         .select("c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"), F.when(known, 0).otherwise(1).alias("dn")))
+    agg = x.groupBy("c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
+    return sorted((r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg)
 
 
 @dataclass
@@ -155,67 +129,29 @@ class GreedyResult:
         return self.selected[: self.n_keep] if self.n_keep else None
 
 
-@contextmanager
-def small_aggregate_conf(spark, partitions: int = 4):
-    """The per-iteration aggregate holds at most |JF|·T rows, so its shuffle
-    gets a few fixed partitions and no adaptive re-planning (which costs
-    more than the job itself at that size).  Restored on exit."""
-    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
-    old = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE,
-               max_iter: int = 10_000, lookahead: int = LOOKAHEAD) -> GreedyResult:
-    with small_aggregate_conf(G.sparkSession):
-        return _run_greedy(densify(G), target, patience, max_iter, lookahead)
-
-
 def _best(gains, tp, n):
-    """Argmax profit (first wins on ties, configs in (jf, threshold) order)
-    and the ranking of the remaining candidates."""
-    best, ranked = None, []
+    """The config of the highest profit, the first in (jf, threshold) order on
+    ties.  Profits are compared to ``DIGITS`` places, so that the order in
+    which a cluster sums the gains cannot decide."""
+    best = None
     for j, t, dtp, dn in gains:
         if dn == 0:
             continue
         tpn, nn = tp + dtp, n + dn
-        profit = tpn / (nn - tpn + 1e-9)
-        ranked.append((-profit, j, t))
+        profit = round(tpn / (nn - tpn + 1e-9), DIGITS)
         if best is None or profit > best[0]:
             best = (profit, j, t, dtp, dn, tpn / (nn + 1e-9))
-    ranked.sort()
-    return best, [(j, t) for _, j, t in ranked]
+    return best
 
 
-def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int,
-                lookahead: int = LOOKAHEAD) -> GreedyResult:
-    """Greedy loop.  Each Spark job also evaluates the gains after the
-    ``lookahead`` best-ranked next picks; when the actual pick is among
-    them the following iteration needs no job.  Results are exact."""
+def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE) -> GreedyResult:
+    """Add the most profitable config until none adds a match or the estimated
+    precision is more than ``patience`` below the target."""
+    G = densify(G)
     nt = _nt(G)
     res = GreedyResult()
     tp, n = 0.0, 0
-    ready, guesses = None, []
-    for _ in range(max_iter):
-        if ready is not None:
-            gains, spec = ready, {}
-        else:
-            guesses = [g for g in guesses if g not in res.selected][:lookahead]
-            out = config_gains_multi(G, res.selected, guesses, nt, lookahead)
-            gains, spec = out[0], dict(zip(guesses, out[1:]))
-        ready = None
-        best, ranked = _best(gains, tp, n)
-        if best is None:
-            break
+    while (best := _best(config_gains(G, res.selected, nt), tp, n)) is not None:
         profit, j, t, dtp, dn, avg = best
         res.selected.append((j, t))
         tp, n = tp + dtp, n + dn
@@ -225,8 +161,6 @@ def _run_greedy(G: DataFrame, target: float, patience: float, max_iter: int,
             res.n_keep, res.precision = len(res.selected), avg
         if avg < target - patience:
             break
-        ready = spec.get((j, t))
-        guesses = [g for g in ranked if g != (j, t)]
     return res
 
 

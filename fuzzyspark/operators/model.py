@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -30,25 +29,31 @@ class FuzzyJoinModel:
     precision_est: float | None
     params: dict = field(default_factory=dict)
     history: list = field(default_factory=list)
+    blocker: object | None = None        # as fitted; the token blocker is also kept in params
+    custom: dict = field(default_factory=dict)   # custom join functions by name
 
-    def save(self, path: str):
-        """Model directory: params.json (configs, weights, params) + rules parquet."""
-        os.makedirs(path, exist_ok=True)
+    def save(self, spark: SparkSession, path: str):
+        """Model directory of two Spark tables: params (one JSON row) and rules.
+
+        A custom blocker and custom join functions are code; pass them to
+        ``load`` again."""
         meta = {"configs": self.configs, "column_weights": self.column_weights,
                 "precision_est": self.precision_est, "params": self.params}
-        with open(os.path.join(path, "params.json"), "w") as f:
-            json.dump(meta, f)
-        if self.rules is not None:
-            self.rules.write.mode("overwrite").parquet(os.path.join(path, "rules.parquet"))
+        spark.createDataFrame([(json.dumps(meta),)], "params string").write.mode("overwrite").parquet(f"{path}/params")
+        rules = self.rules if self.rules is not None else spark.createDataFrame([], RULE_SCHEMA)
+        rules.write.mode("overwrite").parquet(f"{path}/rules")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "FuzzyJoinModel":
-        with open(os.path.join(path, "params.json")) as f:
-            meta = json.load(f)
-        rp = os.path.join(path, "rules.parquet")
-        rules = spark.read.parquet(rp) if os.path.exists(rp) else spark.createDataFrame([], RULE_SCHEMA)
+    def load(spark: SparkSession, path: str, blocker=None, custom_jfs=()) -> "FuzzyJoinModel":
+        meta = json.loads(spark.read.parquet(f"{path}/params").first()["params"])
         cfg = [tuple(c) for c in meta["configs"]] if meta["configs"] else None
-        return FuzzyJoinModel(cfg, meta["column_weights"], rules, meta["precision_est"], meta["params"])
+        return FuzzyJoinModel(cfg, meta["column_weights"], spark.read.parquet(f"{path}/rules"), meta["precision_est"],
+                              meta["params"], blocker=blocker, custom={j.name: j for j in custom_jfs})
+
+    def fitted_blocker(self):
+        """The blocker of the fit, or None for the default one."""
+        kept = self.params.get("blocker")
+        return self.blocker or (B.TokenBlocker(**kept) if kept else None)
 
 
 def join_columns(left: DataFrame, right: DataFrame, id_col: str, on=None) -> list[str]:
@@ -152,7 +157,7 @@ def new_weights(old: list[float] | None, grid: list[float]) -> list[list[float]]
 
 
 def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_target: float = 0.9,
-        join_function_space="autofj_sm", distance_threshold_space=50, column_weight_space=10,
+        join_function_space="sm", distance_threshold_space=50, column_weight_space=10,
         blocker=None, left_aug: DataFrame | None = None, stem: bool = True,
         checkpoint: bool = True):
     """Learn the join; returns ``(model, result)``.
@@ -200,14 +205,17 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
     params = {"id_column": id_col, "on": cols, "stem": stem,
               "join_function_space": join_function_space if isinstance(join_function_space, (str, dict)) else None,
               "precision_target": precision_target}
+    if isinstance(blocker, B.TokenBlocker):
+        params["blocker"] = {k: getattr(blocker, k) for k in ("num_candidates", "weighting", "stem", "salt_rows")}
+    kept = {"blocker": blocker, "custom": {j.name: j for j in jfs if not isinstance(j, JoinFunction)}}
     if best is None or best["greedy"].configs is None:
-        model = FuzzyJoinModel(None, None, prep.rules, None, params)
+        model = FuzzyJoinModel(None, None, prep.rules, None, params, **kept)
         return model, empty_result(left, right)
     names = best["names"]
     configs = [(names[j], best["ts"][names[j]][t]) for j, t in best["greedy"].configs]
     weights = dict(zip(best["columns"], best["wlist_sel"]))
     model = FuzzyJoinModel(configs, weights, prep.rules, best["greedy"].precision, params,
-                           best["greedy"].history)
+                           best["greedy"].history, **kept)
     model.matches = best["matches"]
     return model, materialize(best["matches"], left, right, id_col)
 
@@ -242,7 +250,8 @@ def predict_matches(model: FuzzyJoinModel, left: DataFrame, right: DataFrame, id
     for jf, _ in model.configs:
         if jf not in names:
             names.append(jf)
-    custom = {j.name: j for j in (custom_jfs or [])}
+    custom = {**model.custom, **{j.name: j for j in (custom_jfs or [])}}
+    blocker = blocker or model.fitted_blocker()
     jfs = [custom.get(n) or from_name(n) for n in names]
     prep = prepare(left, right, id_col, cols, jfs, blocker, model.rules, stem, checkpoint)
     weights = [float((model.column_weights or {}).get(c, 0.0)) for c in cols]
@@ -258,11 +267,12 @@ def predict_matches(model: FuzzyJoinModel, left: DataFrame, right: DataFrame, id
 
 
 def predict(model: FuzzyJoinModel, left: DataFrame, right: DataFrame, id_col: str, on=None,
-            left_aug: DataFrame | None = None, blocker=None, checkpoint: bool = True) -> DataFrame:
+            left_aug: DataFrame | None = None, blocker=None, checkpoint: bool = True,
+            custom_jfs=None) -> DataFrame:
     left = augment(left, left_aug)
     if not model.configs:
         return empty_result(left, right)
-    m = predict_matches(model, left, right, id_col, on, blocker, checkpoint)
+    m = predict_matches(model, left, right, id_col, on, blocker, checkpoint, custom_jfs)
     return materialize(m, left, right, id_col, distinct=True)
 
 

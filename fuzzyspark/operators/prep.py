@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fuzzyspark.sources import views as V
 
-URI_TAIL_RE = r"/([^/?#]*)(?:[?#].*)?$"
+URI_TAIL_RE = r"[/#]([^/?#]*)(?:\?[^#]*)?$"
 HOST_RE = r"^[a-z]+://([^/]+)"
 YEAR_RE = r"^\+?(\d{4})"
 
@@ -47,10 +47,11 @@ def uri_tail(df: DataFrame, id_col: str, url: str) -> DataFrame:
                      F.regexp_extract(url, URI_TAIL_RE, 1).alias("tail"))
 
 
-def pivot_props(events: DataFrame) -> DataFrame:
+def pivot_props(triples: DataFrame, entity: str, prop: str, value: str, names: list[str]) -> DataFrame:
     """Entity rows from (entity, property, value) triples: one column per
-    property, the largest value kept."""
-    return events.groupBy("user_id").pivot("event_type").agg(F.max("value"))
+    named property, the largest value kept, null where an entity has none."""
+    return triples.groupBy(entity).agg(*[
+        F.max(F.when(F.col(prop) == n, F.col(value))).alias(n) for n in names])
 
 
 def normalize_props(events: DataFrame) -> DataFrame:
@@ -64,19 +65,20 @@ def normalize_props(events: DataFrame) -> DataFrame:
 
 
 def variant_project(df: DataFrame, id_col: str, cols: list[str], variant: str) -> DataFrame:
-    """1col / 2col / full projections with null rows dropped, distinct."""
+    """Distinct rows of the 1col, 2col or full projection.  A row of 1col or
+    2col needs all its values, a row of full at least one."""
     if variant == "1col":
         keep = cols[:1]
     elif variant == "2col":
         keep = cols[:2]
     else:
         keep = cols
-    return df.select(id_col, *keep).na.drop(how="any", subset=keep).distinct()
+    return df.select(id_col, *keep).na.drop(how="all" if variant == "full" else "any", subset=keep).distinct()
 
 
 def label_lookup(nation: DataFrame, region: DataFrame) -> DataFrame:
     """Replace a foreign id by its label; fall back to "name (id)"."""
-    j = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"], "left")
+    j = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
     label = F.coalesce(F.col("r_name"), F.concat(F.col("n_name"), F.lit(" ("),
                                                  F.col("n_regionkey").cast("string"), F.lit(")")))
     return j.select("n_nationkey", "n_name", label.alias("region_label"))

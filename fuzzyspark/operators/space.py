@@ -15,7 +15,7 @@ CHAR_DISTANCES = ("editDistance", "jaroDistance")
 
 # The three built-in spaces (option lists per slot).
 BUILTIN_SPACES = {
-    "autofj_lg": {
+    "lg": {
         "preprocess_methods": ["lower", "lowerStem", "lowerRemovePunctuation",
                                "lowerRemovePunctuationStem"],
         "tokenize_methods": ["threeGram", "splitBySpace"],
@@ -25,7 +25,7 @@ BUILTIN_SPACES = {
                                    "containDiceDistance", "intersectDistance", "jaccardDistance",
                                    "cosineDistance", "diceDistance", "maxincDistance"],
     },
-    "autofj_md": {
+    "md": {
         "preprocess_methods": ["lower", "lowerStem", "lowerRemovePunctuationStem"],
         "tokenize_methods": ["threeGram", "splitBySpace"],
         "token_weights": ["uniformWeight", "idfWeight"],
@@ -34,7 +34,7 @@ BUILTIN_SPACES = {
                                    "containDiceDistance", "intersectDistance", "jaccardDistance",
                                    "cosineDistance", "diceDistance", "maxincDistance"],
     },
-    "autofj_sm": {
+    "sm": {
         "preprocess_methods": ["lower", "lowerRemovePunctuationStem"],
         "tokenize_methods": ["threeGram", "splitBySpace"],
         "token_weights": ["idfWeight"],

@@ -9,7 +9,6 @@ single-partition window.
 from __future__ import annotations
 
 import itertools
-import time
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -121,15 +120,11 @@ def kfold(left, right, gt, id_col, n_splits=5, seed=0, stable_left=False):
 def _fit_score(train, test, id_col, fit_kw, label):
     (ltr, rtr), gtr = train
     (lte, rte), gte = test
-    t0 = time.time()
     model, res = M.fit(ltr, rtr, id_col, **fit_kw)
-    t1 = time.time()
     tr = E.evaluate(gtr, res.select(F.col(id_col + "_l").alias("id_l"), F.col(id_col + "_r").alias("id_r")))
     pred = M.predict(model, lte, rte, id_col)
     te = E.evaluate(gte, pred.select(F.col(id_col + "_l").alias("id_l"), F.col(id_col + "_r").alias("id_r")))
-    t2 = time.time()
-    row = {"run": label, "train_time": t1 - t0, "test_time": t2 - t1,
-           "precision_est": model.precision_est}
+    row = {"run": label, "precision_est": model.precision_est}
     row.update({f"{k}_train": v for k, v in tr.items()})
     row.update({f"{k}_test": v for k, v in te.items()})
     return row
@@ -178,20 +173,21 @@ def blocker_compare(left, right, gt, id_col, blockers: dict, **fit_kw) -> DataFr
 
 
 def grid_search(left, right, gt, id_col, param_grid: dict, n_splits=3, seed=0,
-                score="f1.0-score") -> tuple[DataFrame, dict]:
+                score="f1.0-score", stable_left=False) -> tuple[DataFrame, dict, M.FuzzyJoinModel | None]:
     """Mean held-out score of every parameter combination over k folds;
-    returns (results, best parameters)."""
+    returns (results, best parameters, model fitted with them on all rows).
+    An undefined score counts as 0; the first of equal combinations is best."""
     keys = sorted(param_grid)
     rows, best, best_score = [], None, float("-inf")
     for combo in itertools.product(*[param_grid[k] for k in keys]):
         params = dict(zip(keys, combo))
         scores = []
-        for tr, te in kfold(left, right, gt, id_col, n_splits, seed):
-            r = _fit_score(tr, te, id_col, params, "cv")
-            scores.append(r.get(f"{score}_test"))
-        vals = [s for s in scores if s is not None and s == s]
-        mean = sum(vals) / len(vals) if vals else float("nan")
+        for tr, te in kfold(left, right, gt, id_col, n_splits, seed, stable_left):
+            s = _fit_score(tr, te, id_col, params, "cv").get(f"{score}_test")
+            scores.append(s if s is not None and s == s else 0.0)
+        mean = sum(scores) / len(scores)
         rows.append({"run": str(params), "mean_score": mean})
-        if mean == mean and mean > best_score:
+        if mean > best_score:
             best, best_score = params, mean
-    return _rows_df(left.sparkSession, rows), best
+    model = M.fit(left, right, id_col, **best)[0] if best is not None else None
+    return _rows_df(left.sparkSession, rows), best, model

@@ -42,6 +42,8 @@ DIST_QUERIES = {
     "empty_fill": "lowerRemovePunctuation_splitBySpace_uniformWeight_jaccardDistance",
 }
 PRECISION_JFS = [j for j, _ in UOC]
+# The kinds of events, one column each.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def _lr(spark, d):
@@ -145,12 +147,12 @@ def q_block_lookup(spark, d):
     lookup = B.normalize_records(L, "id", ["title"], stem=False).select(
         F.col("value").alias("key"), F.col("id").alias("id_l"),
         F.row_number().over(Window.partitionBy("value").orderBy("id")).alias("ordinal"))
-    return B.LookupBlocker(lookup, k=10).block(L, R, "id", ["title"])
+    return B.LookupBlocker(lookup, B.default_k(L.count())).block(L, R, "id", ["title"])
 
 
 def q_block_custom(spark, d):
     L, R = _lr(spark, d)
-    return B.PrefixBlocker().block(L, R, "id", ["title"])
+    return B.WordSetBlocker().block(L, R, "id", ["title"])
 
 
 # ------------------------------------------------------------ text / tokens
@@ -214,9 +216,9 @@ def q_token_set_ops(spark, d):
 
 
 def q_contain_join(spark, d):
-    j = q_token_set_ops(spark, d)
-    return j.where(F.col("n_inter") == F.least(F.col("n_inter") + F.col("n_l_only"),
-                                                 F.col("n_inter") + F.col("n_r_only"))).select("id_l", "id_r")
+    L, R = _lr(spark, d)
+    words = lambda df: df.select("id", F.array_distinct(split_by_space(F.lower("title"))).alias("toks"))
+    return B.containment_pairs(words(L), words(R))
 
 
 # ---------------------------------------------------------------- distances
@@ -420,18 +422,18 @@ def q_multi_column_join(spark, d):
 
 
 def q_model_roundtrip(spark, d):
-    import os
+    import uuid
     from fuzzyspark.session import checkpoint_dir
     L, R = _lr(spark, d)
     model, _ = M.fit(L, R, "id")
-    path = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"model-{os.getpid()}")
-    model.save(path)
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.save(spark, path)
     return M.predict(M.FuzzyJoinModel.load(spark, path), L, R, "id")
 
 
 def q_featurize(spark, d):
     L, R = _lr(spark, d)
-    prep = M.prepare(L, R, "id", ["title"], resolve("autofj_sm"))
+    prep = M.prepare(L, R, "id", ["title"], resolve("sm"))
     return prep.long.select("side", "id_l", "id_r", "jf", F.round("d_0", R6).alias("d"))
 
 
@@ -499,13 +501,40 @@ def q_uri_tail(spark, d):
 
 
 def q_pivot_props(spark, d):
-    return PR.pivot_props(V.table(spark, d, "events"))
+    return PR.pivot_props(V.table(spark, d, "events"), "user_id", "event_type", "value", EVENT_TYPES)
 
 
 def q_variant_project(spark, d):
     return PR.variant_project(V.page_titles(spark, d), "id", ["title", "lang"], "2col")
 
 
+def _variant(spark, d, variant):
+    return PR.variant_project(PR.nullable_titles(spark, d).withColumn("lang", F.nullif("lang", F.lit("en"))),
+                              "id", ["title", "lang"], variant)
+
+
+def q_variant_1col(spark, d):
+    return _variant(spark, d, "1col")
+
+
+def q_variant_full(spark, d):
+    return _variant(spark, d, "full")
+
+
+def q_variant_pairs(spark, d):
+    return _variant(spark, d, "2col")
+
+
+def q_scores(spark, d):
+    return E.metrics(V.fj_gt(spark, d), _predict_pairs(spark, d)).select(
+        "n_pred", "n_gt", "n_tp", _r("precision"), _r("recall"), _r("fscore"))
+
+
+def q_grid_search(spark, d):
+    L, R = _lr(spark, d)
+    return VA.grid_search(L, R, V.fj_gt(spark, d), "id", {"precision_target": [0.8, 0.9]}, n_splits=2, stable_left=True)[0]
+
+
 def q_label_lookup(spark, d):
     return PR.label_lookup(V.table(spark, d, "nation"), V.table(spark, d, "region"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fuzzyspark.operators.prep import HOST_RE, URI_TAIL_RE, YEAR_RE
 from fuzzyspark.plans import sqlparts as S
-from fuzzyspark.plans.catalog import DIST_QUERIES, PRECISION_JFS, UOC
+from fuzzyspark.plans.catalog import DIST_QUERIES, EVENT_TYPES, PRECISION_JFS, UOC
 
 W = S.with_ctes
 VLR = S.views("fj_left", "fj_right")
@@ -117,9 +117,11 @@ def oracle() -> dict[str, str]:
                                "SELECT id_l, id_r, round(score, 6) AS score FROM b_blk")
     o["block_lookup"] = W(VLR + BLK, "SELECT l.id AS id_l, r.id AS id_r FROM (SELECT id, value, row_number() OVER "
                                      "(PARTITION BY value ORDER BY id) AS rn FROM b_lnorm) l JOIN b_rnorm r "
-                                     "ON r.value = l.value WHERE l.rn <= 10")
+                                     "ON r.value = l.value WHERE l.rn <= least(CAST(floor(sqrt((SELECT count(*) "
+                                     "FROM b_lnorm))) AS BIGINT), 50)")
     o["block_custom"] = W(VLR + BLK, f"SELECT l.id AS id_l, r.id AS id_r FROM b_lnorm l JOIN b_rnorm r ON "
-                                     f"{S.split_space('l.value')}[1] = {S.split_space('r.value')}[1]")
+                                     f"list_sort(list_distinct({S.split_space('l.value')})) = "
+                                     f"list_sort(list_distinct({S.split_space('r.value')}))")
     o["prep_lower"] = W(t, "SELECT id, lower(coalesce(title, 'nan')) AS value FROM fj_titles")
     o["prep_lower_nopunct"] = W(t, f"SELECT id, {S.remove_punct('lower(coalesce(title, ' + chr(39) + 'nan' + chr(39) + '))')} AS value FROM fj_titles")
     o["tok_words"] = W(t, f"SELECT id, token, count(*) AS cnt FROM (SELECT id, unnest({S.split_space('lower(title)')}) "
@@ -135,7 +137,10 @@ def oracle() -> dict[str, str]:
     o["token_set_ops"] = W(VLR + BLK + [("st", sets)],
                            f"SELECT id_l, id_r, {inter} AS n_inter, len(x) + len(y) - {inter} AS n_union, "
                            f"len(x) - {inter} AS n_l_only, len(y) - {inter} AS n_r_only FROM st")
-    o["contain_join"] = W(VLR + BLK + [("st", sets)], f"SELECT id_l, id_r FROM st WHERE {inter} = least(len(x), len(y))")
+    everyone = (f"SELECT l.id AS id_l, r.id AS id_r, list_distinct({S.split_space('lower(l.title)')}) AS x, "
+                f"list_distinct({S.split_space('lower(r.title)')}) AS y FROM fj_left l, fj_right r")
+    o["contain_join"] = W(VLR + [("st", everyone)], f"SELECT id_l, id_r FROM st WHERE {inter} = least(len(x), len(y)) "
+                                                    f"AND least(len(x), len(y)) > 0")
     for name, jf in DIST_QUERIES.items():
         o[name] = _dist_sql(jf)
     ctes = VLR + BLK + SELF + [LL, ("pairs", "SELECT 'LL' AS side, id_l, id_r FROM ll UNION ALL "
@@ -177,6 +182,7 @@ def oracle() -> dict[str, str]:
                           "round(2 * (n_tp / n_pred) * (n_tp / n_gt) / (n_tp / n_pred + n_tp / n_gt), 6) AS f1 FROM "
                           "(SELECT (SELECT count(*) FROM pp) AS n_pred, (SELECT count(*) FROM gg) AS n_gt, "
                           "(SELECT count(*) FROM (SELECT * FROM pp INTERSECT SELECT * FROM gg)) AS n_tp)")
+    o["scores"] = o["evaluate"].replace(" AS f1 FROM", " AS fscore FROM")
     o["tp_fp_fn"] = W(pr, "SELECT id_l, id_r, kind FROM tpfpfn")
     o["error_report"] = W(pr, "SELECT t.id_l, t.id_r, t.kind, l.title AS title_l, r.title AS title_r FROM tpfpfn t "
                               "LEFT JOIN fj_left l ON CAST(l.id AS VARCHAR) = t.id_l "
@@ -199,7 +205,12 @@ def oracle() -> dict[str, str]:
                             "FROM conversations GROUP BY conv_id, role")
     o["uri_tail"] = (f"SELECT page_id, regexp_extract(url, '{HOST_RE}', 1) AS host, "
                      f"regexp_extract(url, '{URI_TAIL_RE}', 1) AS tail FROM pages")
-    o["pivot_props"] = "PIVOT (SELECT user_id, event_type, value FROM events) ON event_type USING max(value) GROUP BY user_id"
+    o["pivot_props"] = "SELECT user_id, " + ", ".join(
+        f'max(CASE WHEN event_type = \'{n}\' THEN value END) AS "{n}"' for n in EVENT_TYPES) + " FROM events GROUP BY user_id"
+    thin = "SELECT id, nullif(title, '') AS title, nullif(nullif(lang, ''), 'en') AS lang FROM fj_titles"
+    o["variant_1col"] = W(t, f"SELECT DISTINCT id, title FROM ({thin}) WHERE title IS NOT NULL")
+    o["variant_pairs"] = W(t, f"SELECT DISTINCT id, title, lang FROM ({thin}) WHERE title IS NOT NULL AND lang IS NOT NULL")
+    o["variant_full"] = W(t, f"SELECT DISTINCT id, title, lang FROM ({thin}) WHERE title IS NOT NULL OR lang IS NOT NULL")
     o["variant_project"] = W(t, "SELECT DISTINCT id, title, lang FROM fj_titles WHERE title IS NOT NULL AND lang IS NOT NULL")
     o["label_lookup"] = ("SELECT n_nationkey, n_name, coalesce(r_name, n_name || ' (' || CAST(n_regionkey AS VARCHAR) || ')') "
                          "AS region_label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")

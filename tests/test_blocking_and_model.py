@@ -9,7 +9,7 @@ from fuzzyspark.operators import model as M
 from fuzzyspark.operators import validate as VA
 from fuzzyspark.sources import views as V
 
-from conftest import REF_BENCH
+from conftest import TRIPLES
 
 
 def test_salting_does_not_change_blocking(spark, sf):
@@ -51,7 +51,7 @@ def test_partition_count_invariance(spark, sf):
 def test_model_roundtrip(spark, sf, tmp_path):
     L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
     model, _ = M.fit(L, R, "id")
-    model.save(str(tmp_path / "m"))
+    model.save(spark, str(tmp_path / "m"))
     back = M.FuzzyJoinModel.load(spark, str(tmp_path / "m"))
     assert back.configs == model.configs and back.column_weights == model.column_weights
 
@@ -74,10 +74,10 @@ def test_evaluate_nan_on_empty(spark):
     assert res["precision"] != res["precision"] and res["recall"] == 0.0
 
 
-def _ref_triple(spark, name):
-    d = os.path.join(REF_BENCH, name)
-    if not os.path.exists(os.path.join(d, "left.csv")):
-        pytest.skip("reference data not present")
+def _triple(spark, name):
+    d = os.path.join(TRIPLES, name)
+    if not TRIPLES or not os.path.exists(os.path.join(d, "left.csv")):
+        pytest.skip("TRIPLES_DIR not set")
     rd = lambda f, s: spark.read.schema(s).option("header", True).option("quote", '"') \
         .option("escape", '"').option("multiLine", True).csv(os.path.join(d, f))
     return (rd("left.csv", "id string, title string"), rd("right.csv", "id string, title string"),
@@ -85,8 +85,8 @@ def _ref_triple(spark, name):
 
 
 @pytest.mark.parametrize("name", ["TennisTournament"])
-def test_quality_on_reference_dataset(spark, name):
-    L, R, gt = _ref_triple(spark, name)
+def test_quality_on_a_labelled_triple(spark, name):
+    L, R, gt = _triple(spark, name)
     model, res = M.fit(L, R, "id")
     pred = res.select(F.col("id_l"), F.col("id_r"))
     sc = E.evaluate(gt, pred)
@@ -114,6 +114,65 @@ def test_custom_join_function(spark):
     assert got == {(1, 10): 2.0, (2, 10): 4.0}
 
 
+def test_custom_function_and_blocker_are_kept_for_predict(spark):
+    L = spark.createDataFrame([(i, "x" * (5 * i + 1)) for i in range(8)], "id long, v string")
+    R = spark.createDataFrame([(10 + i, "x" * (5 * i + 1)) for i in range(8)], "id long, v string")
+
+    class Everything:
+        calls = 0
+
+        def block(self, left, right, id_col, cols):
+            Everything.calls += 1
+            return left.select(F.col(id_col).alias("id_l"), F.lit(1).alias("k")).join(
+                right.select(F.col(id_col).alias("id_r"), F.lit(1).alias("k")), "k").select("id_l", "id_r")
+
+    model, res = M.fit(L, R, "id", join_function_space=[LenDiff()], blocker=Everything(), precision_target=0.5)
+    want = {(r["id_l"], r["id_r"]) for r in res.collect()}
+    assert want == {(i, 10 + i) for i in range(8)}
+    before = Everything.calls
+    assert {(r["id_l"], r["id_r"]) for r in M.predict(model, L, R, "id").collect()} == want
+    assert Everything.calls > before
+
+
+def test_containment_and_word_set_pairs(spark):
+    import itertools
+    import random
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample("abcdefg", rng.randint(0, 4))) for i in range(60)}
+    df = lambda ids: spark.createDataFrame([(i, sets[i]) for i in ids], "id long, toks array<string>")
+    got = sorted(tuple(r) for r in B.containment_pairs(df(range(30)), df(range(30, 60))).collect())
+    assert got == [(x, y) for x, y in itertools.product(range(30), range(30, 60))
+                   if sets[x] and sets[y] and (set(sets[x]) <= set(sets[y]) or set(sets[y]) <= set(sets[x]))]
+    L = spark.createDataFrame([(1, "b a"), (2, "a c")], "id long, v string")
+    R = spark.createDataFrame([(5, "A, b b!"), (6, "a")], "id long, v string")
+    assert [tuple(r) for r in B.WordSetBlocker().block(L, R, "id", ["v"]).collect()] == [(1, 5)]
+
+
+def test_sinks_and_summaries(spark, tmp_path):
+    from fuzzyspark.sources import io
+    pairs = spark.createDataFrame([(1, 2)], "id_l long, id_r long")
+    out = str(tmp_path / "ds1" / "0" / "fit")
+    io.write_predictions(out, pairs, pairs, pairs.limit(0), pairs.limit(0))
+    assert spark.read.parquet(f"{out}/pred_tp").count() == 1 and spark.read.parquet(f"{out}/pred_fp").count() == 0
+    io.write_learned(spark, out, M.FuzzyJoinModel([("f", 0.5)], {"v": 1.0}, None, 0.9))
+    assert spark.read.parquet(f"{out}/join_configs").first()["threshold"] == 0.5
+    io.write_summary(spark, out, {"precision": 0.5, "seconds": 3, "space": "sm"})
+    r = io.collect_summaries(spark, str(tmp_path / "*/*/*/summary.csv")).first()
+    assert (r["dataset"], r["attempt"], r["pipeline"], r["space"], float(r["precision"])) == ("ds1", "0", "fit", "sm", 0.5)
+    assert io.load_optional(spark, str(tmp_path / "none.csv")) is None
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n{"k": 2}\n')
+    assert io.read_json_lines(spark, str(tmp_path / "a.jsonl")).count() == 2
+    with pytest.raises(FileNotFoundError):
+        io.load_named(spark, str(tmp_path), "nothing")
+
+
+def test_metrics_row(spark):
+    gt = spark.createDataFrame([(1, 2), (3, 4)], "id_l long, id_r long")
+    r = E.metrics(gt, spark.createDataFrame([(1, 2), (5, 6), (7, 8)], "id_l long, id_r long")).first()
+    assert (r.n_pred, r.n_gt, r.n_tp) == (3, 2, 1) and r.fscore == pytest.approx(2 * (1 / 3) * 0.5 / (1 / 3 + 0.5))
+    assert E.metrics(gt, gt.limit(0)).first().precision is None
+
+
 def test_json_and_csv_readers(spark, tmp_path):
     from fuzzyspark.sources import io
     (tmp_path / "b.json").write_text('{"results": {"bindings": [{"entId": {"value": "Q1", "type": "uri"}}, '

@@ -79,10 +79,10 @@ def test_char_distances_match_brute_force_on_pages(spark, sf):
 
 
 def test_space_sizes():
-    assert len(resolve("autofj_sm")) == 14
-    assert len(resolve("autofj_md")) == 102
-    assert len(resolve("autofj_lg")) == 136
-    names = [j.name for j in resolve("autofj_sm")]
+    assert len(resolve("sm")) == 14
+    assert len(resolve("md")) == 102
+    assert len(resolve("lg")) == 136
+    names = [j.name for j in resolve("sm")]
     assert "lower_None_None_jaroDistance" in names
     assert len(set(names)) == 14
 

@@ -40,51 +40,47 @@ def test_greedy_hand_cases(spark, configs, target, kept, prec):
         assert m[3] == 4 and m[4] == 4
 
 
-def _brute_greedy(configs, target, patience=0.05):
-    """Plain-Python greedy written from the published description."""
-    cands, pcur, joins, sel = {}, {}, {}, []
-    tp = n = 0.0
-    keep = None
-    while True:
-        best = None
-        for j, cfg in enumerate(configs):
-            dtp = dn = 0.0
-            for r, (l, p) in cfg.items():
-                if r in cands:
-                    dtp += max(pcur[r], p) - pcur[r]
-                    dn += 0 if l in cands[r] else 1
-                else:
-                    dtp += p
-                    dn += 1
-            if dn == 0:
-                continue
-            profit = (tp + dtp) / (n + dn - tp - dtp + 1e-9)
-            if best is None or profit > best[0]:
-                best = (profit, j, dtp, dn, (tp + dtp) / (n + dn + 1e-9))
-        if best is None:
-            break
-        _, j, dtp, dn, avg = best
-        sel.append(j)
+def _matches(configs, chosen):
+    """Definition: r joins the l of its chosen config of highest p, the earliest on ties."""
+    best = {}
+    for place, j in enumerate(chosen):
+        for r, (l, p) in configs[j].items():
+            best[r] = max(best.get(r, (0.0, 0, None)), (p, -place, l))
+    return {r: l for r, (_, _, l) in best.items()}
+
+
+def _measure(configs, chosen):
+    """(TP, n) of a set of configs: the sum over r of its highest p, and the number of distinct (r, l)."""
+    tops, pairs = {}, set()
+    for j in chosen:
         for r, (l, p) in configs[j].items():
-            if r in cands:
-                if p > pcur[r]:
-                    pcur[r], joins[r] = p, l
-                cands[r].add(l)
-            else:
-                cands[r], pcur[r], joins[r] = {l}, p, l
-        tp, n = tp + dtp, n + dn
-        if avg > target:
-            keep = (list(sel), avg, dict(joins))
-        if avg < target - patience:
-            break
-    return keep
-
-
-@pytest.mark.parametrize("lookahead", [0, 3])
-def test_greedy_matches_brute_force_random(spark, lookahead):
+            tops[r] = max(tops.get(r, 0.0), p)
+            pairs.add((r, l))
+    return sum(tops.values()), len(pairs)
+
+
+def _best_chain(configs, target, patience=0.05):
+    """Every extension of the chosen set is measured as a whole; the last prefix above the target counts."""
+    chosen, kept = [], None
+    while True:
+        n = _measure(configs, chosen)[1]
+        options = [(j, *_measure(configs, [*chosen, j])) for j in range(len(configs))]
+        options = [(round(tp / (m - tp + 1e-9), 9), -j, tp / (m + 1e-9)) for j, tp, m in options if m > n]
+        if not options:
+            return kept
+        _, j, precision = max(options)
+        chosen.append(-j)
+        if precision > target:
+            kept = (list(chosen), precision, _matches(configs, chosen))
+        if precision < target - patience:
+            return kept
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 50])
+def test_greedy_matches_definition(spark, partitions):
     import random
     rng = random.Random(7)
-    for _ in range(4):
+    for _ in range(2):
         configs = []
         for _j in range(5):
             cfg = {}
@@ -93,9 +89,9 @@ def test_greedy_matches_brute_force_random(spark, lookahead):
                     cfg[r] = (rng.randint(1, 4), rng.choice([1.0, 0.5, 1 / 3, 0.25]))
             configs.append(cfg)
         target = rng.choice([0.5, 0.6, 0.7])
-        want = _brute_greedy(configs, target)
-        g = _G(spark, configs).cache()
-        res = G.run_greedy(g, target, lookahead=lookahead)
+        want = _best_chain(configs, target)
+        g = _G(spark, configs).repartition(partitions).cache()
+        res = G.run_greedy(g, target)
         if want is None:
             assert res.configs is None
             continue
