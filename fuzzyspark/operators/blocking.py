@@ -3,8 +3,8 @@
 Plan shape (per blocker call):
 
 * L postings ``(token, id_l, weight)`` from one explode + two aggregations;
-* R's distinct tokens joined to the postings on ``token`` (hot tokens are
-  salted so one token's posting list is spread over several tasks);
+* the distinct tokens of R's distinct values joined to the postings on
+  ``token`` (a token frequent on either side is cut into a grid of cells);
 * ``groupBy(id_r, id_l).sum`` with map-side partial aggregation;
 * ``rank() <= k`` per ``id_r`` (Catalyst adds a partial WindowGroupLimit
   before the shuffle).
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from typing import Protocol
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,27 +88,33 @@ def right_tokens(rnorm: DataFrame) -> DataFrame:
 
 
 def token_join(rtok: DataFrame, post: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """``rtok ⋈ postings`` on token, salting tokens with long posting lists.
-
-    A token whose posting list holds more than ``salt_rows`` L records gets
-    ``ceil(df / salt_rows)`` salts: its postings are spread by a hash of
-    ``id_l`` and the R rows carrying it are replicated once per salt, so no
-    single task receives a whole hot posting list.
-    """
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(float(salt_rows)))).cast("int")
-    hot = post.where(F.col("df") > salt_rows).select("token", nsalt.alias("nsalt")).distinct()
+    """``rtok ⋈ postings`` on token, cutting tokens that are frequent on either side.
+
+    A token held by more than ``salt_rows`` records of L or R becomes a grid
+    of cells: its postings are spread over ``ceil(df_L / salt_rows)`` rows by
+    a hash of ``id_l``, its R records over ``ceil(df_R / salt_rows)`` columns
+    by a hash of ``id_r``, and each side is repeated along the other, so a
+    cell joins at most about ``salt_rows`` records of each side."""
+    cells = lambda n: F.ceil(F.col(n) / F.lit(float(salt_rows))).cast("int")
+    df_l = post.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > salt_rows)
+    df_r = rtok.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > salt_rows)
+    hot = (df_l.select("token", cells("n").alias("nl")).join(df_r.select("token", cells("n").alias("nr")), "token", "full")
+           .select("token", F.coalesce("nl", F.lit(1)).alias("nl"), F.coalesce("nr", F.lit(1)).alias("nr"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
     n_hot = hot.count()
     if n_hot == 0:
+        hot.unpersist()
         return rtok.join(post.drop("df"), "token")
     if n_hot <= HOT_BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    salted_post = post.select(
-        "token", "id_l", "w",
-        F.pmod(F.xxhash64("id_l"), nsalt).alias("salt"))
-    salted_r = (rtok.join(hot, "token", "left")
-                .select("id_r", "token", F.explode(F.sequence(
-                    F.lit(0), F.coalesce(F.col("nsalt"), F.lit(1)) - 1)).alias("salt")))
-    return salted_r.join(salted_post, ["token", "salt"]).drop("salt")
+    grid = lambda df: (df.join(hot, "token", "left")
+                       .withColumn("nl", F.coalesce("nl", F.lit(1))).withColumn("nr", F.coalesce("nr", F.lit(1))))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (grid(post.drop("df")).withColumn("row", F.pmod(F.xxhash64("id_l"), F.col("nl")).cast("int"))
+            .withColumn("column", each("nr")).drop("nl", "nr"))
+    right = (grid(rtok).withColumn("column", F.pmod(F.xxhash64("id_r"), F.col("nr")).cast("int"))
+             .withColumn("row", each("nl")).drop("nl", "nr"))
+    return right.join(left, ["token", "row", "column"]).drop("row", "column")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -130,8 +137,15 @@ def block_normalized(lnorm: DataFrame, rnorm: DataFrame, n_left: int,
                      k: int | None = None, weighting: str = "tfidf",
                      salt_rows: int = SALT_ROWS, keep_score: bool = False,
                      postings: DataFrame | None = None) -> DataFrame:
+    """Top-k candidates.  R records of equal value are blocked once: the join
+    and the ranking run on one record of each value, whose candidates the
+    others share."""
     k = default_k(n_left) if k is None else k
-    out = top_k(block_scores(lnorm, rnorm, n_left, weighting, salt_rows, postings), k)
+    one = rnorm.groupBy("value").agg(F.min("id").alias("id"))
+    best = top_k(block_scores(lnorm, one.select("id", "value"), n_left, weighting, salt_rows, postings), k)
+    same = rnorm.select("id", "value").join(one.select("value", F.col("id").alias("rep")), "value").select("id", "rep")
+    out = (best.withColumnRenamed("id_r", "rep").join(same, "rep")
+           .select("id_l", F.col("id").alias("id_r"), "score"))
     return out if keep_score else out.select("id_l", "id_r")
 
 
@@ -206,6 +220,22 @@ def containment_pairs(lsets: DataFrame, rsets: DataFrame) -> DataFrame:
     return inside(lsets, rsets, "id_l", "id_r").unionByName(inside(rsets, lsets, "id_r", "id_l")).distinct()
 
 
+def overlap_pairs(ltok: DataFrame, rtok: DataFrame, share: float) -> DataFrame:
+    """All (id_l, id_r) that may share ``share`` of the weight of r; tokens: id, token, w.
+
+    Tokens of r are taken by falling weight; once those left weigh less than
+    ``share`` of r, a pair that shares none of the tokens taken cannot reach
+    it.  Only the tokens taken are joined, and no pair is lost.  Tokens must
+    be distinct by id and their weights not negative."""
+    w = Window.partitionBy("id").orderBy(F.col("w").desc(), "token")
+    before = F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum("w").over(Window.partitionBy("id"))
+    taken = (rtok.withColumn("before", before).withColumn("total", total)
+             .where(F.col("total") - F.col("before") >= F.lit(share) * F.col("total") - 1e-9)
+             .select(F.col("id").alias("id_r"), "token"))
+    return taken.join(ltok.select(F.col("id").alias("id_l"), "token"), "token").select("id_l", "id_r").distinct()
+
+
 def block_self(blocker, left: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """LL candidates: L blocked against itself, self pairs dropped."""
     return blocker.block(left, left, id_col, cols).where(F.col("id_l") != F.col("id_r"))
@@ -216,7 +246,6 @@ def block_pairs(blocker, left: DataFrame, right: DataFrame, id_col: str,
     """(LL, LR, lnorm, rnorm): LL without self pairs.  The token blocker
     normalises L once and reuses it for both calls."""
     if isinstance(blocker, TokenBlocker):
-        from pyspark import StorageLevel
         lnorm = normalize_records(left, id_col, cols, blocker.stem).persist(StorageLevel.MEMORY_AND_DISK)
         rnorm = normalize_records(right, id_col, cols, blocker.stem).persist(StorageLevel.MEMORY_AND_DISK)
         n_left = lnorm.count()

@@ -363,9 +363,19 @@ def q_threshold_join(spark, d):
 
 
 def q_threshold_join_full(spark, d):
-    dist, _, _, _ = _precision_parts(spark, d)
+    """Every pair within the threshold: the Jaccard similarity of two records
+    is at most the shared part of r's weight, so candidates share 1 - t of it."""
+    L, R = _lr(spark, d)
     jf, t = UOC[0]
-    return dist.where((F.col("side") == "LR") & (F.col("jf") == jf) & (F.col("d") <= t)).select("id_l", "id_r", _r("d"))
+    n = F.lit(float(L.count()))
+    grams = lambda df: df.select("id", F.explode(F.array_distinct(three_gram(
+        preprocess(F.coalesce("title", F.lit("nan")), "lower")))).alias("token"))
+    idf = grams(L).groupBy("token").agg(F.log(n / (F.count(F.lit(1)) + 1)).alias("idf"))
+    weigh = lambda df: grams(df).join(idf, "token", "left").select(
+        "id", "token", F.greatest(F.coalesce("idf", F.log(n)), F.lit(0.0)).alias("w"))
+    pairs = B.overlap_pairs(weigh(L), weigh(R), 1 - t)
+    wide = PairSpace(L, R, "id", ["title"], [from_name(jf)], stem=False).pair_distances(None, pairs)
+    return wide.where(F.col("d0_0") <= t).select("id_l", "id_r", F.round("d0_0", R6).alias("d"))
 
 
 def _uoc_model(spark):

@@ -173,8 +173,9 @@ def oracle() -> dict[str, str]:
                                "round(sum(p) / (count(*) + 1e-9), 6) AS prec FROM q_lp GROUP BY jf, ti")
     jf0, t0 = UOC[0]
     o["threshold_join"] = W(pc, f"SELECT id_l, id_r, round(d, 6) AS d FROM q_near WHERE jf = '{jf0}' AND d <= {t0}")
-    o["threshold_join_full"] = W(pc, f"SELECT id_l, id_r, round(d, 6) AS d FROM dist WHERE side = 'LR' AND "
-                                     f"jf = '{jf0}' AND d <= {t0}")
+    every = ("every", "SELECT 'LR' AS side, l.id AS id_l, r.id AS id_r FROM fj_left l, fj_right r")
+    o["threshold_join_full"] = W(VLR + [every] + S.pair_distance("p", "every", jf0, "fj_left", "fj_right"),
+                                 f"SELECT id_l, id_r, round(d, 6) AS d FROM p_d WHERE d <= {t0}")
     pr = _predict_ctes()
     o["predict"] = W(pr, "SELECT DISTINCT w.id_l, l.title AS title_l, w.id_r, r.title AS title_r FROM win w "
                          "JOIN fj_left l ON l.id = w.id_l JOIN fj_right r ON r.id = w.id_r")
