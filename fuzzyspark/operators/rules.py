@@ -33,7 +33,7 @@ def learn(ll_pairs: DataFrame, lsets: DataFrame) -> DataFrame:
     d = (_pair_diffs(ll_pairs, lsets, lsets)
          .where((F.size("dl") == 1) & (F.size("dr") == 1) & (F.size("tl") != 1))
          .select(F.try_element_at("dl", F.lit(1)).alias("a"), F.try_element_at("dr", F.lit(1)).alias("b")))
-    return d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return d.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
 
 
 def merge(pretrained: DataFrame | None, learned: DataFrame) -> DataFrame:
@@ -44,10 +44,10 @@ def merge(pretrained: DataFrame | None, learned: DataFrame) -> DataFrame:
 def violations(lr_pairs: DataFrame, lsets: DataFrame, rsets: DataFrame,
                rules: DataFrame) -> DataFrame:
     """LR pairs having some (a in l−r, b in r−l) that is a rule."""
+    against = rules.groupBy("a").agg(F.collect_set("b").alias("bs"))
     d = _pair_diffs(lr_pairs, lsets, rsets)
-    cand = (d.select("id_l", "id_r", F.explode("dl").alias("a"), "dr")
-            .select("id_l", "id_r", "a", F.explode("dr").alias("b")))
-    return cand.join(rules, ["a", "b"], "left_semi").select("id_l", "id_r").distinct()
+    return (d.select("id_l", "id_r", F.explode("dl").alias("a"), "dr").join(against, "a")
+            .where(F.arrays_overlap("dr", "bs")).select("id_l", "id_r").distinct())
 
 
 def apply(lr_pairs: DataFrame, lsets: DataFrame, rsets: DataFrame,

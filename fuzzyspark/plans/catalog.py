@@ -42,6 +42,8 @@ DIST_QUERIES = {
     "empty_fill": "lowerRemovePunctuation_splitBySpace_uniformWeight_jaccardDistance",
 }
 PRECISION_JFS = [j for j, _ in UOC]
+# Rules given beforehand to the query on pre-trained rules.
+PRETRAINED = [("red", "blue"), ("blue", "red"), ("small", "hot"), ("hot", "small")]
 # The kinds of events, one column each.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -302,6 +304,31 @@ def q_negative_rule_apply(spark, d):
     return NR.apply(lr, ls, rs, NR.learn(ll, ls))
 
 
+def _part_rules(spark, d):
+    """Parts by name and brand, which differ by single words; even keys are L."""
+    p = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    L, R = p.where("id % 2 = 0"), p.where("id % 2 = 1")
+    ll, lr, _, _ = B.block_pairs(B.TokenBlocker(stem=False), L, R, "id", ["title"])
+    ls, rs = (NR.token_sets(x, "id", ["title"], stem=False) for x in (L, R))
+    return ll, lr, ls, rs
+
+
+def q_negative_rule_parts_learn(spark, d):
+    ll, _, ls, _ = _part_rules(spark, d)
+    return NR.learn(ll, ls)
+
+
+def q_negative_rule_parts(spark, d):
+    ll, lr, ls, rs = _part_rules(spark, d)
+    return NR.apply(lr, ls, rs, NR.learn(ll, ls))
+
+
+def q_negative_rule_pretrained(spark, d):
+    _, lr, ls, rs = _part_rules(spark, d)
+    given = spark.createDataFrame(PRETRAINED, "a string, b string")
+    return NR.apply(lr, ls, rs, NR.merge(given, given.limit(0)))
+
+
 def _prepared(spark, d, jf_names, pretrained=None):
     L, R = _lr(spark, d)
     return M.prepare(L, R, "id", ["title"], [from_name(n) for n in jf_names], None, pretrained,

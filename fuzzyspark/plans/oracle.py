@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fuzzyspark.operators.prep import HOST_RE, URI_TAIL_RE, YEAR_RE
 from fuzzyspark.plans import sqlparts as S
-from fuzzyspark.plans.catalog import DIST_QUERIES, EVENT_TYPES, PRECISION_JFS, UOC
+from fuzzyspark.plans.catalog import DIST_QUERIES, EVENT_TYPES, PRECISION_JFS, PRETRAINED, UOC
 
 W = S.with_ctes
 VLR = S.views("fj_left", "fj_right")
@@ -163,6 +163,12 @@ def oracle() -> dict[str, str]:
     o["dist_typed"] = _typed_sql()
     o["negative_rule_learn"] = W(VLR + BLK + SELF + [LL] + RULES, "SELECT a, b FROM r_rules")
     o["negative_rule_apply"] = W(VLR + BLK + SELF + [LL] + RULES, "SELECT id_l, id_r FROM r_kept")
+    named = "SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand) AS title FROM part WHERE p_partkey % 2 = "
+    parts = ([("fj_left", named + "0"), ("fj_right", named + "1")] + BLK + SELF + [LL])
+    o["negative_rule_parts_learn"] = W(parts + RULES, "SELECT a, b FROM r_rules")
+    o["negative_rule_parts"] = W(parts + RULES, "SELECT id_l, id_r FROM r_kept")
+    given = ("r_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PRETRAINED) + ") v(a, b)")
+    o["negative_rule_pretrained"] = W(parts + [given] + RULES, "SELECT id_l, id_r FROM r_kept")
     pc = _prepared()
     o["nearest_left"] = W(pc, "SELECT jf, id_r, id_l, round(d, 6) AS d FROM q_near")
     o["threshold_grid"] = W(pc, "SELECT jf, ti, round(t, 6) AS t FROM q_thr")
