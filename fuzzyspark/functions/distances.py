@@ -102,8 +102,9 @@ def jaro_winkler_similarity(s1: str, s2: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _jaro_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if (x is None or y is None) else 1.0 - jaro_winkler_similarity(x, y)
-                      for x, y in zip(a, b)], dtype="float64")
+    pairs = list(zip(a, b))  # each pair of values is compared once in a batch
+    known = {(x, y): None if (x is None or y is None) else 1.0 - jaro_winkler_similarity(x, y) for x, y in set(pairs)}
+    return pd.Series([known[p] for p in pairs], dtype="float64")
 
 
 def jaro_distance(sl: Column, sr: Column) -> Column:
@@ -130,18 +131,12 @@ def char_distance(name: str, sl: Column, sr: Column) -> Column:
 
 def _char_cosine(x: Column, y: Column) -> Column:
     """Cosine distance over character multisets of two strings."""
-    def counts(s):
-        chars = F.filter(F.split(s, ""), lambda c: c != "")
-        return F.aggregate(chars, F.create_map().cast("map<string,int>"),
-                           lambda m, c: F.map_concat(
-                               F.map_filter(m, lambda k, v: k != c),
-                               F.create_map(c, F.coalesce(F.element_at(m, c), F.lit(0)) + 1)))
-    cx, cy = counts(x), counts(y)
-    dot = F.aggregate(F.map_keys(cx), F.lit(0.0),
-                      lambda a, k: a + F.element_at(cx, k) * F.coalesce(F.element_at(cy, k), F.lit(0)))
-    nx = F.sqrt(F.aggregate(F.map_values(cx), F.lit(0.0), lambda a, v: a + v * v))
-    ny = F.sqrt(F.aggregate(F.map_values(cy), F.lit(0.0), lambda a, v: a + v * v))
-    return 1 - dot / (nx * ny + EPS)
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    times = lambda cs, c: F.size(F.filter(cs, lambda z: z == c))
+    dots = lambda xs, ys: F.aggregate(F.array_distinct(xs), F.lit(0.0),
+                                      lambda a, c: a + times(xs, c) * times(ys, c))
+    cx, cy = chars(x), chars(y)
+    return 1 - dots(cx, cy) / (F.sqrt(dots(cx, cx)) * F.sqrt(dots(cy, cy)) + EPS)
 
 
 def _date_parts(ts: Column) -> Column:

@@ -79,15 +79,22 @@ def collapse_space(c) -> Column:
     return F.array_join(split_by_space(c), " ")
 
 
+def _windows(s: Column) -> Column:
+    """All three-character windows of a string padded with ``$$``.
+
+    The padded string is an element of an array, so it is built once and not
+    again for every window."""
+    padded = F.concat(F.lit("$$"), s, F.lit("$$"))
+    return F.element_at(F.transform(F.array(padded), lambda p: F.transform(
+        F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3))), 1)
+
+
 def three_gram(c) -> Column:
     """3-grams of the whitespace-collapsed string padded with ``$$``.
 
     Duplicates are kept; the empty string gives ``['$$$', '$$$']``.
     """
-    s = collapse_space(c)
-    padded = F.concat(F.lit("$$"), s, F.lit("$$"))
-    return F.transform(F.sequence(F.lit(1), F.length(s) + 2),
-                       lambda i: F.substring(padded, i, 3))
+    return _windows(collapse_space(c))
 
 
 def tokenize(c, method: str | None) -> Column:
@@ -120,7 +127,4 @@ def block_normalize(cols, stem: bool = True,
 def block_tokens(value) -> Column:
     """Blocking tokens: 3-grams of the value followed by its words."""
     v = _col(value)
-    padded = F.concat(F.lit("$$"), v, F.lit("$$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(v) + 2),
-                        lambda i: F.substring(padded, i, 3))
-    return F.concat(grams, split_by_space(v))
+    return F.concat(_windows(v), split_by_space(v))
