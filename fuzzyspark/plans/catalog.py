@@ -223,6 +223,38 @@ def q_contain_join(spark, d):
     return B.containment_pairs(words(L), words(R))
 
 
+# ------------------------------------------------- whole texts of documents
+def _doc_text(spark, d, name="documents", id_col="doc_id"):
+    return V.table(spark, d, name).select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("nan")).alias("text"))
+
+
+def q_doc_prep_lower_nopunct(spark, d):
+    return _doc_text(spark, d).select("id", preprocess(F.col("text"), "lowerRemovePunctuation").alias("value"))
+
+
+def q_doc_block_normalize(spark, d):
+    return B.normalize_records(_doc_text(spark, d), "id", ["text"], stem=False)
+
+
+def q_doc_words(spark, d):
+    return (_doc_text(spark, d).select("id", F.explode(split_by_space(F.lower("text"))).alias("token"))
+            .groupBy("id", "token").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def q_doc_idf(spark, d):
+    docs = _doc_text(spark, d)
+    n = F.lit(float(docs.count()))
+    words = docs.select("id", F.explode(F.array_distinct(split_by_space(F.lower("text")))).alias("token"))
+    return words.groupBy("token").agg(F.round(F.log(n / (F.count(F.lit(1)) + 1)), 9).alias("w"))
+
+
+def q_doc_benchmark_words(spark, d):
+    """Words that documents and benchmark items share, with both frequencies."""
+    freq = lambda df, name: (df.select(F.explode(F.array_distinct(split_by_space(F.lower("text")))).alias("token"))
+                             .groupBy("token").agg(F.count(F.lit(1)).alias(name)))
+    return freq(_doc_text(spark, d), "n_docs").join(freq(_doc_text(spark, d, "benchmark", "item_id"), "n_items"), "token")
+
+
 # ---------------------------------------------------------------- distances
 def _one_distance(spark, d, jf_name):
     L, R, ll, lr, _, _ = _blocked(spark, d)

@@ -128,6 +128,18 @@ def oracle() -> dict[str, str]:
                           f"AS token FROM fj_titles) GROUP BY id, token")
     o["tok_trigram"] = W(t, f"SELECT id, token, count(*) AS cnt FROM (SELECT id, unnest({S.three_gram('lower(title)')}) "
                             f"AS token FROM fj_titles) GROUP BY id, token")
+    dt = [("dt", "SELECT doc_id AS id, coalesce(text, 'nan') AS text FROM documents")]
+    dw = dt + [("dw", f"SELECT id, unnest({S.split_space('lower(text)')}) AS token FROM dt")]
+    o["doc_prep_lower_nopunct"] = W(dt, f"SELECT id, {S.remove_punct('lower(text)')} AS value FROM dt")
+    o["doc_block_normalize"] = W(dt, f"SELECT id, {S.block_normalize(['text'])} AS value FROM dt")
+    o["doc_words"] = W(dw, "SELECT id, token, count(*) AS cnt FROM dw GROUP BY id, token")
+    o["doc_idf"] = W(dw, "SELECT token, round(ln((SELECT count(*) FROM dt) / (count(DISTINCT id) + 1)), 9) AS w "
+                         "FROM dw GROUP BY token")
+    o["doc_benchmark_words"] = W(dw + [
+        ("bw", f"SELECT item_id, unnest({S.split_space('lower(text)')}) AS token FROM benchmark"),
+        ("dn", "SELECT token, count(DISTINCT id) AS n_docs FROM dw GROUP BY token"),
+        ("bn", "SELECT token, count(DISTINCT item_id) AS n_items FROM bw GROUP BY token")],
+        "SELECT token, n_docs, n_items FROM dn JOIN bn USING (token)")
     o["idf_weight"] = W(VLR, f"SELECT token, round(ln((SELECT count(*) FROM fj_left) / (count(*) + 1)), 9) AS w FROM "
                              f"(SELECT DISTINCT id, unnest({S.three_gram('lower(title)')}) AS token FROM fj_left) GROUP BY token")
     sets = (f"SELECT b.id_l, b.id_r, list_distinct({S.split_space('lower(l.title)')}) AS x, "
