@@ -40,7 +40,7 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
 
 def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, similarities) of each query, best first; -1 where fewer were reached.  entry: start nodes."""
-    n, rows = len(q), np.arange(len(q))[:, None]
+    n = len(q)
     seen = np.zeros((n, len(graph)), bool)
     ids = np.full((n, beam), -1, np.int64)
     sims = np.full((n, beam), -np.inf, np.float32)
@@ -48,7 +48,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarr
     ids[:, :width] = entry[:, :width]
     first = np.einsum("bd,bkd->bk", q, x[np.maximum(ids[:, :width], 0)])
     sims[:, :width] = np.where(ids[:, :width] >= 0, first, -np.inf)
-    seen[np.broadcast_to(rows, (n, width)), np.maximum(ids[:, :width], 0)] = True
+    given = np.nonzero(ids[:, :width] >= 0)
+    seen[given[0], ids[given]] = True
     done = np.ones((n, beam), bool)
     done[:, :width] = ids[:, :width] < 0
     live = np.arange(n)
@@ -153,7 +154,9 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
                 sims = x[own] @ x[:at].T
                 cand = _best(sims, BUILD_BEAM)
             else:
-                entry = upper.entries(x, x[own], 0)
+                # nodes of the layers above that this layer does not hold yet give way to the first
+                entry = np.sort(np.where((found := upper.entries(x, x[own], 0)) < at, found, 0), axis=1)
+                entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = -1
                 cand, _ = beam_search(x, nbr[:at], x[own], entry, BUILD_BEAM)
             chosen = _diverse(x, own, cand, links // 2)
             nbr[own, :links // 2] = chosen

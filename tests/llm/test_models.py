@@ -188,6 +188,21 @@ def test_neighbours(spark, monkeypatch, n):
     assert hnsw.nearest(df.limit(0)).collect() == []
 
 
+def test_layers_above_the_brute_size(monkeypatch):
+    """Upper layers with more nodes than the layer below holds while it is built."""
+    monkeypatch.setattr(hnsw, "SMALL", 16)
+    x = np.random.default_rng(1).normal(size=(4000, 12))
+    v = hnsw._lift(x, float(np.linalg.norm(x, axis=1).max()))
+    g = hnsw.build(v, 1)
+    assert len(g.sizes) > 2 and g.sizes[1] > 16
+    for size, nbr in zip(g.sizes, g.layers):
+        assert nbr.max() < size and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in nbr)
+    q = np.hstack((x[:200], np.zeros((200, 1)))).astype(np.float32)
+    found = g.search(v, q, 96)
+    recall = [len(set(f.tolist()) & set(np.argsort(-(x @ x[i]))[:20].tolist())) / 20 for i, f in enumerate(found)]
+    assert np.mean(recall) > 0.95
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
