@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +16,8 @@ BROADCAST_ROWS = 20_000
 SALTS = 16
 #: monotonically_increasing_id keeps the row's place in its partition below this bit
 ROW_BITS = 33
+#: sessions by the paths that ``written`` has made and nothing has deleted
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +36,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files outlive the executors that wrote them."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _WRITTEN[path] = df.sparkSession
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = checkpoint_dir(spark).rstrip("/")
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if root.split("://")[-1].split(":")[-1].lstrip("/") in f:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = df.__dict__.get("_written_to")
+    if _WRITTEN.pop(path, None) is not None:
+        _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete what ``written`` has left when the driver ends."""
+    for path, spark in _WRITTEN.items():
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            _delete(spark, path)
 
 
 def text_of(name: str = "text") -> Column:
