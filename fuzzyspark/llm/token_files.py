@@ -24,7 +24,9 @@ from fuzzyspark.llm.range_coder import BLOCK, decode, encode
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 #: ids of a segment (a longer document makes one alone), blocks coded in step, words kept with their ids
-SEGMENT, LANES, WORDS = 1 << 19, 2048, 400_000
+SEGMENT, LANES, WORDS = 1 << 19, 2048, 800_000
+#: marks that are tokens of their own behind letters
+MARKS = ".,:;!?"
 SEGMENTS = ("part int, segment int, doc_ids array<long>, doc_tokens array<long>, n_ids long, "
             "block_ids array<int>, blocks array<binary>, checks array<long>")
 DIGEST = "part int, segment int, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -40,7 +42,11 @@ class WordTokens:
     """Ids of texts by way of their words, which are tokenized once each.
 
     Texts are cut at spaces and line feeds only, over which no token reaches:
-    the tokenizer drops white space and composes no character across it."""
+    the tokenizer drops white space and composes no character across it.  A
+    word of ASCII letters with one mark behind it is cut before the mark, as
+    the tokenizer cuts it, and its letters are looked up in lower case.  Up to
+    ``WORDS`` words are kept; once so many are known, others are tokenized for
+    the texts at hand only."""
 
     def __init__(self, path: str):
         import os
@@ -52,10 +58,25 @@ class WordTokens:
         self.place: dict[str, int] = {}
         self.flat, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint16, int(n.sum())), n
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: those of stem and mark where a word has that form."""
+        stems = [w[:-1] if w[-1:] in MARKS and w[:-1].isascii() and w[:-1].isalpha() else w for w in words]
+        stems = [s.lower() if s.isascii() and s.isalpha() else s for s in stems]
+        known, marks = self.place, {m: i for m, i in zip(MARKS, self._encode(list(MARKS)))}
+        todo = list({s for s in stems if s not in known})
+        made = dict(zip(todo, self._encode(todo)))
+        flat, start = self.flat, self.start
+        out = []
+        for w, s in zip(words, stems):
+            ids = made.get(s)
+            if ids is None:
+                k = known[s]
+                ids = flat[start[k]:start[k + 1]].tolist()
+            out.append(ids + marks[w[-1]] if len(s) < len(w) else ids)
+        return out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
@@ -64,23 +85,37 @@ class WordTokens:
             w = t.replace("\n", " ").split(" ")
             words += w
             per[i] = len(w)
-        new = list({w for w in words if w not in self.place})
-        if new and len(self.place) + len(new) > WORDS:  # begin anew rather than grow without bound
-            self.place, self.flat, self.start = {}, np.zeros(0, np.uint16), np.zeros(1, np.int64)
-            new = list(set(words))
+        place, flat, start = self.place, self.flat, self.start
+        new = list({w for w in words if w not in place})
         if new:
-            flat, n = self._encode(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.flat = np.concatenate((self.flat, flat))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        a, n = self.start[at], self.start[at + 1] - self.start[at]
-        ids = self.flat[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            found = self._new(new)
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.concatenate((flat, np.fromiter((i for x in found for i in x), np.uint16, int(n.sum()))))
+            start = np.concatenate((start, start[-1] + np.cumsum(n)))
+            added = dict(zip(new, range(len(place), len(place) + len(new))))
+            if len(place) + len(new) <= WORDS:
+                place.update(added)
+                self.flat, self.start, added = flat, start, {}
+            at = np.fromiter((place[w] if w in place else added[w] for w in words), np.int64, len(words))
+        else:
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        a, n = start[at], start[at + 1] - start[at]
+        ids = flat[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         total = np.concatenate(([0], np.cumsum(n)))
         cut = np.concatenate(([0], np.cumsum(per)))
         return ids, total[cut[1:]] - total[cut[:-1]]
 
 
+_KNOWN: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The word store of this Python worker, which its tasks share."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordTokens(path)
+    return _KNOWN[path]
+
+
 def _with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(ids, np.cumsum(n), end_id), n + 1
 
@@ -92,7 +127,7 @@ def _checks(blocks: list[np.ndarray]) -> list[int]:
 def _segments(path: str, end_id: int):
     """Documents in order -> the rows of the files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = word_tokens(path)
         part, segment, n_blocks = 0, 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []  # closed segments: doc ids, counts, ids
         docs, counts, ids, size = [], [], [], 0
