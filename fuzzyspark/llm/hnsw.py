@@ -1,20 +1,18 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard.
 
-Distinct vectors are dealt to shards by hash.  Every shard builds a hierarchy
-of proximity graphs, kept as flat neighbour arrays, and is searched from the
+Distinct vectors are dealt to shards by length, and by hash among those of
+about one length.  Every shard builds a hierarchy of proximity graphs, kept as flat neighbour arrays, and is searched from the
 top layer down with a beam.  Insertions and searches run a batch of vectors in
 step, so the work is NumPy on whole batches.  Shard results are rescored in
 double precision on the original vectors and merged.
 
 The measure is the inner product.  In the graph each vector has one more
-component that brings all of them to the length of the longest, where the
-largest inner product is the least distance.
+component that brings all of them to the length of the shard's longest, where
+the largest inner product is the least distance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,7 +41,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarr
     n = len(q)
     seen = np.zeros((n, len(graph)), bool)
     ids = np.full((n, beam), -1, np.int64)
-    sims = np.full((n, beam), -np.inf, np.float32)
+    sims = np.full((n, beam), -np.inf)
     width = min(entry.shape[1], beam)
     ids[:, :width] = entry[:, :width]
     first = np.einsum("bd,bkd->bk", q, x[np.maximum(ids[:, :width], 0)])
@@ -72,7 +70,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarr
         fresh &= ~seen[r, np.maximum(near, 0)]
         at = np.nonzero(fresh)
         seen[live[at[0]], near[at]] = True
-        s = np.full(near.shape, -np.inf, np.float32)
+        s = np.full(near.shape, -np.inf)
         s[at] = np.einsum("kd,kd->k", q[live[at[0]]], x[near[at]])
         all_ids = np.concatenate((ids[live], np.where(fresh, near, -1)), axis=1)
         all_sims = np.concatenate((sims[live], s), axis=1)
@@ -136,7 +134,7 @@ def levels(n: int, seed: int) -> np.ndarray:
 
 
 def build(x: np.ndarray, seed: int = 0) -> Graph:
-    """x: vectors of equal length (float32), in the order of insertion."""
+    """x: vectors of equal length, in the order of insertion."""
     lev = levels(len(x), seed)
     top = int(lev[0]) if len(x) else 0
     sizes = [int(np.searchsorted(-lev, -k, "right")) for k in range(top + 1)]
@@ -175,7 +173,25 @@ def build(x: np.ndarray, seed: int = 0) -> Graph:
 
 def _lift(v: np.ndarray, longest: float) -> np.ndarray:
     v = v / longest
-    return np.hstack((v, np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1)))[:, None])).astype(np.float32)
+    return np.hstack((v, np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(axis=1)))[:, None]))
+
+
+def _lifted(v: np.ndarray) -> np.ndarray:
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(initial=0.0))[1])  # no square leaves the range of doubles
+    return _lift(v, float(np.sqrt((v * v).sum(axis=1).max(initial=0.0))) or 1.0)
+
+
+def _scores(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products, and those beyond the range of doubles times 2 ** -1100 (else 0)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        score, beyond = v @ q, np.zeros(len(v))
+        wide = ~np.isfinite(score)
+        if wide.any():
+            e, eq = np.frexp(np.abs(v[wide]).max(axis=1))[1], np.frexp(np.abs(q).max())[1]
+            t = np.ldexp(v[wide], -e[:, None]) @ np.ldexp(q, -eq)
+            score[wide] = np.ldexp(t, e + eq)
+            beyond[wide] = np.where(np.isinf(score[wide]), np.ldexp(t, e + eq - 1100), 0.0)
+    return score, beyond
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -190,12 +206,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("vec") == (dim["d"] if dim else 0))
 
 
-def _index(key: tuple, rows: pd.DataFrame, longest: float) -> pd.DataFrame:
+def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("first").reset_index(drop=True)
     v = np.array(rows["vec"].tolist(), np.float64)
     order = np.random.default_rng(int(key[0])).permutation(len(v))  # levels fall with the node number
     v, ids = v[order], [rows["ids"][i] for i in order]
-    g = build(_lift(v, longest), int(key[0]))
+    g = build(_lifted(v), int(key[0]))
     return pd.DataFrame({"shard": [int(key[0])], "dim": [v.shape[1]], "vecs": [v.ravel()],
                          "ids": [np.concatenate(ids)], "counts": [np.array([len(i) for i in ids], np.int64)],
                          "widths": [[x.shape[1] for x in g.layers]], "neighbours": [[x.ravel() for x in g.layers]]})
@@ -204,48 +220,72 @@ def _index(key: tuple, rows: pd.DataFrame, longest: float) -> pd.DataFrame:
 INDEX = "shard int, dim int, vecs array<double>, ids array<long>, counts array<long>, widths array<int>, neighbours array<array<long>>"
 
 
-def index(rows: DataFrame, top: int = TOP) -> tuple[DataFrame, int, float]:
-    """The shards' graphs as a written table, their number, and the greatest length.
-
-    Equal vectors are one node with their ``top`` + 1 smallest ids: ties go to
-    smaller ids and a query passes over its own, so no further id is ever returned."""
+def _deal(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(first shard, shards) of each band of lengths.  Neighbouring bands share a shard as long as all
+    its vectors are compared, so shards stay few however the lengths spread."""
+    n, packs = sum(counts.values()), []
+    for band in sorted(counts):
+        if packs and packs[-1][1] + counts[band] <= SMALL:
+            packs[-1][0].append(band)
+            packs[-1][1] += counts[band]
+        else:
+            packs.append([[band], counts[band]])
+    out, at = {}, 0
+    for bands, c in packs:
+        k = max(1, -(-c // SHARD), round(SHARDS * c / n))
+        out |= dict.fromkeys(bands, (at, k))
+        at += k
+    return out
+
+
+def index(rows: DataFrame, top: int = TOP) -> tuple[DataFrame, int]:
+    """The shards' graphs as a written table, and their number.
+
+    A band holds lengths up to four times the least: the component added to a
+    much shorter vector would hide its differences.  Equal vectors are one node
+    with their ``top`` + 1 smallest ids: ties go to smaller ids and a query
+    passes over its own, so no further id is ever returned."""
     w = Window.partitionBy("vec").orderBy("vec_id")
     ids = (rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top + 1)
            .groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    nodes = written(ids.select("vec", "ids", F.col("ids")[0].alias("first"),
-                               F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")), "nodes")
-    n, longest = nodes.agg(F.count(F.lit(1)), F.max("norm")).first()
-    shards = max(SHARDS, -(-n // SHARD))
-    longest = longest or 1.0
-    dealt = nodes.select(F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids", "first")
-    graphs = dealt.groupBy("shard").applyInPandas(lambda key, rows: _index(key, rows, longest), INDEX)
-    return written(graphs, "graphs"), shards, longest
-
-
-def _search(queries: pd.DataFrame, shard: pd.DataFrame, longest: float, top: int, beam: int) -> Iterator[pd.DataFrame]:
-    cols = ["query_id", "vec_id", "score"]
+    most = F.array_max(F.transform("vec", F.abs))
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    band = F.floor((F.log2("most") + F.log2(square) / 2 + 1) / 2).cast("int")
+    nodes = written(ids.withColumn("most", most).select("vec", "ids", F.col("ids")[0].alias("first"), band.alias("band")), "nodes")
+    dealt = _deal({r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()})
+    if not dealt:
+        return written(rows.sparkSession.createDataFrame([], INDEX), "graphs"), 1
+    place = [F.create_map(*[F.lit(x) for b, t in dealt.items() for x in (b, t[i])])[F.col("band")] for i in range(2)]
+    shard = (place[0] + F.pmod(F.xxhash64("first"), place[1])).cast("int")
+    graphs = nodes.select(shard.alias("shard"), "vec", "ids", "first").groupBy("shard").applyInPandas(_index, INDEX)
+    return written(graphs, "graphs"), max(at + k for at, k in dealt.values())
+
+
+def _search(queries: pd.DataFrame, shard: pd.DataFrame, top: int, beam: int) -> pd.DataFrame:
+    cols = ["query_id", "vec_id", "score", "beyond"]
     if not len(queries) or not len(shard):
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})[cols]
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0), "beyond": np.zeros(0)})[cols]
     s = shard.iloc[0]
     v = np.asarray(s["vecs"], np.float64).reshape(-1, int(s["dim"]))
     layers = [np.asarray(x, np.int64).reshape(-1, int(w)) for x, w in zip(s["neighbours"], s["widths"])]
     g = Graph([len(x) for x in layers], layers)
     q = np.array(queries["vec"].tolist(), np.float64)
-    lifted = np.hstack((q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None], np.zeros((len(q), 1)))).astype(np.float32)
-    found = g.search(_lift(v, longest), lifted, beam)
+    unit = np.ldexp(q, -np.frexp(np.abs(q).max(axis=1, keepdims=True))[1])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    found = g.search(_lifted(v), np.hstack((unit, np.zeros((len(q), 1)))), beam)
     counts = np.asarray(s["counts"], np.int64)
     start = np.cumsum(counts) - counts
     ids = np.asarray(s["ids"], np.int64)
     out = []
     for i, own in enumerate(queries["query_id"].tolist()):
         node = found[i][found[i] >= 0]
-        score = v[node] @ q[i]
+        score, beyond = _scores(v[node], q[i])
         n = counts[node]
         vec = ids[np.repeat(start[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        score = np.repeat(score, n)
-        score, vec = score[vec != own], vec[vec != own]
-        best = np.lexsort((vec, -score))[:top]
-        out.append(pd.DataFrame({"query_id": own, "vec_id": vec[best], "score": score[best]}))
+        score, beyond = np.repeat(score, n)[vec != own], np.repeat(beyond, n)[vec != own]
+        vec = vec[vec != own]
+        best = np.lexsort((vec, -beyond, -score))[:top]
+        out.append(pd.DataFrame({"query_id": own, "vec_id": vec[best], "score": score[best], "beyond": beyond[best]}))
     return pd.concat(out)[cols]
 
 
@@ -253,11 +293,12 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, beam: int =
     """query_id, rank, vec_id, score: the nearest found of every vector whose id is divisible by ``every``.
 
     A query's candidates are all rows but its own id; all of them are returned
-    where there are fewer than ``top``.  Equal scores rank by id.  Rows that
+    where there are fewer than ``top``.  Equal scores rank by id; a product beyond
+    the range of doubles is given as infinity and ranks by its size.  Rows that
     take no part are told in ``usable``; an empty table gives no rows; further
     columns are ignored."""
     rows = usable(vectors)
-    graphs, shards, longest = index(rows, top)
+    graphs, shards = index(rows, top)
     queries = rows.filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
@@ -265,6 +306,6 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, beam: int =
                            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     hits = asked.groupBy("shard", "block").cogroup(served.groupBy("shard", "block")).applyInPandas(
-        lambda q, s: _search(q, s, longest, top, beam), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        lambda q, s: _search(q, s, top, beam), "query_id long, vec_id long, score double, beyond double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -203,6 +203,40 @@ def test_layers_above_the_brute_size(monkeypatch):
     assert np.mean(recall) > 0.95
 
 
+def recall_of(spark, ids, x):
+    """Recall of all queries against brute force; x: float64, products within range."""
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = [k for k in range(len(ids)) if ids[k] % 20 == 0]
+    want = [{w[0] for w in exact(ids, x, k)} for k in queries]
+    return np.mean([len(got[int(ids[k])] & w) / len(w) for k, w in zip(queries, want)])
+
+
+@pytest.mark.parametrize("kind", ["long", "close", "spread"])
+def test_neighbours_of_uneven_vectors(spark, monkeypatch, kind):
+    """A few vectors of 1000 and 10000 times the usual length, close clusters, lengths over many powers."""
+    monkeypatch.setattr(hnsw, "SHARDS", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "long":
+        x[5:8] *= 1000
+        x[100:103] *= 10000
+    elif kind == "close":
+        x = x[rng.integers(0, 4, 4000)] + 1e-4 * rng.normal(size=x.shape)
+    else:
+        x *= 10.0 ** rng.uniform(-40, 40, (4000, 1))
+    assert recall_of(spark, np.arange(4000), x) > 0.95
+
+
+def test_products_beyond_doubles(spark):
+    data = [(0, [1e200, 0.0]), (1, [2e200, 1.0]), (2, [3e200, -1e200]), (3, [-1e200, 1e200]), (4, [1e-200, 0.0]), (5, [4e200, 1e308])]
+    got = hnsw.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(5, np.inf), (2, np.inf), (1, np.inf), (4, 1.0), (3, -np.inf)]
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
