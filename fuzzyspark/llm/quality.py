@@ -35,9 +35,10 @@ LABELLERS = {
     "plain": (GOOD, 0.9, 3),          # words that start and end in a letter, digit or common mark
     "function": (GOOD, 0.15, 12),     # words of up to three characters, as prose has them
 }
-#: first accuracy of a labeller, and the bounds it is kept in: marks of bad text are specific, marks of
-#: prose are also met in bad text that no other labeller sees
-ACCURACY = {BAD: (0.95, 0.9, 0.995), GOOD: (0.6, 0.55, 0.65)}
+#: accuracy of a labeller before any vote is counted, the votes that this weighs as (a share of all documents,
+#: so that a labeller is judged by its counts where it votes often), and the bounds of the estimates: marks of
+#: bad text are specific, marks of prose are also met in bad text
+ACCURACY, PRIOR, BOUNDS = {BAD: 0.95, GOOD: 0.6}, 0.05, (0.5, 0.999)
 #: share of bad documents taken for granted before any vote; it is not estimated, as documents without
 #: votes say nothing on it
 BALANCE = 0.15
@@ -150,27 +151,51 @@ def vote_counts(docs: DataFrame) -> dict[int, int]:
     return {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
 
 
+def _together(voted: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """How far two labellers vote together beyond what the groups (weights of the patterns) explain, 0 to 1."""
+    cov = np.zeros((voted.shape[1], voted.shape[1]))
+    for n in groups:
+        if n.sum() > 0:
+            off = voted - n @ voted / n.sum()
+            cov += off.T @ (off * n[:, None])
+    spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    out = np.clip(cov / np.outer(spread, spread), 0, 1)
+    np.fill_diagonal(out, 1)
+    return out
+
+
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200, tol: float = 1e-9):
     """(accuracy of each labeller, posterior of bad by pattern).
 
-    An accuracy is how often a labeller is right where it votes; to abstain
-    says nothing.  Smoothing by one vote and the bounds of ``ACCURACY`` keep
-    the estimates off 0 and 1, also where nothing is counted."""
+    An accuracy is the rate of votes among documents of the kind voted for, as
+    a share of that rate and the rate among the others, so it does not depend
+    on how many are bad; to abstain says nothing.  Labellers of one kind that
+    vote together gain the root of their number only.  A labeller that finds more than
+    ``BALANCE`` of all documents bad misfires on the rest at least, and starts
+    with the accuracy that this leaves it.  ``PRIOR``
+    and ``BOUNDS`` keep the estimates off 0 and 1, also where nothing is
+    counted."""
     k = len(LABELLERS)
     casts = np.array([vote for vote, _, _ in LABELLERS.values()])
-    first, low, high = (np.array([ACCURACY[v][i] for v in casts]) for i in range(3))
+    first = np.array([ACCURACY[v] for v in casts])
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], float)
-    voted = (patterns[:, None] // 3 ** np.arange(k)) % 3 != ABSTAIN
-    sign = np.where(casts == BAD, 1.0, -1.0)
-    accuracy, post = first.copy(), np.zeros(len(n))
+    voted = ((patterns[:, None] // 3 ** np.arange(k)) % 3 != ABSTAIN).astype(float)
+    sign, bad = np.where(casts == BAD, 1.0, -1.0), casts == BAD
+    alike = casts[:, None] == casts[None]
+    total, post, share = n @ voted, np.zeros(len(n)), voted
+    misfires = np.maximum(total / max(n.sum(), 1.0) - BALANCE, 0) / (1 - BALANCE)
+    accuracy = np.where(bad, np.minimum(first, 1 / (1 + misfires)), first)
+    prior = 1 + PRIOR * n.sum()
     for _ in range(rounds):
-        odds = np.log(BALANCE / (1 - BALANCE)) + voted @ (sign * np.log(accuracy / (1 - accuracy)))
+        odds = np.log(BALANCE / (1 - BALANCE)) + share @ (sign * np.log(accuracy / (1 - accuracy)))
         new = 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
         moved = np.abs(new - post).max(initial=0.0)
-        post = new
-        right = np.where(casts == BAD, (voted * (n * post)[:, None]).sum(axis=0), (voted * (n * (1 - post))[:, None]).sum(axis=0))
-        accuracy = np.clip((right + first) / ((voted * n[:, None]).sum(axis=0) + 1), low, high)
+        post, groups = new, [n * new, n * (1 - new)]
+        share = voted / np.sqrt(np.maximum(voted @ (_together(voted, groups) * alike), 1.0))
+        rate = np.array([(g @ voted + 1e-9) / (g.sum() + 2e-9) for g in groups])
+        right = np.where(bad, rate[0], rate[1]) / (rate[0] + rate[1])
+        accuracy = np.clip((right * total + first * prior) / (total + prior), *BOUNDS)
         if moved < tol:
             break
     return accuracy, dict(zip(patterns.tolist(), post.tolist()))

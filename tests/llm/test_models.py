@@ -74,6 +74,43 @@ def test_expectation_maximisation_finds_the_worse_labeller():
     assert quality.expectation_maximisation({})[1] == {}
 
 
+def drawn(rng, bad, right, also=()):
+    """Counts of vote patterns, and the patterns of the documents; also: labellers that vote on clean documents together."""
+    counts, of = {}, []
+    for b, code in zip(bad, also if len(also) else np.zeros(len(bad), bool)):
+        votes = np.full(len(quality.LABELLERS), quality.ABSTAIN)
+        for j, (name, (vote, _, _)) in enumerate(quality.LABELLERS.items()):
+            fires = rng.random() < 0.6 and ((vote == quality.BAD) == b) == (rng.random() < right[j])
+            if code and vote == quality.BAD:
+                fires = name in ("symbols", "endings")
+            if fires:
+                votes[j] = vote
+        of.append(int(quality._pattern(votes[None])[0]))
+        counts[of[-1]] = counts.get(of[-1], 0) + 1
+    return counts, np.array(of)
+
+
+def test_a_labeller_that_misfires_is_found_out():
+    rng = np.random.default_rng(4)
+    bad = rng.random(6000) < 0.15
+    right = np.array([0.99, 0.6, 0.99, 0.99, 0.99, 0.99, 0.8, 0.8])
+    counts, of = drawn(rng, bad, right)
+    accuracy, posterior = quality.expectation_maximisation(counts)
+    assert abs(accuracy[1] - 0.6) < 0.1 and accuracy[[0, 2, 3, 4, 5]].min() > 0.9
+    assert (np.array([posterior[p] > 0.5 for p in of]) == bad).mean() > 0.95
+
+
+def test_clean_documents_with_many_symbols_stay_good():
+    """A third of all rows, on which two labellers of bad text vote together."""
+    rng = np.random.default_rng(5)
+    bad = rng.random(6000) < 0.1
+    code = ~bad & (rng.random(6000) < 0.37)
+    counts, of = drawn(rng, bad, np.array([0.99] * 6 + [0.8] * 2), code)
+    accuracy, posterior = quality.expectation_maximisation(counts)
+    found = np.array([posterior[p] > 0.5 for p in of])
+    assert found[code].mean() < 0.1 and found[bad].mean() > 0.8 and accuracy[[1, 4]].max() < 0.8
+
+
 def test_quality_agrees_with_labels_it_never_saw(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     got = quality.quality(docs).join(labels, "doc_id").select("quality", "keep").toPandas()
