@@ -63,6 +63,7 @@ class Shapes:
         self.n = np.diff(self.first)
         self.text = np.repeat(np.arange(len(self.n)), self.n)
         self.hash = word_hashes(w, self.starts, self.ends)
+        self.line = np.cumsum(data == 10, dtype=np.int32)[self.starts]
         self.again = np.zeros(len(self.starts), bool)
         if len(self.starts):
             self.again[1:] = (self.hash[1:] == self.hash[:-1]) & (self.text[1:] == self.text[:-1])
@@ -75,6 +76,33 @@ class Shapes:
         total = np.concatenate(([0], np.cumsum(on)))
         return np.bincount(self.text, total[self.ends] - total[self.starts], len(self.n))
 
+    def top_share(self) -> np.ndarray:
+        """Share of the eight most frequent words of each text."""
+        if not len(self.starts):
+            return np.zeros(len(self.n))
+        key = np.lexsort((self.hash, self.text))
+        new = np.concatenate(([True], (self.hash[key][1:] != self.hash[key][:-1]) | (self.text[key][1:] != self.text[key][:-1])))
+        at = np.flatnonzero(new)
+        size, owner = np.diff(np.concatenate((at, [len(key)]))), self.text[key][at]
+        rank = np.lexsort((-size, owner))
+        size, owner = size[rank], owner[rank]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
+        return np.bincount(owner[place < 8], size[place < 8], len(self.n)) / np.maximum(self.n, 1)
+
+    def repeated_lines(self) -> np.ndarray:
+        """Share of the words of each text that stand in a line met before in it."""
+        if not len(self.starts):
+            return np.zeros(len(self.n))
+        first = np.concatenate(([True], (self.line[1:] != self.line[:-1]) | (self.text[1:] != self.text[:-1])))
+        at = np.flatnonzero(first)
+        size = np.diff(np.concatenate((at, [len(first)])))
+        nth = (np.arange(len(first)) - np.repeat(at, size)).astype(np.uint64)
+        line, owner = np.add.reduceat(_mix(self.hash.astype(np.uint64) + _mix(nth + np.uint64(1))), at), self.text[at]
+        key = np.lexsort((line, owner))
+        again = np.zeros(len(key), bool)
+        again[key[1:]] = (line[key][1:] == line[key][:-1]) & (owner[key][1:] == owner[key][:-1])
+        return np.bincount(owner[again], size[again], len(self.n)) / np.maximum(self.n, 1)
+
     def votes(self) -> np.ndarray:
         """A row per text, a column per labeller."""
         out = np.full((len(self.n), len(LABELLERS)), ABSTAIN, np.int64)
@@ -84,15 +112,6 @@ class Shapes:
         letters = self.bytes_of((cls == 1) | (cls == 2))
         own = np.concatenate(([0], np.cumsum((cls >= 1) & (cls <= 3))))
         last = cls[self.ends - 1]
-        # share of the eight most frequent words of a text
-        key = np.lexsort((self.hash, self.text))
-        new = np.concatenate(([True], (self.hash[key][1:] != self.hash[key][:-1]) | (self.text[key][1:] != self.text[key][:-1])))
-        at = np.flatnonzero(new)
-        size, owner = np.diff(np.concatenate((at, [len(key)]))), self.text[key][at]
-        rank = np.lexsort((-size, owner))
-        size, owner = size[rank], owner[rank]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner, "left")
-        top = np.bincount(owner[place < 8], size[place < 8], len(self.n))
         head = cls[self.starts]
         share = {
             "capitals": self.bytes_of(cls == 2) / np.maximum(letters, 1),
@@ -100,7 +119,7 @@ class Shapes:
             "stutter": self.per_text(self.again),
             "loose": self.per_text(own[self.ends] == own[self.starts]),
             "endings": self.per_text(last > 4),
-            "few": top / np.maximum(self.n, 1),
+            "few": self.top_share(),
             "plain": self.per_text((head <= 4) & (last <= 4)),
             "function": self.per_text(self.ends - self.starts <= 3),
         }
@@ -109,9 +128,10 @@ class Shapes:
         return out
 
     def features(self) -> np.ndarray:
-        """Three hashed features of each word: its shape, its shape after the last one, and a repeat."""
+        """Five hashed features of each word: its shape, its shape after the last one, a repeat, and of its
+        whole text the shares of the most frequent words (where ``few`` votes) and of repeated lines, in steps."""
         if not len(self.starts):
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 5), np.int64)
         cls = self.cls
         turn = np.concatenate(([True], cls[1:] != cls[:-1]))
         turn[self.starts] = True
@@ -124,7 +144,10 @@ class Shapes:
         before[self.first[:-1][self.n > 0]] = 0
         dim = np.uint64(DIM)
         again = np.where(self.again, _mix(np.uint64(11)[None]), _mix(np.uint64(12)[None]))
-        return np.stack([(_mix(shape) % dim), (_mix(shape + _mix(before)) % dim), again % dim], axis=1).astype(np.int64)
+        few = np.where(self.n >= LABELLERS["few"][2], np.minimum(self.top_share() * 10, 9).astype(np.uint64), np.uint64(10))
+        lines = np.minimum(np.ceil(self.repeated_lines() * 5), 5).astype(np.uint64)
+        few, lines = (_mix(x + np.uint64(at))[self.text] for x, at in ((few, 100), (lines, 200)))
+        return np.stack([(_mix(shape) % dim), (_mix(shape + _mix(before)) % dim), again % dim, few % dim, lines % dim], axis=1).astype(np.int64)
 
 
 def _pieces(texts: pa.Array) -> Iterator[Shapes]:

@@ -128,6 +128,23 @@ def test_quality_edge_cases(docs, rows, empty):
     assert quality.quality(empty).collect() == []
 
 
+def test_repeated_lines_of_plain_words_are_dropped(spark, monkeypatch):
+    """Texts that cycle through a few words or repeat a line, whose words look like prose, with a posterior of bad."""
+    bad = [j for j, (vote, _, _) in enumerate(quality.LABELLERS.values()) if vote == quality.BAD]
+    posterior = lambda counts: {p: 0.95 if any(p // 3 ** j % 3 == quality.BAD for j in bad) else 0.05 for p in counts}
+    monkeypatch.setattr(quality, "expectation_maximisation", lambda counts: (None, posterior(counts)))
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(400)])
+    prose = [" ".join(rng.choice(words, rng.integers(60, 200))) for _ in range(900)]
+    cycle = [" ".join(np.tile(rng.choice(words, 6, replace=False), 20)) for _ in range(40)]
+    line = ["\n".join([" ".join(rng.choice(words, 7, replace=False))] * 200) for _ in range(40)]
+    loud = [" ".join(w + "!!" for w in rng.choice(words, 60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(prose + cycle + line + loud)), "doc_id long, text string")
+    keep = {r.doc_id: r.keep for r in quality.quality(docs).collect()}
+    keep = np.array([keep[i] for i in range(1020)])
+    assert keep[:900].mean() > 0.99 and not keep[900:940].any() and not keep[940:980].any() and not keep[980:].any()
+
+
 # --- URL rules -----------------------------------------------------------------------------------
 
 URLS = ([f"http://blog.x{i % 3}.example.{t}/{lang}/{i}{end}" for i in range(40) for t, lang, end in
