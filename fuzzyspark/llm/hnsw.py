@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from fuzzyspark.llm.common import written
 
 #: vectors of a shard (beyond it there are more shards) and least shards
-SHARD, SHARDS = 16_384, 8
+SHARD, SHARDS = 4096, 8
 #: neighbours kept in the upper layers and in the lowest, beams of building and of searching
-LINKS, LINKS0, BUILD_BEAM, SEARCH_BEAM = 12, 24, 48, 128
+LINKS, LINKS0, BUILD_BEAM, SEARCH_BEAM = 12, 24, 48, 256
 #: nodes expanded at once, vectors in step, vectors up to which all are compared, queries of a block
 EXPAND, STEP, SMALL, BLOCK = 4, 256, 256, 4096
 TOP, EVERY = 20, 20

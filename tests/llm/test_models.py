@@ -291,6 +291,15 @@ def test_products_beyond_doubles(spark):
     assert [(r.vec_id, r.score) for r in got] == [(5, np.inf), (2, np.inf), (1, np.inf), (4, 1.0), (3, -np.inf)]
 
 
+def test_recall_of_a_full_shard():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(hnsw.SHARD, 64))
+    v = hnsw._lifted(x)
+    found = hnsw.build(v, 1).search(v, np.hstack((x[:200], np.zeros((200, 1)))), hnsw.SEARCH_BEAM)
+    recall = [len(set(f.tolist()) & set(np.argsort(-(x @ q))[:20].tolist())) / 20 for f, q in zip(found, x)]
+    assert np.mean(recall) > 0.9
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):
