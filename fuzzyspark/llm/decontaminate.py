@@ -276,7 +276,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
     result each; without items nothing is hit; an empty table gives no rows;
     columns of docs may have any names but __text and found."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), text_of().alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), text_of().alias("text")).dropDuplicates(["id", "text"])
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
     keep = docs.columns if keep is None else keep

@@ -64,6 +64,15 @@ def test_decontamination_matches_brute_force(docs, rows, items, monkeypatch, blo
     assert any(r[5] for r in want) and not all(r[5] for r in want)
 
 
+def test_repeated_items_reach_the_driver_once(docs, items, monkeypatch):
+    sizes, made = [], decontaminate.Phrases.__init__
+    monkeypatch.setattr(decontaminate.Phrases, "__init__", lambda self, ids, *a: sizes.append(len(ids)) or made(self, ids, *a))
+    once = sorted((tuple(r) for r in decontaminate.report(docs, items).collect()), key=key)
+    many = items.union(items).union(items)
+    assert sorted((tuple(r) for r in decontaminate.report(docs, many).collect()), key=key) == once
+    assert sizes[0] == sizes[1]
+
+
 def test_decontamination_without_items_or_documents(docs, empty, items):
     assert not any(r.contaminated for r in decontaminate.report(docs, items.limit(0)).collect())
     assert decontaminate.report(empty, items).collect() == []
