@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import decontaminate, hnsw, mixing, quality, secrets, sharding, simhash, token_files, toxicity, urls
+from fuzzyspark.llm import collocations, decontaminate, filter_audit, hnsw, mixing, quality, secrets, sharding, simhash, token_files, toxicity, urls
 from fuzzyspark.llm.common import table
 
 
@@ -48,6 +48,16 @@ def op10_hash_tree_shards(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"), 16)
 
 
+def op11_setm_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxic_clauses, op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
-                                 op7_token_files, op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards)}
-ORACLES = {"op5_mix_sources": mixing.oracle()}
+                                 op7_token_files, op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards,
+                                 op11_setm_collocations, op12_filter_interactions)}
+ORACLES = {"op5_mix_sources": mixing.oracle(), "op11_setm_collocations": collocations.oracle(),
+           "op12_filter_interactions": filter_audit.oracle()}
