@@ -32,8 +32,8 @@ from fuzzyspark.llm.words import flat, word_bounds
 MAX_WORDS, MIN_COUNT, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 #: frequent groups are sent to the tasks up to this many bytes; beyond it occurrences are joined to them
 GROUP_BYTES = 32 << 20
-#: bytes of text, and occurrences, counted at a time in a task
-TEXT_BYTES, PAIRS = 16 << 20, 4 << 20
+#: bytes of text, occurrences joined, and pairs counted at a time in a task
+TEXT_BYTES, OCCURRENCES_AT_ONCE, PAIRS = 8 << 20, 1 << 19, 1 << 21
 SPACE, MARKS = [0x20, 0x09], [ord(c) for c in ".,;:!?\n\x0b\x0c\r"]
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] = np.arange(97, 123)
@@ -68,10 +68,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             yield batch.slice(i, j - i)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of a relation with about ``OCCURRENCES_AT_ONCE`` occurrences."""
+    for batch in batches:
+        ends = batch.column("pos").offsets.to_numpy()
+        ends = ends - ends[0]
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + OCCURRENCES_AT_ONCE, OCCURRENCES_AT_ONCE), "left")
+        cuts = np.unique(np.concatenate((cuts[cuts <= batch.num_rows], [0, batch.num_rows])))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield batch.slice(i, j - i)
+
+
 def _langs(batch: pa.RecordBatch, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(distinct langs, number of the lang of every word or occurrence)."""
     coded = batch.column("lang").dictionary_encode()
-    return coded.dictionary, np.repeat(coded.indices.to_numpy(zero_copy_only=False), counts)
+    return coded.dictionary, np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), counts)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +166,12 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     seen: list[str] = []
     held, size = [], 0
-    for batch in batches:
+    for batch in _runs(batches):
         names, _, lang, _, a, b = _adjacent(batch)
         for x in names.to_pylist():
             if x not in seen:
                 seen.append(x)
-        number = np.array([seen.index(x) for x in names.to_pylist()] or [0])
+        number = np.array([seen.index(x) for x in names.to_pylist()] or [0], np.int32)
         held.append((number[lang], a, b))
         size += len(a)
         if size >= PAIRS:
@@ -177,7 +188,7 @@ def _next_relation(sent):
         firsts, begin = np.unique(g_a, return_index=True)
         seconds = np.unique(g_b)
         key = np.searchsorted(firsts, g_a) * np.int64(max(len(seconds), 1)) + np.searchsorted(seconds, g_b)
-        for batch in batches:
+        for batch in _runs(batches):
             _, whose, _, pos, a, b = _adjacent(batch)
             keep, ids = np.zeros(0, np.int64), np.zeros(len(a), np.int64)
             if len(key):
@@ -194,7 +205,7 @@ def _next_relation(sent):
 
 def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every two occurrences side by side as a row."""
-    for batch in batches:
+    for batch in _runs(batches):
         names, whose, lang, pos, a, b = _adjacent(batch)
         yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), batch.column("doc").take(pa.array(whose)), pa.array(pos), pa.array(a), pa.array(b)],
                                          ["lang", "doc", "pos", "a", "b"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzyspark.llm import collocations, decontaminate, filter_audit, hnsw, mixing, quality, secrets, sharding, simhash, token_files, toxicity, urls
+from fuzzyspark.llm import collocations, decontaminate, filter_audit, fingerprints, hnsw, mixing, quality, secrets, sharding, simhash, token_files, toxicity, urls
 from fuzzyspark.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op12_filter_interactions(spark: SparkSession, d: str) -> DataFrame:
     return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op13_weighted_samples(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxic_clauses, op2_fm_decontaminate, op3_linked_secrets, op4_url_rules, op5_mix_sources, op6_simhash_groups,
                                  op7_token_files, op8_weak_label_quality, op9_hnsw_neighbours, op10_hash_tree_shards,
-                                 op11_setm_collocations, op12_filter_interactions)}
+                                 op11_setm_collocations, op12_filter_interactions, op13_weighted_samples)}
 ORACLES = {"op5_mix_sources": mixing.oracle(), "op11_setm_collocations": collocations.oracle(),
            "op12_filter_interactions": filter_audit.oracle()}
