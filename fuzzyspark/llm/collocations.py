@@ -1,10 +1,12 @@
 """Phrase collocations by set-oriented relational mining (SETM).
 
 The occurrences of frequent phrases of one length are a relation (lang, doc,
-position, phrase), kept as Parquet and sorted by document and position; a
-document's occurrences are one row of it, as two arrays.  Positions count
-words and the marks between pieces, so two words stand side by side in one
-piece exactly where their positions follow each other.  A level is
+position, phrase), kept as Parquet and sorted by document and position.  A row
+of the table holds the occurrences of a stretch of a document as two arrays:
+those that begin before its end, which are its own, and those within a
+phrase's length behind it, which the next stretch owns.  Positions count words
+and the marks between pieces, so two words stand side by side in one piece
+exactly where their positions follow each other.  A level is
 
 * a merge-join of the relation with itself on adjacent positions: two phrases
   of k words that overlap in k - 1 make one of k + 1,
@@ -32,8 +34,10 @@ from fuzzyspark.llm.words import flat, word_bounds
 MAX_WORDS, MIN_COUNT, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 #: frequent groups are sent to the tasks up to this many bytes; beyond it occurrences are joined to them
 GROUP_BYTES = 32 << 20
+#: positions of a stretch
+STRETCH = 128
 #: bytes of text, occurrences joined, and pairs counted at a time in a task
-TEXT_BYTES, OCCURRENCES_AT_ONCE, PAIRS = 8 << 20, 1 << 19, 1 << 21
+TEXT_BYTES, OCCURRENCES_AT_ONCE, PAIRS = 2 << 20, 1 << 19, 1 << 20
 SPACE, MARKS = [0x20, 0x09], [ord(c) for c in ".,;:!?\n\x0b\x0c\r"]
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] = np.arange(97, 123)
@@ -41,7 +45,7 @@ IN_WORD = np.ones(256, np.uint8)
 IN_WORD[SPACE + MARKS] = 0
 IS_MARK = np.zeros(256, bool)
 IS_MARK[MARKS] = True
-OCCURRENCES = "lang string, doc long, pos array<int>, id array<long>"
+OCCURRENCES = "lang string, doc long, end int, pos array<int>, id array<long>"
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -61,7 +65,7 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows of about ``size`` bytes of text."""
     for batch in batches:
-        _, offsets = flat(batch.column("text"))
+        offsets = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))))
         cuts = np.searchsorted(offsets, np.arange(0, int(offsets[-1]) + size, size), "left")
         cuts = np.unique(np.concatenate((cuts[cuts <= batch.num_rows], [0, batch.num_rows])))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -98,13 +102,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(n)], ["lang", "word", "n"])
 
 
-def _arrays(pos: np.ndarray, ids: np.ndarray, keep: np.ndarray, whose: np.ndarray, rows: int) -> list[pa.Array]:
-    """The kept occurrences as two list columns, by row."""
-    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(whose[keep], minlength=rows)))).astype(np.int32))
-    return [pa.ListArray.from_arrays(ends, pa.array(pos[keep])), pa.ListArray.from_arrays(ends, pa.array(ids[keep]))]
+def _stretches(whose: np.ndarray, pos: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences, sorted by document and position, dealt to stretches: (occurrence, document, end of its stretch)
+    sorted by stretch; the first of a stretch stand in the one before too."""
+    nth = pos // STRETCH
+    also = np.flatnonzero((nth > 0) & (pos % STRETCH < longest - 1))
+    at = np.concatenate((np.arange(len(pos)), also))
+    nth = np.concatenate((nth, nth[also] - 1))
+    order = np.lexsort((at, nth, whose[at]))
+    return at[order], whose[at[order]], ((nth[order] + 1) * STRETCH).astype(np.int32)
 
 
-def _first_relation(sent):
+def _table(batch: pa.RecordBatch, whose: np.ndarray, end: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A row of the relation for each stretch that has occurrences."""
+    new = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (end[1:] != end[:-1])))[:len(end)])
+    cuts = pa.array(np.concatenate((new, [len(end)])).astype(np.int32))
+    row = pa.array(whose[new])
+    return pa.RecordBatch.from_arrays([
+        batch.column("lang").take(row), batch.column("doc").take(row), pa.array(end[new]),
+        pa.ListArray.from_arrays(cuts, pa.array(pos)), pa.ListArray.from_arrays(cuts, pa.array(ids))], ["lang", "doc", "end", "pos", "id"])
+
+
+def _first_relation(sent, longest: int):
     """Occurrences of the words in the sent groups (lang, word, id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g_lang, g_word, g_id = sent.value
@@ -125,25 +144,27 @@ def _first_relation(sent):
             at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
             ok = key[at] == mine if len(key) else np.zeros(len(mine), bool)
             keep = known[ok]
-            out = np.zeros(len(words), np.int64)
-            out[keep] = ids[at[ok]]
-            whose = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc"), *_arrays(pos, out, keep, whose, batch.num_rows)],
-                                             ["lang", "doc", "pos", "id"])
+            whose = np.repeat(np.arange(batch.num_rows), np.diff(first))[keep]
+            to, whose, end = _stretches(whose, pos[keep], longest)
+            yield _table(batch, whose, end, pos[keep][to], ids[at[ok]][to])
     return run
 
 
-def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every word's occurrence as a row."""
-    for batch in _pieces(batches, TEXT_BYTES // 4):
-        words, pos, first = tokens(batch.column("text"))
-        row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(first)))
-        yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("doc").take(row), pa.array(pos), words.cast(pa.string())],
-                                         ["lang", "doc", "pos", "word"])
+def _all_words(longest: int):
+    """Every word's occurrence as a row for each stretch that holds it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, TEXT_BYTES):
+            words, pos, first = tokens(batch.column("text"))
+            to, whose, end = _stretches(np.repeat(np.arange(batch.num_rows), np.diff(first)), pos, longest)
+            row = pa.array(whose)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang").take(row), batch.column("doc").take(row), pa.array(end), pa.array(pos[to]), words.take(pa.array(to)).cast(pa.string())],
+                ["lang", "doc", "end", "pos", "word"])
+    return run
 
 
 def _adjacent(batch: pa.RecordBatch):
-    """Merge-join of the occurrences with themselves: (row, lang, position, a, b) of every two side by side."""
+    """Merge-join of the occurrences with themselves: (langs, row, lang, position, a, b) of every two side by side."""
     lists = batch.column("pos")
     counts = np.diff(lists.offsets.to_numpy())
     pos = lists.flatten().to_numpy(zero_copy_only=False)
@@ -167,7 +188,9 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: list[str] = []
     held, size = [], 0
     for batch in _runs(batches):
-        names, _, lang, _, a, b = _adjacent(batch)
+        names, whose, lang, pos, a, b = _adjacent(batch)
+        own = pos < batch.column("end").to_numpy()[whose]
+        lang, a, b = lang[own], a[own], b[own]
         for x in names.to_pylist():
             if x not in seen:
                 seen.append(x)
@@ -198,8 +221,8 @@ def _next_relation(sent):
                 at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
                 keep = np.flatnonzero((firsts[i] == a) & (seconds[j] == b) & (key[at] == mine))
                 ids[keep] = g_id[at[keep]]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc"), *_arrays(pos, ids, keep, whose, batch.num_rows)],
-                                             ["lang", "doc", "pos", "id"])
+            whose = whose[keep]
+            yield _table(batch, whose, batch.column("end").to_numpy()[whose], pos[keep], ids[keep])
     return run
 
 
@@ -207,15 +230,16 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every two occurrences side by side as a row."""
     for batch in _runs(batches):
         names, whose, lang, pos, a, b = _adjacent(batch)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), batch.column("doc").take(pa.array(whose)), pa.array(pos), pa.array(a), pa.array(b)],
-                                         ["lang", "doc", "pos", "a", "b"])
+        row = pa.array(whose)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), batch.column("doc").take(row), batch.column("end").take(row),
+                                          pa.array(pos), pa.array(a), pa.array(b)], ["lang", "doc", "end", "pos", "a", "b"])
 
 
 def _regrouped(flat_rows: DataFrame, groups: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The semi-join as a join: rows with a frequent group, put together by document again."""
+    """The semi-join as a join: rows with a frequent group, put together by stretch again."""
     met = lookup(flat_rows, groups.select(*keys, "id"), keys, F.struct("doc", "pos"), n, "inner")
     sides = F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("o")
-    return met.groupBy("lang", "doc").agg(sides).select("lang", "doc", F.col("o.pos").alias("pos"), F.col("o.id").alias("id"))
+    return met.groupBy("lang", "doc", "end").agg(sides).select("lang", "doc", "end", F.col("o.pos").alias("pos"), F.col("o.id").alias("id"))
 
 
 def _sorted_columns(rows: list, names: list[str]) -> list[np.ndarray]:
@@ -250,9 +274,9 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
         known = groups[0].toArrow()
         column = lambda c: known.column(c).combine_chunks()
         sent = spark.sparkContext.broadcast((column("lang").cast(pa.string()), column("word").cast(pa.large_string()), column("id").to_numpy()))
-        relation = written(keyed.mapInArrow(_first_relation(sent), OCCURRENCES), "occurrences")
+        relation = written(keyed.mapInArrow(_first_relation(sent, max_words), OCCURRENCES), "occurrences")
     else:
-        flat_rows = written(keyed.mapInArrow(_all_words, "lang string, doc long, pos int, word string"), "positions")
+        flat_rows = written(keyed.mapInArrow(_all_words(max_words), "lang string, doc long, end int, pos int, word string"), "positions")
         relation = written(_regrouped(flat_rows, groups[0], ["lang", "word"], n), "occurrences")
         remove(flat_rows)
     for k in range(2, max_words + 1):
@@ -263,9 +287,9 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
             break
         if n * 24 <= GROUP_BYTES:
             sent = spark.sparkContext.broadcast(_sorted_columns(groups[-1].select("a", "b", "id").collect(), ["a", "b", "id"]))
-            after = written(relation.mapInArrow(_next_relation(sent), OCCURRENCES).filter(F.size("pos") > 0), "occurrences")
+            after = written(relation.mapInArrow(_next_relation(sent), OCCURRENCES), "occurrences")
         else:
-            flat_rows = relation.mapInArrow(_all_pairs, "lang string, doc long, pos int, a long, b long")
+            flat_rows = relation.mapInArrow(_all_pairs, "lang string, doc long, end int, pos int, a long, b long")
             after = written(_regrouped(flat_rows, groups[-1], ["lang", "a", "b"], n), "occurrences")
         remove(relation)
         relation = after
