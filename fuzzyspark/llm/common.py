@@ -67,6 +67,17 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``: whatever its columns are called, no other name can clash with them."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select((F.struct(*quoted) if quoted else F.struct(F.lit(None).alias("none"))).alias("row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns that ``packed`` has put into ``row``."""
+    return df.select("row.*")
+
+
 def hash60(c: Column) -> Column:
     """The first 60 bits of the MD5 of a string, as a non-negative long."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")

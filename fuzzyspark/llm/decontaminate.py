@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fuzzyspark.llm.common import text_of
-from fuzzyspark.llm.words import flat, word_bounds, word_hashes
+from fuzzyspark.llm.common import packed, text_of, unpacked
+from fuzzyspark.llm.words import flat, word_array, word_bounds, word_hashes
 
 WINDOW = 10
 #: bytes of text in a shard, in a tokenised piece of it, and of benchmark text in a block
@@ -128,9 +129,9 @@ class Phrases:
     def __init__(self, ids: list[str], texts: list[str], window: int):
         data, offsets = flat(pa.array(texts, pa.string()))
         w, starts, ends, first = word_bounds(data, offsets)
-        h = word_hashes(w, starts, ends)
-        self.vocabulary, symbol = np.unique(h, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
+        coded = word_array(w, starts, ends).dictionary_encode()
+        self.vocabulary = coded.dictionary
+        symbol = coded.indices.to_numpy().astype(np.int64) + 1
         rows: dict[tuple, set] = {}
         for k, name in enumerate(ids):
             own = symbol[first[k]:first[k + 1]].tolist()
@@ -142,15 +143,19 @@ class Phrases:
         self.matrix = np.zeros((len(rows), window), np.int64)
         for k, x in enumerate(rows):
             self.matrix[k, window - len(x):] = x
+        self.hashes = np.unique(word_hashes(w, starts, ends))
         self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.filter[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def symbols(self, h: np.ndarray) -> np.ndarray:
+    def symbols(self, w: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The symbol of each word: hashes rule out most others, the words themselves decide."""
+        h = word_hashes(w, starts, ends)
         out = np.zeros(len(h), np.int64)
         maybe = np.flatnonzero(self.filter[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
-        ok = self.vocabulary[at] == h[maybe]
-        out[maybe[ok]] = at[ok] + 1
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        maybe = maybe[self.hashes[at] == h[maybe]]
+        words = word_array(w, starts, ends).take(pa.array(maybe))
+        out[maybe] = pc.fill_null(pc.index_in(words, self.vocabulary), -1).to_numpy() + 1
         return out
 
 
@@ -182,7 +187,7 @@ def search_shard(texts: list[pa.Array], p: Phrases):
             n_words.append(np.diff(first))
             if not len(starts) or not len(p.lengths):
                 continue
-            sym = p.symbols(word_hashes(w, starts, ends))
+            sym = p.symbols(w, starts, ends)
             a, b = _stretches(sym, first, p.shortest)
             if len(a):
                 n = b - a + 1  # each stretch with a break behind it
@@ -267,20 +272,20 @@ def _search_pass(column: str, sent) -> callable:
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of every document (default: all) and ``found``: n_words, the merged spans
-    of hit words (numbers from 0, end exclusive) and the ids of the items that hit, as strings, sorted.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """row, a struct of every document's columns, and ``found``: n_words, the merged spans of hit words
+    (numbers from 0, end exclusive) and the ids of the items that hit, as strings, sorted.
 
     A null text has no words; an item without words has no windows; items of
-    one id count as one, a null id as the empty string.  Repeated rows get a
-    result each; without items nothing is hit; an empty table gives no rows;
-    columns of docs may have any names but __text and found."""
+    one id count as one, a null id as the empty string.  Words are equal if
+    their folded bytes are.  Repeated rows get a result each; without items
+    nothing is hit; an empty table gives no rows; columns of docs may have any
+    names."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), text_of().alias("text")).dropDuplicates(["id", "text"])
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    keep = docs.columns if keep is None else keep
-    out = docs.select(*keep, text_of().alias("__text"))
+    out = packed(docs).select("row", text_of("row.text").alias("__text"))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
         sent = spark.sparkContext.broadcast(Phrases([r.id for r in rows], [r.text for r in rows], window))
@@ -291,13 +296,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; see ``find``."""
-    f = find(docs, benchmark, window, ["doc_id"])
+    f = find(docs.select("doc_id", "text"), benchmark, window)
     hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return f.select("doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"),
+    return f.select("row.doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"),
                     F.size("found.items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit word, with the columns they had."""
-    return find(docs, benchmark, window).filter(F.size("found.spans") == 0).select(*docs.columns)
+    """The documents without a hit word, with the columns they had; see ``find`` for nulls, empty texts,
+    repeated rows, empty tables and names of columns.  Documents without words stay."""
+    return unpacked(find(docs, benchmark, window).filter(F.size("found.spans") == 0))

@@ -72,21 +72,22 @@ def _draws(term: Column, k: Column) -> list[Column]:
     unit = lambda x, bits: (x.cast("double") + 0.5) / float(1 << bits)
     cut = lambda x, at, bits: unit(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")), bits)
     gamma = lambda u, v: -F.log(u * v)
-    return [gamma(cut(h, 0, 24), cut(h, 24, 24)).alias("r"), F.log(gamma(cut(g, 0, 32), cut(g, 32, 32))).alias("ln_c"),
-            cut(h, 48, 16).alias("b")]
+    return [gamma(cut(h, 0, 24), cut(h, 24, 24)).alias("draw_r"), F.log(gamma(cut(g, 0, 32), cut(g, 32, 32))).alias("draw_ln_c"),
+            cut(h, 48, 16).alias("draw_b")]
 
 
 def samples(terms: DataFrame, keys: list[str], weights: list[str], n_samples: int = SAMPLES) -> DataFrame:
     """terms: keys, term (a long) and columns of integer weights.  By keys, an array of samples for each
-    column; a column without weight above 0 has zeros."""
+    column; a column without weight above 0 has zeros.
+    Columns are not called nth, term or draw_r, draw_ln_c, draw_b."""
     logs = [F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(w) for w in weights]
-    drawn = (terms.select(*keys, "term", *logs).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-             .select(*keys, "k", *weights, *_draws(F.col("term"), F.col("k"))))
-    t = lambda w: F.floor(F.col(w) / F.col("r") + F.col("b")).cast("double")
-    least = drawn.groupBy(*keys, "k").agg(*[F.min(F.col("ln_c") - F.col("r") * (t(w) - F.col("b") + 1.0)).alias(w) for w in weights])
+    drawn = (terms.select(*keys, "term", *logs).withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+             .select(*keys, "nth", *weights, *_draws(F.col("term"), F.col("nth"))))
+    t = lambda w: F.floor(F.col(w) / F.col("draw_r") + F.col("draw_b")).cast("double")
+    least = drawn.groupBy(*keys, "nth").agg(*[F.min(F.col("draw_ln_c") - F.col("draw_r") * (t(w) - F.col("draw_b") + 1.0)).alias(w) for w in weights])
     code = lambda w: F.when(F.col(w).isNull(), F.lit(0)).otherwise(F.shiftright(F.xxhash64(w), 32).cast("int")).alias(w)
-    rows = F.sort_array(F.collect_list(F.struct("k", *weights)))
-    return (least.select(*keys, "k", *map(code, weights)).groupBy(*keys).agg(rows.alias("s"))
+    rows = F.sort_array(F.collect_list(F.struct("nth", *weights)))
+    return (least.select(*keys, "nth", *map(code, weights)).groupBy(*keys).agg(rows.alias("s"))
             .select(*keys, *[F.col(f"s.{w}").alias(w) for w in weights]))
 
 

@@ -120,8 +120,6 @@ class Graph:
         return entry
 
     def search(self, x: np.ndarray, q: np.ndarray, beam: int) -> np.ndarray:
-        if len(x) <= SMALL:
-            return np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
         out = [beam_search(x, self.layers[0], q[i:i + STEP], self.entries(x, q[i:i + STEP], 1), beam)[0]
                for i in range(0, len(q), STEP)]
         return np.concatenate(out) if out else np.zeros((0, beam), np.int64)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzyspark.llm.common import hash60, lookup, numbered, sql_hash60, text_of, written
+from fuzzyspark.llm.common import hash60, lookup, numbered, packed, sql_hash60, text_of, unpacked, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -91,15 +91,30 @@ def thresholds(slim: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame
     return state.select("source", F.col("low").alias("theta"))
 
 
-def _hash(id_col: str = "doc_id") -> Column:
-    return hash60(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(text_of()))))
+def _key(doc_id: Column, text: Column) -> Column:
+    return hash60(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(text))))
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES):
-    """(slim, plan, sources): slim has doc_id, source, size, h by document;
-    plan has source, source_size, target, passes and theta by source."""
-    slim = written(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                               word_count(text_of()).alias("size"), _hash().alias("h")), "sizes")
+def distinct_hashes(rows: DataFrame) -> DataFrame:
+    """rows: source, size, h and others.  Gives all but the first of the rows that share a hash within a
+    source one of their own, by size, so that a budget's end can lie between them."""
+    keys = ["source", "h"]
+    shared = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, F.lit(True).alias("shared")), "shared")
+    n = shared.count()
+    if not n:
+        return rows
+    rows = written(rows, "hashed").withColumn("tie", F.monotonically_increasing_id())  # by files: the same in every run of a task
+    marked = lookup(rows, shared, keys, F.col("tie"), n)
+    nth = numbered(marked.filter("shared"), keys, [F.col("size").asc(), F.col("tie").asc()], "repeats", "nth")
+    apart = nth.withColumn("h", F.when(F.col("nth") == 0, F.col("h")).otherwise(
+        hash60(F.concat_ws("#", F.col("h").cast("string"), F.col("nth").cast("string"))))).drop("nth")
+    return marked.filter("shared IS NULL").unionByName(apart).drop("shared", "tie")
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES):
+    """rows: source, size, h.  (plan, number of sources): plan has source, source_size, target, passes and
+    theta by source."""
+    slim = written(rows.select("source", "size", "h"), "sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sums, weights, max_passes)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -109,7 +124,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES):
     theta = thresholds(slim, plan.select("source", "part"), n)
     plan = plan.alias("p").join(theta.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")), "left").select(
         "p.source", "source_size", "target", "passes", "theta")
-    return slim, written(plan, "mix"), n
+    return written(plan, "mix"), n
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -118,26 +133,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataF
     size counts the words of the text (null: 0); taken is size times the
     passes over the document, 0 to ``max_passes``.  A null source is a source
     of its own, the last.  The hash is of the doc_id (of the text where it is
-    null), so reruns agree and rows that repeat a doc_id are taken alike.
-    Empty texts take nothing; an empty table gives no rows; further columns
-    are ignored."""
-    slim, plan, n = plan_mix(docs, weights, max_passes)
+    null), so reruns agree; rows that repeat it are numbered by size and taken
+    one by one.  Empty texts take nothing; an empty table gives no rows;
+    further columns are ignored."""
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"),
+                       _key(F.col("doc_id"), text_of()).alias("h"))
+    slim = distinct_hashes(written(slim, "sizes"))
+    plan, n = plan_mix(slim, weights, max_passes)
     taken = F.col("size") * (F.col("passes") + (F.col("h") < F.col("theta")).cast("long"))
     return lookup(slim, plan, ["source"], F.col("h"), n).select(
         "doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """The documents of the mix, each repeated as often as it is taken.
+    """The documents of the mix, each repeated as often as it is taken; see ``mix``.
 
-    Returns the columns of ``docs``.  Documents without words stay once: no
-    budget counts them."""
-    _, plan, n = plan_mix(docs, weights, max_passes)
-    plan = plan.select(F.col("source").alias("__source"), F.col("passes").alias("__passes"), F.col("theta").alias("__theta"))
-    keyed = docs.withColumns({"__source": F.col("source").cast("string"), "__h": _hash(), "__size": word_count(text_of())})
-    times = F.when(F.col("__size") == 0, 1).otherwise(F.col("__passes") + (F.col("__h") < F.col("__theta")).cast("int"))
-    return (lookup(keyed, plan, ["__source"], F.col("__h"), n)
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns))
+    Returns the columns of ``docs``, whatever their names.  Documents without
+    words, null and empty texts, stay once: no budget counts them."""
+    rows = packed(docs).select("row", F.col("row.source").cast("string").alias("source"), word_count(text_of("row.text")).alias("size"),
+                               _key(F.col("row.doc_id"), text_of("row.text")).alias("h"))
+    rows = distinct_hashes(rows)
+    plan, n = plan_mix(rows, weights, max_passes)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("passes") + (F.col("h") < F.col("theta")).cast("int"))
+    taken = lookup(rows, plan, ["source"], F.col("h"), n)
+    return unpacked(taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))))
 
 
 def oracle(weights=WEIGHTS, max_passes: int = MAX_PASSES) -> str:
@@ -145,9 +164,11 @@ def oracle(weights=WEIGHTS, max_passes: int = MAX_PASSES) -> str:
     key = "coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))"
     case = " ".join(f"WHEN {i} THEN {float(w)!r}" for i, w in enumerate(weights))
     return f"""
-WITH RECURSIVE slim AS (
+WITH RECURSIVE first AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
          {sql_hash60(key)} AS h FROM documents),
+nth AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY size) - 1 AS nth FROM first),
+slim AS (SELECT doc_id, source, size, CASE WHEN nth = 0 THEN h ELSE {sql_hash60("h || '#' || nth")} END AS h FROM nth),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROUP BY source),
 ranked AS (SELECT source, source_size, source_size * {max_passes} AS cap,
   CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(weights)} {case} END AS weight FROM sums),

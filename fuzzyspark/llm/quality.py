@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fuzzyspark.llm.common import text_of
+from fuzzyspark.llm.common import packed, text_of, unpacked
 from fuzzyspark.llm.words import _mix, flat, word_bounds, word_hashes
 
 #: documents the scorer is trained on at most (the vote counts cover all), and hashed dimensions
@@ -277,15 +277,14 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model:
     return Model(accuracy, posterior, fit_scorer(x, np.array([posterior.get(r["pattern"], BALANCE) for r in rows])))
 
 
-def judged(docs: DataFrame, keep: list[str] | None = None, bound: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
-    """The columns ``keep`` (default: all) and ``judged``: votes of the labellers (g, b or -), the
+def judged(docs: DataFrame, bound: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
+    """row, a struct of every document's columns, and ``judged``: votes of the labellers (g, b or -), the
     posterior of good after the votes, the scorer's probability of good, and whether it is kept.
 
     A null or empty text gets no votes and the score of the intercept.
     Repeated rows are judged alike; an empty table gives no rows; columns may
-    have any names but __text and judged."""
+    have any names."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, bound))
-    keep = docs.columns if keep is None else keep
     kind = pa.struct([("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +299,10 @@ def judged(docs: DataFrame, keep: list[str] | None = None, bound: int = TRAIN_DO
                 good = 1.0 / (1.0 + np.exp(np.clip(logit, -40, 40)))
                 for v, p, g in zip(names[votes], _pattern(votes).tolist(), good.tolist()):
                     found.append({"votes": "".join(v), "posterior": 1 - model.posterior.get(p, BALANCE), "score": g, "keep": g >= threshold})
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, kind)], [*keep, "judged"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "judged"])
 
-    rows = docs.select(*keep, text_of().alias("__text"))
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("judged", T.StructType([
+    rows = packed(docs).select("row", text_of("row.text").alias("__text"))
+    out = T.StructType([rows.schema["row"], T.StructField("judged", T.StructType([
         T.StructField("votes", T.StringType()), T.StructField("posterior", T.DoubleType()),
         T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())]))])
     return rows.mapInArrow(run, out)
@@ -311,9 +310,10 @@ def judged(docs: DataFrame, keep: list[str] | None = None, bound: int = TRAIN_DO
 
 def quality(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, votes, posterior, score and keep of every document; see ``judged``."""
-    return judged(docs, ["doc_id"], bound).select("doc_id", "judged.*")
+    return judged(docs.select("doc_id", "text"), bound).select("row.doc_id", "judged.*")
 
 
 def good_documents(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
-    """The documents that the scorer keeps, with the columns they had."""
-    return judged(docs, None, bound).filter("judged.keep").select(*docs.columns)
+    """The documents that the scorer keeps, with the columns they had; see ``judged`` for nulls, empty
+    texts, repeated rows, empty tables and names of columns."""
+    return unpacked(judged(docs, bound).filter("judged.keep"))

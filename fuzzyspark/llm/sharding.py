@@ -16,19 +16,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuzzyspark.llm.common import hash60, numbered, sql_hash60, text_of
+from fuzzyspark.llm.common import hash60, numbered, text_of
 
 #: {region: {rack: {shard: weight}}}
 Tree = dict[str, dict[str, dict[int, float]]]
 LAW = "key"
 
 
-def default_tree(n_shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
-    """Regions of ``racks`` x ``per_rack`` shards of weight 1, the last as far as the shards go."""
+def default_tree(n_shards: int, founded: int = 16, racks: int = 2, per_rack: int = 4) -> Tree:
+    """A tree founded with ``founded`` shards, in regions of ``racks`` x ``per_rack`` shards of weight 1, and
+    grown one shard at a time to ``n_shards``; fewer shards are founded as they are."""
     tree: Tree = {}
-    for s in range(n_shards):
+    for s in range(min(n_shards, founded)):
         region, rest = divmod(s, racks * per_rack)
         tree.setdefault(f"g{region}", {}).setdefault(f"r{rest // per_rack}", {})[s] = 1.0
+    for _ in range(founded, n_shards):
+        tree = grow(tree)
     return tree
 
 
@@ -75,7 +78,7 @@ def assign(df: DataFrame, tree: Tree, key: Column, out: str) -> DataFrame:
     return df.withColumn(out, shard.cast("int")).drop(g, r, s)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, founded: int = 16) -> DataFrame:
     """Place every document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The key is the doc_id, so rows of one doc_id share a shard, repeated rows
@@ -83,7 +86,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     number a shard's rows from 0 by doc_id (nulls first), then checksum and
     size.  A null text counts as empty (size 1, checksum 0); an empty table
     gives no rows; further columns are ignored."""
-    tree = default_tree(n_shards)
+    tree = default_tree(n_shards, founded)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     raw = F.encode(text_of(), "UTF-8")
     slim = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"),
@@ -93,27 +96,3 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     return numbered(slim, ["shard"], order, "shards").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
-
-def _sql_draw(path: str, weight: float, key: str) -> str:
-    u = f"(CAST({sql_hash60(f'''{chr(39)}{path}|{chr(39)} || {key}''')} AS DOUBLE) + 1.0) / {float(1 << 60)!r}"
-    return f"-ln({u}) / {float(weight)!r}"
-
-
-def _sql_pick(path: str, weights: dict, key: str) -> str:
-    if len(weights) == 1:
-        return "0"
-    return "list_min([" + ", ".join(f"{{'d': {_sql_draw(f'{path}/{n}', w, key)}, 'i': {i}}}"
-                                    for i, (n, w) in enumerate(weights.items())) + "]).i"
-
-
-def sql_shard(tree: Tree, key: str) -> str:
-    """The shard of a key as a SQL expression."""
-    total = lambda x: sum(map(total, x.values())) if isinstance(x, dict) else x
-    weights = lambda x: {n: total(c) for n, c in x.items()}
-    case = lambda pick, options: options[0] if len(options) == 1 else (
-        f"CASE {pick} " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options)) + " END")
-    return case(_sql_pick("", weights(tree), key), [
-        case(_sql_pick(n, weights(racks), key), [
-            case(_sql_pick(f"{n}/{m}", weights(shards), key), [str(x) for x in shards])
-            for m, shards in racks.items()])
-        for n, racks in tree.items()])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fuzzyspark.llm.common import lookup, text_of, written
+from fuzzyspark.llm.common import lookup, packed, text_of, unpacked, written
 from fuzzyspark.llm.components import components, star
 from fuzzyspark.llm.words import flat, word_bounds
 
@@ -230,15 +230,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the least doc_id of each component, with the columns it had."""
+    """The document with the least doc_id of each component, with the columns it had.
+
+    Of rows that repeat its doc_id and text one stays; a component of null ids
+    alone keeps its row of the least text hash; null and empty texts are one
+    component with all that is near zero.  An empty table gives no rows;
+    columns may have any names."""
     rows, groups = grouped(docs, shingle, max_bits)
     chosen = groups.select("least.*").distinct()
     same = (F.col("x.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("x.th") == F.col("c.th"))
-    copies = rows.alias("x").join(chosen.alias("c"), same, "left_semi").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__n"))
-    copies = written(copies.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__n"), "chosen")
-    keyed = docs.withColumn("__t", F.xxhash64(text_of()))
-    met = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")))
-    once = met.filter("__n = 1").select(*docs.columns)
-    if copies.filter("__n > 1").isEmpty():
-        return once
-    return once.unionByName(met.filter("__n > 1").dropDuplicates(["__id", "__th"]).select(*docs.columns))
+    copies = rows.alias("x").join(chosen.alias("c"), same, "left_semi").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    copies = written(copies, "chosen")
+    keyed = packed(docs).withColumn("t", F.xxhash64(text_of("row.text")))
+    met = keyed.join(copies, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
+    once = met.filter("n = 1")
+    if not copies.filter("n > 1").isEmpty():  # repeated rows are reduced before they are dealt
+        again = met.filter("n > 1").groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+        return unpacked(once.select("row").unionByName(again.select("row")))
+    return unpacked(once)

@@ -63,6 +63,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM
     return w, starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_array(w: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words' folded bytes as strings."""
+    to = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(w[w != 0]))])
+
+
 def word_hashes(w: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's folded bytes."""
     global _POW

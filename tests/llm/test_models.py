@@ -120,8 +120,8 @@ def test_quality_agrees_with_labels_it_never_saw(spark):
 
 def test_quality_edge_cases(docs, rows, empty):
     got = quality.judged(docs)
-    assert got.columns == [*docs.columns, "judged"]
-    out = got.select("doc_id", "text", "judged").collect()
+    assert got.columns == ["row", "judged"] and got.select("row.*").columns == docs.columns
+    out = got.select("row.doc_id", "row.text", "judged").collect()
     assert len(out) == len(rows) and all(0 <= r.judged.score <= 1 for r in out)
     blank = {r.judged.score for r in out if not (r.text or "").strip()}
     assert len(blank) == 1 and {r.judged.votes for r in out if not (r.text or "").strip()} == {"-" * len(quality.LABELLERS)}

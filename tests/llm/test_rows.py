@@ -80,6 +80,37 @@ def test_decontamination_without_items_or_documents(docs, empty, items):
     assert kept.columns == docs.columns
 
 
+def test_words_of_one_hash_are_told_apart(spark):
+    """Thue-Morse words, which every polynomial hash modulo a power of two takes for equal."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"x {a} y")], "doc_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.report(docs, spark.createDataFrame([(1, a)], "item_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+CLASHES = ["row", "found", "judged", "text2", "n", "t", "th", "h", "copy", "size", "key", "theta", "passes", "tie", "shared", "nth", "fp",
+           "__text", "__t", "__h", "__copy", "__size", "__source", "__id", "__th", "__n", "__passes", "__theta", "__salt", "a.b", "c`d"]
+
+
+def test_stages_keep_columns_of_any_name(spark, rows):
+    """Every stage returns the columns it was given, with their values, repeated rows and nulls included."""
+    from fuzzyspark.llm import quality
+
+    data = [(i, t, "en", s, *[f"{c}{k}" for c in CLASHES]) for k, (i, t, s) in enumerate(rows)] + [(1, "same text", "en", "a", *CLASHES)] * 40
+    names = ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"`{c.replace('`', '``')}` string" for c in CLASHES]])
+    docs = spark.createDataFrame(data, names).repartition(3)
+    items = spark.createDataFrame([(1, "né olvor bavor")], "item_id long, text string")
+    given = set(data)
+    for out in (quality.good_documents(docs), simhash.one_of_each(docs), decontaminate.clean_documents(docs, items), mixing.mixed_documents(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= given
+        assert out.count() > 10
+    none = docs.limit(0)
+    for out in (quality.good_documents(none), simhash.one_of_each(none), decontaminate.clean_documents(none, items), mixing.mixed_documents(none)):
+        assert out.columns == docs.columns and out.collect() == []
+
+
 def test_fm_index_finds_all_places():
     rng = np.random.default_rng(1)
     s = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 60)), 0) for _ in range(30)])
@@ -166,6 +197,30 @@ def test_mixing_meets_targets(docs, rows, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    """A third of the rows share a doc_id, others a null id and a text: every source still meets its target."""
+    data = [(7, "w " * 10, "a")] * 60 + [(100 + i, "x " * 10, "a") for i in range(60)] + [(None, "y z", "b")] * 50
+    data += [(500 + i, "v " * 10, "c") for i in range(40)] + [(7, "w " * 3, "c")] * 5
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = result(mixing.mix(docs))
+    assert len(got) == len(data) and all(r["taken"] <= 3 * r["size"] for r in got)
+    taken = {}
+    for r in got:
+        t = taken.setdefault(round(r["target"], 6), [0, 0])
+        t[0] += r["taken"]
+        t[1] = max(t[1], r["size"])
+    assert len(taken) == 3 and all(abs(t - k) <= size for k, (t, size) in taken.items())
+    assert sorted(map(str, got)) == sorted(map(str, result(mixing.mix(docs.repartition(5)))))
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(mixing.oracle()).fetchall()
+    cols = [c[0] for c in con.description]
+    key = lambda r: (r["source_size"], r["size"], r["taken"], round(r["target"], 6))
+    assert sorted(map(key, got)) == sorted(key(dict(zip(cols, w))) for w in want)
+
+
 def test_mixed_documents_repeat_as_taken(docs):
     taken = sum(max(1, r["taken"] // r["size"]) if r["taken"] else 0 for r in result(mixing.mix(docs)) if r["size"])
     none = sum(1 for r in result(mixing.mix(docs)) if not r["size"])
@@ -190,6 +245,16 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).collect() == []
 
 
+@pytest.mark.parametrize("n, founded", [(16, 16), (17, 16), (18, 16), (23, 16), (8, 8), (9, 8), (3, 3), (4, 3)])
+def test_grown_shard_is_the_shard_of_one_more(spark, n, founded):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    now = {r.doc_id: r for r in sharding.shard_documents(docs, n, founded).collect()}
+    after = {r.doc_id: r.shard for r in sharding.shard_documents(docs, n + 1, founded).collect()}
+    assert {i: r.grown_shard for i, r in now.items()} == after
+    assert all(after[i] in (r.shard, n) for i, r in now.items())
+    assert abs(np.mean([s == n for s in after.values()]) - 1 / (n + 1)) < 0.03
+
+
 def test_hash_tree_follows_weights_and_moves_only_into_changed_subtrees(spark):
     from pyspark.sql import functions as F
 
