@@ -1,12 +1,16 @@
 """Greedy selection of a union of (join function, threshold) configs.
 
-The per-r table ``G(id_r, m: map<j, struct<l, ps>>)`` is built once and
-checkpointed.  The greedy state after any prefix of selected configs is a
-pure function of that prefix (current best precision of r = max over the
-selected configs, joined l's = the l's those configs propose), so every
-iteration is one scan of G with a literal prefix, one explode and one
-``groupBy(j, t)`` whose partial aggregation leaves at most |JF|·T rows per
-task.  No per-iteration state table, no lineage growth.
+The per-r table ``G(w, id_r, ls, ps)`` is built once and checkpointed.  The
+gains of all configs are summed over G once; a step then touches only the
+records whose state its config changes (a higher precision, or a new l), and
+sends the differences of their gains, by config, to the gains table of at most
+|JF|·T numbers.  The state of a record after a prefix of selected configs is a
+pure function of that prefix (best precision = max over the selected configs,
+joined l's = the l's those configs propose), so there is no state table and no
+growing lineage.
+
+``w`` numbers searches that share the table, such as those of several column
+weights.  They advance together, one job a step for all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ def densify(G: DataFrame, nj: int | None = None, nt: int | None = None) -> DataF
     """Map layout ``m: map<j, struct<l, ps>>`` → dense layout
     ``ls: array<l>`` (|JF|) and ``ps: array<double>`` (|JF|·T, config
     c = j·T + t), which the per-iteration scan explodes inside codegen."""
+    if "w" not in G.columns:
+        G = G.withColumn("w", F.lit(0))
     if "ps" in G.columns:
         return G
     if nj is None or nt is None:
@@ -40,7 +46,7 @@ def densify(G: DataFrame, nj: int | None = None, nt: int | None = None) -> DataF
     pad = lambda j: F.coalesce(F.try_element_at(m, j)["ps"], F.array().cast("array<double>"))
     ps = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(nj - 1)), lambda j: F.concat(
         pad(j), F.array_repeat(F.lit(None).cast("double"), F.lit(nt) - F.size(pad(j))))))
-    return G.select("id_r", ls.alias("ls"), ps.alias("ps"), F.lit(nt).alias("nt"))
+    return G.select("w", "id_r", ls.alias("ls"), ps.alias("ps"), F.lit(nt).alias("nt"))
 
 
 def _dims(G: DataFrame) -> tuple[int, int]:
@@ -66,32 +72,34 @@ def _l_at(s: Column) -> Column:
     return F.try_element_at(F.col("ls"), s["j"] + 1)
 
 
-def _int_array(values) -> Column:
-    """Array literal: code generation references it instead of inlining the
-    values, so the generated code (and its compile cache) is the same in
-    every greedy iteration."""
-    return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>") if values \
-        else F.array().cast("array<int>")
+def _by_search(rows: dict[int, list[int]]) -> Column:
+    """The integers of the row's search: an array literal of array literals, which code generation
+    references, so the generated code is the same in every step.  Null for a search beyond them."""
+    n = max(rows, default=0) + 1
+    arrays = (f"cast(array({', '.join(map(str, rows.get(w, [])))}) AS array<int>)" for w in range(n))
+    return F.expr(f"get(array({', '.join(arrays)}), w)")
 
 
-def _state(selected, nt: int):
-    """(p_cur, cands) of every r after ``selected``.
+def _state(selected: dict[int, list], nt: int) -> tuple[Column, Column]:
+    """(p_cur, known) of every record after the selected configs of its search.
 
     ps of one jf is non-null exactly from the first threshold ≥ d on, so
     "r has a proposal from jf js" is one null test at the largest selected
-    threshold of js; the proposed l's of those jfs are r's candidates."""
-    ps, ls = F.col("ps"), F.col("ls")
-    tmax = {}
-    for j, t in selected:
-        tmax[j] = max(t, tmax.get(j, -1))
-    sel = _int_array([j * nt + t for j, t in selected])
-    act_j = _int_array(sorted(tmax))
-    act_c = _int_array([j * nt + tmax[j] for j in sorted(tmax)])
-    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda c: F.element_at(ps, c + 1))), F.lit(0.0))
-    cands = F.filter(F.transform(act_j, lambda j, i: F.when(
-        F.element_at(ps, F.element_at(act_c, i + 1) + 1).isNotNull(), F.element_at(ls, j + 1))),
-        lambda x: x.isNotNull())
-    return p_cur, cands
+    threshold of js; the proposed l's of those jfs are r's known ones."""
+    top = {w: {} for w in selected}
+    for w, configs in selected.items():
+        for j, t in configs:
+            top[w][j] = max(t, top[w].get(j, -1))
+    sel = _by_search({w: [j * nt + t for j, t in configs] for w, configs in selected.items()})
+    act = _by_search({w: [j * nt + m[j] for j in sorted(m)] for w, m in top.items()})
+    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda c: F.element_at("ps", c + 1))), F.lit(0.0))
+    known = F.transform(F.filter(act, lambda c: F.element_at("ps", c + 1).isNotNull()),
+                        lambda c: F.element_at("ls", (c / nt).cast("int") + 1))
+    return p_cur, known
+
+
+def _owner(nt: int) -> Column:
+    return F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
 
 
 def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
@@ -101,19 +109,44 @@ def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
     ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed l is new for r.  The
     state is evaluated once per r inside an ``inline`` generator (a plain
     projection would be pushed past the explode and re-evaluated per row)."""
-    G = densify(G)
-    nt = nt or _nt(G)
-    p_cur, cands = _state(selected, nt)
+    return [g[1:] for g in _all_gains(densify(G), {0: list(selected)}, nt or _nt(G))]
+
+
+def _all_gains(G: DataFrame, selected: dict[int, list], nt: int) -> list:
+    """Sorted (w, j, t, ΔTP, Δn) of a dense G."""
+    p_cur, known = _state(selected, nt)
+    ltype = G.schema["ls"].dataType.elementType
+    st = G.select("w", F.inline(F.array(F.struct(p_cur.alias("pc"), known.cast(T.ArrayType(ltype)).alias("cs"), "ls", "ps"))))
+    old = F.coalesce(F.array_contains("cs", _owner(nt)), F.lit(False))
+    x = (st.select("w", "pc", "cs", "ls", "ps", F.posexplode("ps").alias("c", "p"))
+         .where(F.col("p").isNotNull())
+         .select("w", "c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"), F.when(old, 0).otherwise(1).alias("dn")))
+    agg = x.groupBy("w", "c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
+    return sorted((r["w"], r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg)
+
+
+def gain_changes(G: DataFrame, selected: dict[int, list], added: dict[int, tuple[int, int]], nt: int) -> list:
+    """(w, j, t, change of ΔTP, change of Δn) by which adding ``added`` after ``selected`` alters the gains.
+
+    Only the records whose state changes are exploded: those that the added
+    config lifts above their best precision, or joins to an l new to them."""
+    p_cur, known = _state({w: selected.get(w, []) for w in added}, nt)
     ltype = G.schema["ls"].dataType.elementType
-    st = G.select(F.inline(F.array(F.struct(p_cur.alias("pc"), cands.cast(T.ArrayType(ltype)).alias("cs"),
-                                            "ls", "ps"))))
-    owner = F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
-    known = F.coalesce(F.array_contains("cs", owner), F.lit(False))
-    x = (st.select("pc", "cs", "ls", "ps", F.posexplode("ps").alias("c", "p"))
+    star = _by_search({w: [j * nt + t] for w, (j, t) in added.items()})
+    st = (G.withColumn("star", F.try_element_at(star, F.lit(1))).where(F.col("star").isNotNull())
+          .withColumn("p1", F.element_at("ps", F.col("star") + 1)).where(F.col("p1").isNotNull())
+          .select("w", F.inline(F.array(F.struct(p_cur.alias("pc"), known.cast(T.ArrayType(ltype)).alias("cs"), "p1",
+                                                 F.element_at("ls", F.expr(f"star div {nt}").cast("int") + 1).alias("l1"), "ls", "ps")))))
+    fresh = ~F.coalesce(F.array_contains("cs", F.col("l1")), F.lit(False))
+    touched = st.withColumn("fresh", fresh).where(F.col("fresh") | (F.col("p1") > F.col("pc")))
+    gain = lambda p: F.greatest(F.col("p") - p, F.lit(0.0))
+    x = (touched.select("w", "pc", "p1", "l1", "fresh", "ls", F.posexplode("ps").alias("c", "p"))
          .where(F.col("p").isNotNull())
-         .select("c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"), F.when(known, 0).otherwise(1).alias("dn")))
-    agg = x.groupBy("c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
-    return sorted((r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg)
+         .select("w", "c", (gain(F.greatest("pc", "p1")) - gain(F.col("pc"))).alias("dtp"),
+                 F.when(F.col("fresh") & (_owner(nt) == F.col("l1")), -1).otherwise(0).alias("dn"))
+         .where((F.col("dtp") != 0) | (F.col("dn") != 0)))
+    agg = x.groupBy("w", "c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
+    return [(r["w"], r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg]
 
 
 @dataclass
@@ -147,21 +180,49 @@ def _best(gains, tp, n):
 def run_greedy(G: DataFrame, target: float, patience: float = PATIENCE) -> GreedyResult:
     """Add the most profitable config until none adds a match or the estimated
     precision is more than ``patience`` below the target."""
+    return run_greedy_many(G, target, patience).get(0) or GreedyResult()
+
+
+def run_greedy_many(G: DataFrame, target: float, patience: float = PATIENCE) -> dict[int, GreedyResult]:
+    """The greedy result of every search ``w`` of G, all of them advanced by one job a step."""
+    G = densify(G)
+    nt = _nt(G)
+    gains: dict[int, dict] = {}
+    for w, j, t, dtp, dn in _all_gains(G, {}, nt):
+        gains.setdefault(w, {})[j, t] = (dtp, dn)
+    out = {w: GreedyResult() for w in gains}
+    sums = dict.fromkeys(gains, (0.0, 0))
+    live = sorted(gains)
+    while live:
+        before, added = {w: list(out[w].selected) for w in live}, {}
+        for w in live:
+            tp, n = sums[w]
+            best = _best([(j, t, *gains[w][j, t]) for j, t in sorted(gains[w])], tp, n)
+            if best is None:
+                continue
+            profit, j, t, dtp, dn, avg = best
+            res, sums[w] = out[w], (tp + dtp, n + dn)
+            res.selected.append((j, t))
+            res.history.append({"j": j, "t": t, "profit": profit, "precision": avg, "n": n + dn})
+            res.last_precision = avg
+            if avg > target:
+                res.n_keep, res.precision = len(res.selected), avg
+            if avg >= target - patience:
+                added[w] = (j, t)
+        for w, j, t, dtp, dn in (gain_changes(G, before, added, nt) if added else []):
+            a, b = gains[w][j, t]
+            gains[w][j, t] = (a + dtp, b + dn)
+        live = sorted(added)
+    return out
+
+
+def matched(G: DataFrame, configs: dict[int, list]) -> dict[int, int]:
+    """Records with a proposal from the configs of their search, by search, in one job."""
     G = densify(G)
     nt = _nt(G)
-    res = GreedyResult()
-    tp, n = 0.0, 0
-    while (best := _best(config_gains(G, res.selected, nt), tp, n)) is not None:
-        profit, j, t, dtp, dn, avg = best
-        res.selected.append((j, t))
-        tp, n = tp + dtp, n + dn
-        res.history.append({"j": j, "t": t, "profit": profit, "precision": avg, "n": n})
-        res.last_precision = avg
-        if avg > target:
-            res.n_keep, res.precision = len(res.selected), avg
-        if avg < target - patience:
-            break
-    return res
+    sel = _by_search({w: [j * nt + t for j, t in c] for w, c in configs.items()})
+    some = F.exists(sel, lambda c: F.element_at("ps", c + 1).isNotNull())
+    return {r["w"]: r["n"] for r in G.where(some).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
@@ -183,7 +244,7 @@ def materialize_G(G: DataFrame, checkpoint: bool = True, nj: int | None = None,
     """Dense G, persisted, lineage cut once (reliable checkpoint)."""
     G = densify(G, nj, nt)
     if checkpoint:
-        g = reliable_checkpoint(G.repartition("id_r")).persist(StorageLevel.MEMORY_AND_DISK)
+        g = reliable_checkpoint(G.repartition("w", "id_r")).persist(StorageLevel.MEMORY_AND_DISK)
         g.count()
         return g
     g = G.persist(StorageLevel.MEMORY_AND_DISK)

@@ -129,23 +129,38 @@ def _build_G(spark, dist, ts_map, checkpoint=True):
     return G.materialize_G(P.per_r(m), checkpoint, nj, nt), thr
 
 
-def run_one_weight(spark, prep: Prepared, weights: list[float], target: float,
-                   grid: list[float], checkpoint=True):
-    dist = P.weighted(prep.long, len(prep.cols), weights).persist(StorageLevel.MEMORY_AND_DISK)
-    ts_map = P.threshold_grid(P.nearest(dist), grid)
-    if not ts_map:
-        return None
-    Gdf, _ = _build_G(spark, dist, ts_map, checkpoint)
-    res = G.run_greedy(Gdf, target)
-    names = sorted(ts_map)
-    out = {"weights": weights, "greedy": res, "G": Gdf, "names": names, "ts": ts_map,
-           "reward": float("-inf"), "matches": None}
-    if res.configs:
-        matches = G.resolve_matches(Gdf, res.configs)
-        n_r = matches.count()
-        out["reward"] = res.precision * n_r
-        out["matches"] = matches
+def run_weights(spark, prep: Prepared, weights: list[list[float]], target: float, grid: list[float], checkpoint=True) -> list[dict]:
+    """The greedy result of every weight vector, found together: the number of the vector is a part of
+    the key of distances, thresholds and gains, so each step of the search is one job for all of them.
+
+    A vector without candidate pairs has no result."""
+    dist = P.weighted_all(prep.long, len(prep.cols), weights).persist(StorageLevel.MEMORY_AND_DISK)
+    near = P.nearest(dist).persist(StorageLevel.MEMORY_AND_DISK)
+    ts_all = P.threshold_grid(near, grid)
+    ts: dict[int, dict] = {}
+    for key, values in ts_all.items():
+        w, jf = key.split("|", 1)
+        ts.setdefault(int(w), {})[jf] = values
+    if not ts:
+        dist.unpersist()
+        return []
+    thr = P.threshold_table(spark, ts_all)
+    # j counts the functions of one vector, in order of their names
+    numbers = {f"{w}|{jf}": j for w, names in ts.items() for j, jf in enumerate(sorted(names))}
+    place = spark.createDataFrame([(k, int(k.split("|", 1)[0]), j) for k, j in numbers.items()], "jf string, w int, j int")
+    m = P.local_precision(near, P.ball_counts(dist, near, thr), thr.drop("j").join(F.broadcast(place), "jf"), "w")
+    nj, nt = max(map(len, ts.values())), max(len(v) for v in ts_all.values())
+    Gdf = G.materialize_G(P.per_r(m, "w"), checkpoint, nj, nt)
+    near.unpersist()
     dist.unpersist()
+    found = G.run_greedy_many(Gdf, target)
+    kept = {w: r.configs for w, r in found.items() if r.configs}
+    n_r = G.matched(Gdf, kept) if kept else {}
+    out = []
+    for w in sorted(ts):
+        res = found.get(w) or G.GreedyResult()
+        out.append({"w": w, "weights": weights[w], "greedy": res, "G": Gdf, "names": sorted(ts[w]), "ts": ts[w],
+                    "reward": res.precision * n_r.get(w, 0) if res.configs else float("-inf")})
     return out
 
 
@@ -180,25 +195,19 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
     base_cols: list[str] = []
     base_w = None
     for _ in range(len(cols)):
+        options = [(c, w) for c in cols if c not in base_cols for w in new_weights(base_w, wgrid)]
+        lists = [[dict(zip(base_cols + [c], w)).get(cc, 0.0) for cc in cols] for c, w in options]
         step_best = None
-        for c in cols:
-            if c in base_cols:
-                continue
-            for w in new_weights(base_w, wgrid):
-                wmap = dict(zip(base_cols + [c], w))
-                wlist = [wmap.get(cc, 0.0) for cc in cols]
-                r = run_one_weight(spark, prep, wlist, precision_target, grid, checkpoint)
-                if r is None:
-                    continue
-                r["columns"], r["wlist_sel"] = base_cols + [c], w
-                if step_best is None or r["reward"] > step_best["reward"]:
-                    if step_best is not None and step_best is not best:
-                        step_best["G"].unpersist()
-                    step_best = r
-                else:
-                    r["G"].unpersist()
+        for r in run_weights(spark, prep, lists, precision_target, grid, checkpoint):
+            c, w = options[r["w"]]
+            if step_best is None or r["reward"] > step_best["reward"]:
+                step_best = {**r, "columns": base_cols + [c], "wlist_sel": w}
         if step_best is None or step_best["reward"] <= best_reward:
+            if step_best is not None:
+                step_best["G"].unpersist()
             break
+        if best is not None:
+            best["G"].unpersist()
         best_reward, best = step_best["reward"], step_best
         base_cols, base_w = step_best["columns"], step_best["wlist_sel"]
 
@@ -216,8 +225,8 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
     weights = dict(zip(best["columns"], best["wlist_sel"]))
     model = FuzzyJoinModel(configs, weights, prep.rules, best["greedy"].precision, params,
                            best["greedy"].history, **kept)
-    model.matches = best["matches"]
-    return model, materialize(best["matches"], left, right, id_col)
+    model.matches = G.resolve_matches(best["G"].where(F.col("w") == best["w"]), best["greedy"].configs)
+    return model, materialize(model.matches, left, right, id_col)
 
 
 def empty_result(left: DataFrame, right: DataFrame) -> DataFrame:

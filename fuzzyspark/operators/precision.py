@@ -33,6 +33,19 @@ def weighted(long: DataFrame, ncols: int, weights) -> DataFrame:
     return long.select("side", "id_l", "id_r", "jf", F.round(expr, DIGITS).alias("d"))
 
 
+def weighted_all(long: DataFrame, ncols: int, weights: list[list[float]]) -> DataFrame:
+    """``weighted`` for several weight vectors at once: jf is ``w|jf``, w the number of the vector."""
+    ds = []
+    for w in weights:
+        expr = F.lit(0.0)
+        for ci in range(ncols):
+            if ci < len(w) and float(w[ci]) != 0.0:
+                expr = expr + F.lit(float(w[ci])) * F.col(f"d_{ci}")
+        ds.append(F.round(expr, DIGITS))
+    return (long.select("side", "id_l", "id_r", "jf", F.posexplode(F.array(*ds)).alias("w", "d"))
+            .select("side", "id_l", "id_r", F.concat_ws("|", F.col("w").cast("string"), "jf").alias("jf"), "d"))
+
+
 def nearest(dist: DataFrame) -> DataFrame:
     """Nearest l per (jf, r) among LR pairs; ties → smallest id_l."""
     lr = dist.where(F.col("side") == "LR")
@@ -76,17 +89,17 @@ def ball_counts(dist: DataFrame, near: DataFrame, thr: DataFrame) -> DataFrame:
     return hist.select("jf", "proxy", cum.alias("cum"))
 
 
-def local_precision(near: DataFrame, balls: DataFrame, thr: DataFrame) -> DataFrame:
-    """``(jf, j, id_r, id_l, d, ps)``; ps[i] = 1/(1+cum[i]) when d ≤ ts[i]."""
+def local_precision(near: DataFrame, balls: DataFrame, thr: DataFrame, *more: str) -> DataFrame:
+    """``(jf, j, id_r, id_l, d, ps)`` and the columns ``more`` of thr; ps[i] = 1/(1+cum[i]) when d ≤ ts[i]."""
     m = (near.join(F.broadcast(thr), "jf")
          .join(balls.withColumnRenamed("proxy", "id_l"), ["jf", "id_l"], "left"))
     ps = F.transform("ts", lambda t, i: F.when(
         F.col("d") <= t,
         1.0 / (1.0 + F.coalesce(F.try_element_at("cum", i + 1), F.lit(0)))).cast("double"))
-    return m.select("jf", "j", "id_r", "id_l", "d", ps.alias("ps"))
+    return m.select(*more, "jf", "j", "id_r", "id_l", "d", ps.alias("ps"))
 
 
-def per_r(m: DataFrame) -> DataFrame:
-    """One row per r: ``m: map<j, struct<l, ps>>`` (at most |JF| entries)."""
-    return m.groupBy("id_r").agg(F.map_from_entries(F.collect_list(
+def per_r(m: DataFrame, *more: str) -> DataFrame:
+    """One row per r (and ``more``): ``m: map<j, struct<l, ps>>`` (at most |JF| entries)."""
+    return m.groupBy(*more, "id_r").agg(F.map_from_entries(F.collect_list(
         F.struct("j", F.struct(F.col("id_l").alias("l"), "ps")))).alias("m"))
