@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from fuzzyspark.session import reliable_checkpoint
 
 PATIENCE = 0.05
+# bytes of precisions in a partition of the per-r table
+PART_BYTES = 1 << 24
 # places to which profits are compared
 DIGITS = 9
 
@@ -72,16 +74,16 @@ def _l_at(s: Column) -> Column:
     return F.try_element_at(F.col("ls"), s["j"] + 1)
 
 
-def _by_search(rows: dict[int, list[int]]) -> Column:
-    """The integers of the row's search: an array literal of array literals, which code generation
-    references, so the generated code is the same in every step.  Null for a search beyond them."""
+def _by_search(rows: dict[int, list[int]]) -> str:
+    """SQL of the integers of the row's search, null for a search beyond them: an array literal of array
+    literals, which code generation references, so the generated code is the same in every step."""
     n = max(rows, default=0) + 1
     arrays = (f"cast(array({', '.join(map(str, rows.get(w, [])))}) AS array<int>)" for w in range(n))
-    return F.expr(f"get(array({', '.join(arrays)}), w)")
+    return f"get(array({', '.join(arrays)}), w)"
 
 
-def _state(selected: dict[int, list], nt: int) -> tuple[Column, Column]:
-    """(p_cur, known) of every record after the selected configs of its search.
+def _state(selected: dict[int, list], nt: int, ltype: str) -> tuple[str, str]:
+    """SQL of (p_cur, known) of every record after the selected configs of its search.
 
     ps of one jf is non-null exactly from the first threshold ≥ d on, so
     "r has a proposal from jf js" is one null test at the largest selected
@@ -92,14 +94,13 @@ def _state(selected: dict[int, list], nt: int) -> tuple[Column, Column]:
             top[w][j] = max(t, top[w].get(j, -1))
     sel = _by_search({w: [j * nt + t for j, t in configs] for w, configs in selected.items()})
     act = _by_search({w: [j * nt + m[j] for j in sorted(m)] for w, m in top.items()})
-    p_cur = F.coalesce(F.array_max(F.transform(sel, lambda c: F.element_at("ps", c + 1))), F.lit(0.0))
-    known = F.transform(F.filter(act, lambda c: F.element_at("ps", c + 1).isNotNull()),
-                        lambda c: F.element_at("ls", (c / nt).cast("int") + 1))
-    return p_cur, known
+    return (f"coalesce(array_max(transform({sel}, c -> element_at(ps, c + 1))), 0D)",
+            f"cast(transform(filter({act}, c -> element_at(ps, c + 1) IS NOT NULL), "
+            f"c -> element_at(ls, cast(c div {nt} AS int) + 1)) AS array<{ltype}>)")
 
 
-def _owner(nt: int) -> Column:
-    return F.element_at("ls", F.expr(f"c div {nt}").cast("int") + 1)
+def _l_type(G: DataFrame) -> str:
+    return G.schema["ls"].dataType.elementType.simpleString()
 
 
 def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
@@ -108,20 +109,21 @@ def config_gains(G: DataFrame, selected, nt: int | None = None) -> list:
 
     ΔTP = Σ max(0, p − p_cur), Δn = #r whose proposed l is new for r.  The
     state is evaluated once per r inside an ``inline`` generator (a plain
-    projection would be pushed past the explode and re-evaluated per row)."""
-    return [g[1:] for g in _all_gains(densify(G), {0: list(selected)}, nt or _nt(G))]
+    projection would be pushed past the explode and re-evaluated per row).
+    The plans are written as SQL text, which costs a call a clause and not one
+    an expression; they are built anew in every step."""
+    G = densify(G)
+    return [g[1:] for g in _all_gains(G, {0: list(selected)}, nt or _nt(G))]
 
 
 def _all_gains(G: DataFrame, selected: dict[int, list], nt: int) -> list:
     """Sorted (w, j, t, ΔTP, Δn) of a dense G."""
-    p_cur, known = _state(selected, nt)
-    ltype = G.schema["ls"].dataType.elementType
-    st = G.select("w", F.inline(F.array(F.struct(p_cur.alias("pc"), known.cast(T.ArrayType(ltype)).alias("cs"), "ls", "ps"))))
-    old = F.coalesce(F.array_contains("cs", _owner(nt)), F.lit(False))
-    x = (st.select("w", "pc", "cs", "ls", "ps", F.posexplode("ps").alias("c", "p"))
-         .where(F.col("p").isNotNull())
-         .select("w", "c", F.greatest(F.col("p") - F.col("pc"), F.lit(0.0)).alias("dtp"), F.when(old, 0).otherwise(1).alias("dn")))
-    agg = x.groupBy("w", "c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
+    p_cur, known = _state(selected, nt, _l_type(G))
+    agg = (G.selectExpr("w", f"inline(array(struct({p_cur} AS pc, {known} AS cs, ls, ps)))")
+           .selectExpr("w", "pc", "cs", "ls", "posexplode(ps) AS (c, p)").where("p IS NOT NULL")
+           .selectExpr("w", "c", "greatest(p - pc, 0D) AS dtp",
+                       f"if(coalesce(array_contains(cs, element_at(ls, cast(c div {nt} AS int) + 1)), false), 0, 1) AS dn")
+           .groupBy("w", "c").agg({"dtp": "sum", "dn": "sum"}).toDF("w", "c", "dtp", "dn").collect())
     return sorted((r["w"], r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg)
 
 
@@ -130,22 +132,16 @@ def gain_changes(G: DataFrame, selected: dict[int, list], added: dict[int, tuple
 
     Only the records whose state changes are exploded: those that the added
     config lifts above their best precision, or joins to an l new to them."""
-    p_cur, known = _state({w: selected.get(w, []) for w in added}, nt)
-    ltype = G.schema["ls"].dataType.elementType
+    p_cur, known = _state({w: selected.get(w, []) for w in added}, nt, _l_type(G))
     star = _by_search({w: [j * nt + t] for w, (j, t) in added.items()})
-    st = (G.withColumn("star", F.try_element_at(star, F.lit(1))).where(F.col("star").isNotNull())
-          .withColumn("p1", F.element_at("ps", F.col("star") + 1)).where(F.col("p1").isNotNull())
-          .select("w", F.inline(F.array(F.struct(p_cur.alias("pc"), known.cast(T.ArrayType(ltype)).alias("cs"), "p1",
-                                                 F.element_at("ls", F.expr(f"star div {nt}").cast("int") + 1).alias("l1"), "ls", "ps")))))
-    fresh = ~F.coalesce(F.array_contains("cs", F.col("l1")), F.lit(False))
-    touched = st.withColumn("fresh", fresh).where(F.col("fresh") | (F.col("p1") > F.col("pc")))
-    gain = lambda p: F.greatest(F.col("p") - p, F.lit(0.0))
-    x = (touched.select("w", "pc", "p1", "l1", "fresh", "ls", F.posexplode("ps").alias("c", "p"))
-         .where(F.col("p").isNotNull())
-         .select("w", "c", (gain(F.greatest("pc", "p1")) - gain(F.col("pc"))).alias("dtp"),
-                 F.when(F.col("fresh") & (_owner(nt) == F.col("l1")), -1).otherwise(0).alias("dn"))
-         .where((F.col("dtp") != 0) | (F.col("dn") != 0)))
-    agg = x.groupBy("w", "c").agg(F.sum("dtp").alias("dtp"), F.sum("dn").alias("dn")).collect()
+    agg = (G.selectExpr("*", f"get({star}, 0) AS star").selectExpr("*", "get(ps, star) AS p1").where("p1 IS NOT NULL")
+           .selectExpr("w", f"inline(array(struct({p_cur} AS pc, {known} AS cs, p1, get(ls, cast(star div {nt} AS int)) AS l1, ls, ps)))")
+           .selectExpr("*", "NOT coalesce(array_contains(cs, l1), false) AS fresh").where("fresh OR p1 > pc")
+           .selectExpr("w", "pc", "p1", "l1", "fresh", "ls", "posexplode(ps) AS (c, p)").where("p IS NOT NULL")
+           .selectExpr("w", "c", "greatest(p - greatest(pc, p1), 0D) - greatest(p - pc, 0D) AS dtp",
+                       f"if(fresh AND element_at(ls, cast(c div {nt} AS int) + 1) = l1, -1, 0) AS dn")
+           .where("dtp <> 0 OR dn <> 0")
+           .groupBy("w", "c").agg({"dtp": "sum", "dn": "sum"}).toDF("w", "c", "dtp", "dn").collect())
     return [(r["w"], r["c"] // nt, r["c"] % nt, r["dtp"], r["dn"]) for r in agg]
 
 
@@ -221,8 +217,7 @@ def matched(G: DataFrame, configs: dict[int, list]) -> dict[int, int]:
     G = densify(G)
     nt = _nt(G)
     sel = _by_search({w: [j * nt + t for j, t in c] for w, c in configs.items()})
-    some = F.exists(sel, lambda c: F.element_at("ps", c + 1).isNotNull())
-    return {r["w"]: r["n"] for r in G.where(some).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {r["w"]: r["n"] for r in G.where(f"exists({sel}, c -> element_at(ps, c + 1) IS NOT NULL)").groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
@@ -241,12 +236,13 @@ def resolve_matches(G: DataFrame, configs: list[tuple[int, int]]) -> DataFrame:
 
 def materialize_G(G: DataFrame, checkpoint: bool = True, nj: int | None = None,
                   nt: int | None = None) -> DataFrame:
-    """Dense G, persisted, lineage cut once (reliable checkpoint)."""
+    """Dense G, persisted, lineage cut once (reliable checkpoint), in partitions of about ``PART_BYTES``.
+
+    A table that fits one partition is summed without a shuffle in every step."""
     G = densify(G, nj, nt)
     if checkpoint:
-        g = reliable_checkpoint(G.repartition("w", "id_r")).persist(StorageLevel.MEMORY_AND_DISK)
-        g.count()
-        return g
+        G = reliable_checkpoint(G.repartition("w", "id_r"))
     g = G.persist(StorageLevel.MEMORY_AND_DISK)
-    g.count()
-    return g
+    rows = g.count()
+    n_t, n_j = (nt, nj) if nt and nj else _dims(g)
+    return g.coalesce(max(1, -(-rows * n_j * n_t * 8 // PART_BYTES)))
