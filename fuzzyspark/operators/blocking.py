@@ -201,6 +201,51 @@ class WordSetBlocker:
         return keyed(left, "id_l").join(keyed(right, "id_r"), "w").select("id_l", "id_r")
 
 
+class MinHashBlocker:
+    """Candidates by MinHash signatures in bands: pairs whose sets of blocking tokens have a Jaccard
+    similarity of ``threshold`` or more.
+
+    A signature has ``bands * rows`` minima of seeded hashes; records that agree on all rows of a band
+    meet, are made distinct and are compared by their whole sets, so no pair below the threshold comes
+    out.  A pair of similarity s is met with the probability 1 - (1 - s ** rows) ** bands: 0.99 at 0.6
+    with the default 32 bands of 4 rows.  Records of equal sets are one representative, so many copies
+    of a record are not many members of a band; a band value held by many different sets is cut into a
+    grid of cells like a frequent token.  Records without tokens have no candidates."""
+
+    def __init__(self, threshold: float = 0.6, bands: int = 32, rows: int = 4, stem: bool = True, salt_rows: int = SALT_ROWS):
+        self.threshold, self.bands, self.rows, self.stem, self.salt_rows = threshold, bands, rows, stem, salt_rows
+
+    def _sets(self, df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
+        n = normalize_records(df, id_col, cols, self.stem)
+        toks = F.array_sort(F.array_distinct(block_tokens("value")))
+        return n.where(F.length("value") > 0).select("id", toks.alias("toks"))
+
+    def _banded(self, sets: DataFrame, name: str) -> DataFrame:
+        """(name, token): the band values of each distinct set, one row a band."""
+        least = lambda i: F.array_min(F.transform("toks", lambda t: F.xxhash64(t, F.lit(i))))
+        bands = [F.xxhash64(F.lit(b), *[least(b * self.rows + r) for r in range(self.rows)]) for b in range(self.bands)]
+        return sets.select(F.col("id").alias(name), F.explode(F.array(*bands)).alias("token"))
+
+    def block(self, left, right, id_col, cols, keep_score: bool = False):
+        sides = []
+        for df in (left, right):
+            sets = self._sets(df, id_col, cols)
+            reps = sets.groupBy("toks").agg(F.min("id").alias("id")).persist(StorageLevel.MEMORY_AND_DISK)
+            members = sets.join(reps.select("toks", F.col("id").alias("rep")), "toks").select("id", "rep")
+            sides.append((reps, members))
+        (lreps, lmem), (rreps, rmem) = sides
+        post = self._banded(lreps, "id_l").withColumn("df", F.lit(0))
+        met = token_join(self._banded(rreps, "id_r"), post, self.salt_rows).select("id_l", "id_r").distinct()
+        whole = (met.join(lreps.select(F.col("id").alias("id_l"), F.col("toks").alias("x")), "id_l")
+                 .join(rreps.select(F.col("id").alias("id_r"), F.col("toks").alias("y")), "id_r"))
+        both = F.size(F.array_intersect("x", "y"))
+        near = (whole.withColumn("jaccard", both / (F.size("x") + F.size("y") - both))
+                .where(F.col("jaccard") >= self.threshold).select(F.col("id_l").alias("rl"), F.col("id_r").alias("rr"), "jaccard"))
+        out = (near.join(lmem.select(F.col("id").alias("id_l"), F.col("rep").alias("rl")), "rl")
+               .join(rmem.select(F.col("id").alias("id_r"), F.col("rep").alias("rr")), "rr"))
+        return out.select("id_l", "id_r", "jaccard") if keep_score else out.select("id_l", "id_r")
+
+
 def containment_pairs(lsets: DataFrame, rsets: DataFrame) -> DataFrame:
     """All (id_l, id_r) where one token set contains the other; sets: id, toks.
 

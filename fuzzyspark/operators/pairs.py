@@ -112,16 +112,6 @@ class PairSpace:
                 out.append((f"d{fi}_{ci}", jf.name, ci))
         return out
 
-    def _expr(self, jf, ci, l, r):
-        if not isinstance(jf, JoinFunction):
-            return jf.distance(l[f"v_{ci}"], r[f"v_{ci}"]).cast("double")
-        if jf.is_set:
-            k = _key(jf.group, ci)
-            pl, pr = F.try_element_at(l["prof"], F.lit(k)), F.try_element_at(r["prof"], F.lit(k))
-            return D.set_distance(jf.distance, pl, pr, D.pair_stats(pl, pr))
-        return D.char_distance(jf.distance, l[self._pcol(jf.preprocess, ci)],
-                               r[self._pcol(jf.preprocess, ci)])
-
     def pair_distances(self, ll: DataFrame | None, lr: DataFrame | None,
                        fill: bool = True) -> DataFrame:
         """Wide table ``(side, id_l, id_r, d{f}_{c}…)`` for LL ∪ LR pairs."""
@@ -197,16 +187,6 @@ def _tagger(key: str):
     return lambda t: F.struct(F.lit(key).alias("key"), t.alias("token"))
 
 
-class _StructView:
-    """``view["col"]`` → column ``alias.col`` of a joined record."""
-
-    def __init__(self, alias):
-        self.alias = alias
-
-    def __getitem__(self, c):
-        return F.col(f"{self.alias}.{c}")
-
-
 def fill_nulls(wide: DataFrame, dcols: list[str]) -> DataFrame:
     """Null distance → max of that column within its side (LL or LR);
     a column that is null for a whole side becomes 1.0."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fuzzyspark.operators import evaluate as E
 from fuzzyspark.operators import model as M
+from fuzzyspark.sources import io as IO
 
 
 def order_key(id_col: str, seed: int) -> F.Column:
@@ -138,6 +139,30 @@ def _rows_df(spark, rows):
     return spark.createDataFrame(data, schema)
 
 
+def train_score(left, right, gt, id_col, out_dir, train_size=0.75, seed=0, stable_left=True, **fit_kw) -> DataFrame:
+    """The train-and-score job: fit on the train part, score both parts, and write to ``out_dir`` the
+    model (``model/``), the learned weights and configs, the predictions of the test part with their
+    true and false positives and false negatives, and one summary row, which is also returned.
+
+    A score without a denominator is null; a target that no config meets gives no predictions."""
+    spark = left.sparkSession
+    train, test = train_test_split(left, right, gt, id_col, train_size, seed, stable_left)
+    (ltr, rtr), gtr = train
+    (lte, rte), gte = test
+    pairs = lambda df: df.select(F.col(id_col + "_l").alias("id_l"), F.col(id_col + "_r").alias("id_r"))
+    model, res = M.fit(ltr, rtr, id_col, **fit_kw)
+    model.save(spark, f"{out_dir}/model")
+    IO.write_learned(spark, out_dir, model)
+    pred = M.predict(model, lte, rte, id_col)
+    made = pairs(pred)
+    IO.write_predictions(out_dir, pred, *E.tp_fp_fn(gte, made))
+    row = {"n_configs": float(len(model.configs or [])), "precision_est": model.precision_est, "train_size": float(train_size)}
+    for part, truth, found in (("train", gtr, pairs(res)), ("test", gte, spark.read.parquet(f"{out_dir}/pred").transform(pairs))):
+        row.update({f"{k}_{part}": v for k, v in E.metrics(truth, found).first().asDict().items()})
+    IO.write_summary(spark, out_dir, row)
+    return _rows_df(spark, [row])
+
+
 def cross_validate(left, right, gt, id_col, n_splits=5, seed=0, stable_left=False, **fit_kw) -> DataFrame:
     """Per fold: fit on the other folds, score on train and on the held-out fold."""
     rows = [_fit_score(tr, te, id_col, fit_kw, f"fold{k}")

@@ -8,6 +8,8 @@ stemmed ones are checked by pytest instead.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from fuzzyspark.operators import validate as VA
 from fuzzyspark.operators.pairs import PairSpace, to_long
 from fuzzyspark.operators.space import from_name, resolve
 from fuzzyspark.plans import sqlparts as S
+from fuzzyspark.session import checkpoint_dir
 from fuzzyspark.sources import views as V
 
 R6 = 6
@@ -157,6 +160,11 @@ def q_block_custom(spark, d):
     return B.WordSetBlocker().block(L, R, "id", ["title"])
 
 
+def q_block_minhash(spark, d):
+    L, R = _lr(spark, d)
+    return B.MinHashBlocker(0.6, stem=False).block(L, R, "id", ["title"], keep_score=True).select("id_l", "id_r", _r("jaccard"))
+
+
 # ------------------------------------------------------------ text / tokens
 def q_prep_lower(spark, d):
     t = V.page_titles(spark, d)
@@ -356,9 +364,9 @@ def q_negative_rule_parts(spark, d):
 
 
 def q_negative_rule_pretrained(spark, d):
-    _, lr, ls, rs = _part_rules(spark, d)
+    ll, lr, ls, rs = _part_rules(spark, d)
     given = spark.createDataFrame(PRETRAINED, "a string, b string")
-    return NR.apply(lr, ls, rs, NR.merge(given, given.limit(0)))
+    return NR.apply(lr, ls, rs, NR.merge(given, NR.learn(ll, ls)))
 
 
 def _prepared(spark, d, jf_names, pretrained=None):
@@ -644,9 +652,15 @@ def q_json_props(spark, d):
     return e.select("event_id", F.from_json("props", "k INT").alias("p")).select("event_id", "p.k")
 
 
+def q_train_score(spark, d):
+    L, R = _lr(spark, d)
+    return VA.train_score(L, R, V.fj_gt(spark, d), "id", f"{checkpoint_dir(spark).rstrip('/')}/train-score-{uuid.uuid4().hex}",
+                          checkpoint=True)
+
+
 def q_blocker_compare(spark, d):
     L, R = _lr(spark, d)
-    blockers = {"tfidf": B.TokenBlocker(), "bm25": B.TokenBlocker(weighting="bm25"),
+    blockers = {"minhash": B.MinHashBlocker(), "tfidf": B.TokenBlocker(), "bm25": B.TokenBlocker(weighting="bm25"),
                 "bm25_compat": B.TokenBlocker(weighting="bm25_compat")}
     return VA.blocker_compare(L, R, V.fj_gt(spark, d), "id", blockers)
 

@@ -179,8 +179,8 @@ def oracle() -> dict[str, str]:
     parts = ([("fj_left", named + "0"), ("fj_right", named + "1")] + BLK + SELF + [LL])
     o["negative_rule_parts_learn"] = W(parts + RULES, "SELECT a, b FROM r_rules")
     o["negative_rule_parts"] = W(parts + RULES, "SELECT id_l, id_r FROM r_kept")
-    given = ("r_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PRETRAINED) + ") v(a, b)")
-    o["negative_rule_pretrained"] = W(parts + [given] + RULES, "SELECT id_l, id_r FROM r_kept")
+    both = S.rule_ctes("r", "ll", "b_blk", "fj_left", "fj_right", ["title"], PRETRAINED)
+    o["negative_rule_pretrained"] = W(parts + both, "SELECT id_l, id_r FROM r_kept")
     pc = _prepared()
     o["nearest_left"] = W(pc, "SELECT jf, id_r, id_l, round(d, 6) AS d FROM q_near")
     o["threshold_grid"] = W(pc, "SELECT jf, ti, round(t, 6) AS t FROM q_thr")

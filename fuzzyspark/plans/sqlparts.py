@@ -16,7 +16,8 @@ def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
         if name in seen:
             continue
         seen.add(name)
-        parts.append(f"{name} AS ({body})")
+        kept = " MATERIALIZED" if name.endswith(("_blk", "_score", "_post", "_lld", "_r1", "_rules", "_lrd")) else ""
+        parts.append(f"{name} AS{kept} ({body})")
     return "WITH " + ",\n".join(parts) + "\n" + final
 
 
@@ -196,8 +197,10 @@ def precision_ctes(p: str, dist: str, grid_n: int = 50, fixed: dict | None = Non
     ]
 
 
-def rule_ctes(p: str, ll: str, lr: str, lsrc: str, rsrc: str, cols: list[str]) -> list[tuple[str, str]]:
-    """``{p}_rules(a, b)`` learned on ``ll`` and ``{p}_kept(id_l, id_r)`` = ``lr`` pruned."""
+def rule_ctes(p: str, ll: str, lr: str, lsrc: str, rsrc: str, cols: list[str],
+              given: list[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    """``{p}_rules(a, b)``, learned on ``ll`` and ``given``, and ``{p}_kept(id_l, id_r)`` = ``lr`` pruned."""
+    more = f" UNION SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in given)}) v(a, b)" if given else ""
     norm = block_normalize(cols)
     sets = lambda src: f"SELECT id, list_distinct({split_space(norm)}) AS toks FROM {src}"
     diff = lambda a, b: f"list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
@@ -207,10 +210,10 @@ def rule_ctes(p: str, ll: str, lr: str, lsrc: str, rsrc: str, cols: list[str]) -
         (f"{p}_lld", f"SELECT l.toks AS tl, {diff('l.toks', 'r.toks')} AS dl, {diff('r.toks', 'l.toks')} AS dr "
                      f"FROM {ll} x JOIN {p}_ls l ON l.id = x.id_l JOIN {p}_ls r ON r.id = x.id_r"),
         (f"{p}_r1", f"SELECT dl[1] AS a, dr[1] AS b FROM {p}_lld WHERE len(dl) = 1 AND len(dr) = 1 AND len(tl) <> 1"),
-        (f"{p}_rules", f"SELECT a, b FROM {p}_r1 UNION SELECT b AS a, a AS b FROM {p}_r1"),
+        (f"{p}_rules", f"SELECT a, b FROM {p}_r1 UNION SELECT b AS a, a AS b FROM {p}_r1{more}"),
         (f"{p}_lrd", f"SELECT x.id_l, x.id_r, unnest({diff('l.toks', 'r.toks')}) AS a, {diff('r.toks', 'l.toks')} AS dr "
                      f"FROM {lr} x JOIN {p}_ls l ON l.id = x.id_l JOIN {p}_rs r ON r.id = x.id_r"),
-        (f"{p}_bad", f"SELECT DISTINCT id_l, id_r FROM (SELECT id_l, id_r, a, unnest(dr) AS b FROM {p}_lrd) "
-                     f"JOIN {p}_rules USING (a, b)"),
+        (f"{p}_bad", f"SELECT DISTINCT id_l, id_r FROM {p}_lrd d JOIN {p}_rules u ON u.a = d.a "
+                     f"WHERE list_contains(d.dr, u.b)"),
         (f"{p}_kept", f"SELECT x.id_l, x.id_r FROM {lr} x ANTI JOIN {p}_bad y ON x.id_l = y.id_l AND x.id_r = y.id_r"),
     ]

@@ -229,3 +229,39 @@ def test_multi_column_fit(spark, sf):
     if model.configs:
         assert sum(model.column_weights.values()) == pytest.approx(1.0)
         assert set(model.column_weights) <= {"title", "lang"}
+
+
+def test_minhash_blocker_finds_similar_sets(spark):
+    """Against all pairs: nothing below the threshold, nearly all at or above it; copies, blanks and a common set."""
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeiou") for _ in range(6)) for _ in range(60)]
+    base = [" ".join(rng.sample(words, 6)) for _ in range(60)]
+    near = [b.replace(b.split()[0], b.split()[0] + "x", 1) for b in base]
+    L = [(i, t) for i, t in enumerate(base + base[:5] + ["", None])]
+    R = [(1000 + i, t) for i, t in enumerate(near + base[:20] + [base[0]] * 200 + ["", None])]
+    dl, dr = (spark.createDataFrame(x, "id long, title string") for x in (L, R))
+    got = {(r.id_l, r.id_r): r.jaccard for r in B.MinHashBlocker(0.6, stem=False).block(dl, dr, "id", ["title"], True).collect()}
+    assert {tuple(r) for r in B.MinHashBlocker(0.6, stem=False, salt_rows=2).block(dl, dr, "id", ["title"]).collect()} == set(got)
+    sets = [{r["id"]: set(r["t"]) for r in B.normalize_records(d, "id", ["title"], False).where("value <> ''")
+             .select("id", B.block_tokens("value").alias("t")).collect()} for d in (dl, dr)]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets[0].items() for b, y in sets[1].items()}
+    want = {k: v for k, v in want.items() if v >= 0.6}
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert len(want) > 300 and len(got) / len(want) > 0.95
+    assert B.MinHashBlocker().block(dl.limit(0), dr, "id", ["title"]).collect() == []
+
+
+def test_train_score_writes_a_run(spark, sf, tmp_path):
+    from fuzzyspark.sources import io
+
+    L, R, out = V.fj_left(spark, sf), V.fj_right(spark, sf), str(tmp_path / "titles" / "0" / "auto")
+    row = VA.train_score(L, R, V.fj_gt(spark, sf), "id", out, checkpoint=False).first().asDict()
+    kept = io.collect_summaries(spark, str(tmp_path / "*" / "*" / "*" / "summary.csv")).first().asDict()
+    assert (kept["dataset"], kept["attempt"], kept["pipeline"]) == ("titles", "0", "auto")
+    assert all(kept[k] == pytest.approx(v) for k, v in row.items() if v is not None)
+    back = M.FuzzyJoinModel.load(spark, f"{out}/model")
+    assert len(back.configs or []) == row["n_configs"] == spark.read.parquet(f"{out}/join_configs").count()
+    n = {k: spark.read.parquet(f"{out}/{k}").count() for k in ("pred", "pred_tp", "pred_fp", "pred_fn")}
+    assert n["pred"] == n["pred_tp"] + n["pred_fp"] == row["n_pred_test"] and n["pred_tp"] + n["pred_fn"] == row["n_gt_test"]
