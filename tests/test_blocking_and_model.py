@@ -257,7 +257,7 @@ def test_train_score_writes_a_run(spark, sf, tmp_path):
     from fuzzyspark.sources import io
 
     L, R, out = V.fj_left(spark, sf), V.fj_right(spark, sf), str(tmp_path / "titles" / "0" / "auto")
-    row = VA.train_score(L, R, V.fj_gt(spark, sf), "id", out, checkpoint=False).first().asDict()
+    row = VA.train_score(L, R, V.fj_gt(spark, sf), "id", out, distance_threshold_space=5).first().asDict()
     kept = io.collect_summaries(spark, str(tmp_path / "*" / "*" / "*" / "summary.csv")).first().asDict()
     assert (kept["dataset"], kept["attempt"], kept["pipeline"]) == ("titles", "0", "auto")
     assert all(kept[k] == pytest.approx(v) for k, v in row.items() if v is not None)
