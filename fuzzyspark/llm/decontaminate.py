@@ -231,11 +231,16 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of the packed rows; nulls read as empty."""
+    return pc.struct_field(batch.column("row"), "text")
+
+
 def _search_pass(column: str, sent) -> callable:
     """A function of record batches that adds the finds of a block to those of earlier blocks."""
 
     def flush(held: list[pa.RecordBatch], p: Phrases) -> Iterator[pa.RecordBatch]:
-        n_words, (text, a, b), (pair_text, pair_phrase) = search_shard([x.column("__text") for x in held], p)
+        n_words, (text, a, b), (pair_text, pair_phrase) = search_shard([_text(x) for x in held], p)
         spans: dict[int, list] = {}
         for t, x, y in zip(text.tolist(), a.tolist(), b.tolist()):
             spans.setdefault(t, []).append((x, y))
@@ -262,7 +267,7 @@ def _search_pass(column: str, sent) -> callable:
         p, held, size = sent.value, [], 0
         for batch in batches:
             held.append(batch)
-            size += batch.column("__text").nbytes
+            size += _text(batch).nbytes
             if size >= SHARD_BYTES:
                 yield from flush(held, p)
                 held, size = [], 0
@@ -285,13 +290,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), text_of().alias("text")).dropDuplicates(["id", "text"])
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    out = packed(docs).select("row", text_of("row.text").alias("__text"))
+    out = packed(docs)
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
         sent = spark.sparkContext.broadcast(Phrases([r.id for r in rows], [r.text for r in rows], window))
         schema = T.StructType([f for f in out.schema.fields if f.name != "found"] + [T.StructField("found", FOUND)])
         out = out.mapInArrow(_search_pass("found", sent), schema)
-    return out.drop("__text")
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -292,7 +293,7 @@ def judged(docs: DataFrame, bound: int = TRAIN_DOCS, threshold: float = 0.5) ->
         names = np.array(["g", "b", "-"])
         for batch in batches:
             found = []
-            for s in _pieces(batch.column("__text")):
+            for s in _pieces(pc.struct_field(batch.column("row"), "text")):
                 votes = s.votes()
                 weight = model.coef[s.features()].sum(axis=1)
                 logit = s.per_text(weight) + model.coef[-1]
@@ -301,7 +302,7 @@ def judged(docs: DataFrame, bound: int = TRAIN_DOCS, threshold: float = 0.5) ->
                     found.append({"votes": "".join(v), "posterior": 1 - model.posterior.get(p, BALANCE), "score": g, "keep": g >= threshold})
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "judged"])
 
-    rows = packed(docs).select("row", text_of("row.text").alias("__text"))
+    rows = packed(docs)  # a null text reads as empty
     out = T.StructType([rows.schema["row"], T.StructField("judged", T.StructType([
         T.StructField("votes", T.StringType()), T.StructField("posterior", T.DoubleType()),
         T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())]))])
