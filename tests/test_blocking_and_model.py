@@ -260,7 +260,7 @@ def test_train_score_writes_a_run(spark, sf, tmp_path):
     row = VA.train_score(L, R, V.fj_gt(spark, sf), "id", out, distance_threshold_space=5).first().asDict()
     kept = io.collect_summaries(spark, str(tmp_path / "*" / "*" / "*" / "summary.csv")).first().asDict()
     assert (kept["dataset"], kept["attempt"], kept["pipeline"]) == ("titles", "0", "auto")
-    assert all(kept[k] == pytest.approx(v) for k, v in row.items() if v is not None)
+    assert all(float(kept[k]) == pytest.approx(v) for k, v in row.items() if v is not None)  # summaries are read as text
     back = M.FuzzyJoinModel.load(spark, f"{out}/model")
     assert len(back.configs or []) == row["n_configs"] == spark.read.parquet(f"{out}/join_configs").count()
     n = {k: spark.read.parquet(f"{out}/{k}").count() for k in ("pred", "pred_tp", "pred_fp", "pred_fn")}
