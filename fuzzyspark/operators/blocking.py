@@ -81,6 +81,18 @@ def left_postings(lnorm: DataFrame, n_left: int, weighting: str = "tfidf",
     return p.select("token", "id_l", w.alias("w"), "df")
 
 
+def postings_of(post: DataFrame, rnorm: DataFrame) -> DataFrame:
+    """The postings of the tokens that R holds.
+
+    R's distinct tokens are counted first and broadcast up to
+    ``HOT_BROADCAST_ROWS``; beyond it the join of the blocker finds them."""
+    tokens = right_tokens(rnorm).select("token").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    if tokens.count() > HOT_BROADCAST_ROWS:
+        tokens.unpersist()
+        return post
+    return post.join(F.broadcast(tokens), "token", "left_semi")
+
+
 def right_tokens(rnorm: DataFrame) -> DataFrame:
     """Distinct blocking tokens of every R record ``(id_r, token)``."""
     return rnorm.select(F.col("id").alias("id_r"),

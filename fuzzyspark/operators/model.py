@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -14,9 +15,10 @@ from fuzzyspark.operators import blocking as B
 from fuzzyspark.operators import greedy as G
 from fuzzyspark.operators import precision as P
 from fuzzyspark.operators import rules as NR
+from fuzzyspark.operators import reference as RF
 from fuzzyspark.operators.pairs import PairSpace, to_long
 from fuzzyspark.operators.space import JoinFunction, from_name, resolve
-from fuzzyspark.session import reliable_checkpoint
+from fuzzyspark.session import checkpoint_dir, reliable_checkpoint
 
 RULE_SCHEMA = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
@@ -90,7 +92,7 @@ def _cut(df: DataFrame, checkpoint: bool) -> DataFrame:
 
 
 def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
-            stem=True, checkpoint=True) -> Prepared:
+            stem=True, checkpoint=True, null_fill=None) -> Prepared:
     """Blocking, rule learning + pruning, and every distance (long form).
 
     The candidate pairs, the rules and the distance table are each cut at a
@@ -98,10 +100,7 @@ def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
     blocker = blocker or B.TokenBlocker(stem=stem)
     ll, lr, lnorm, rnorm = B.block_pairs(blocker, left, right, id_col, cols)
     if lnorm is not None:
-        lsets = lnorm.select("id", F.array_distinct(F.split("value", " ")).alias("toks")) \
-            .select("id", F.filter("toks", lambda t: t != "").alias("toks"))
-        rsets = rnorm.select("id", F.array_distinct(F.split("value", " ")).alias("toks")) \
-            .select("id", F.filter("toks", lambda t: t != "").alias("toks"))
+        lsets, rsets = NR.word_sets(lnorm), NR.word_sets(rnorm)
     else:
         lsets = NR.token_sets(left, id_col, cols, stem)
         rsets = NR.token_sets(right, id_col, cols, stem)
@@ -114,7 +113,7 @@ def prepare(left, right, id_col, cols, jfs, blocker=None, pretrained_rules=None,
     ps = PairSpace(left, right, id_col, cols, jfs, stem)
     # the wide table (one row per pair) is the stage boundary; the long
     # form is a narrow projection of it
-    wide = _cut(ps.pair_distances(ll, lr), checkpoint)
+    wide = _cut(ps.pair_distances(ll, lr, null_fill=null_fill), checkpoint)
     ps.unpersist()
     long = to_long(wide, ps)
     return Prepared(ll, lr, rules, ps, long, cols)
@@ -223,6 +222,8 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
     names = best["names"]
     configs = [(names[j], best["ts"][names[j]][t]) for j, t in best["greedy"].configs]
     weights = dict(zip(best["columns"], best["wlist_sel"]))
+    params["null_fill"] = {r["jf"]: {c: r[f"d_{i}"] for i, c in enumerate(cols)}
+                           for r in RF.maxima(prep.long.where(F.col("side") == "LR"), len(cols))}
     model = FuzzyJoinModel(configs, weights, prep.rules, best["greedy"].precision, params,
                            best["greedy"].history, **kept)
     model.matches = G.resolve_matches(best["G"].where(F.col("w") == best["w"]), best["greedy"].configs)
@@ -249,40 +250,92 @@ def materialize(matches: DataFrame, left: DataFrame, right: DataFrame, id_col: s
     return out.orderBy(id_col + "_r")
 
 
-def predict_matches(model: FuzzyJoinModel, left: DataFrame, right: DataFrame, id_col: str,
-                    on=None, blocker=None, checkpoint: bool = True, custom_jfs=None) -> DataFrame:
-    """Apply a learned UOC with its absolute thresholds: ``(id_l, id_r, p)``."""
-    spark = left.sparkSession
-    cols = join_columns(left, right, id_col, on or model.params.get("on"))
-    stem = model.params.get("stem", True)
-    names = []
-    for jf, _ in model.configs:
-        if jf not in names:
-            names.append(jf)
+@dataclass
+class Applied:
+    """A learned model bound to the columns of an input."""
+    cols: list
+    jfs: list                # the join functions its configs name
+    blocker: object
+    weights: list
+    thresholds: dict         # {function: ascending thresholds}
+    configs: list            # [(function's number, threshold's number)] in the model's order
+
+
+def _bind(model: FuzzyJoinModel, cols: list, blocker=None, custom_jfs=None) -> Applied:
     custom = {**model.custom, **{j.name: j for j in (custom_jfs or [])}}
-    blocker = blocker or model.fitted_blocker()
-    jfs = [custom.get(n) or from_name(n) for n in names]
-    prep = prepare(left, right, id_col, cols, jfs, blocker, model.rules, stem, checkpoint)
-    weights = [float((model.column_weights or {}).get(c, 0.0)) for c in cols]
-    dist = P.weighted(prep.long, len(cols), weights)
-    ts_map = {}
+    ts: dict[str, set] = {}
     for jf, t in model.configs:
-        ts_map.setdefault(jf, set()).add(round(float(t), P.DIGITS))
-    ts_map = {k: sorted(v) for k, v in ts_map.items()}
-    Gdf, _ = _build_G(spark, dist, ts_map, checkpoint)
+        ts.setdefault(jf, set()).add(round(float(t), P.DIGITS))
+    ts_map = {k: sorted(v) for k, v in ts.items()}
     order = sorted(ts_map)
     cfg = [(order.index(jf), ts_map[jf].index(round(float(t), P.DIGITS))) for jf, t in model.configs]
-    return G.resolve_matches(Gdf, cfg)
+    return Applied(cols, [custom.get(n) or from_name(n) for n in ts],
+                   blocker or model.fitted_blocker() or B.TokenBlocker(stem=model.params.get("stem", True)),
+                   [float((model.column_weights or {}).get(c, 0.0)) for c in cols], ts_map, cfg)
+
 
+def hold(model: FuzzyJoinModel, left: DataFrame, id_col: str, path: str | None = None, on=None,
+         left_aug: DataFrame | None = None, blocker=None, custom_jfs=None, buckets: int | None = None) -> RF.HeldReference:
+    """All that predictions of a learned model need of L, as tables under
+    ``path`` (a new folder in the checkpoint folder by default).
 
-def predict(model: FuzzyJoinModel, left: DataFrame, right: DataFrame, id_col: str, on=None,
+    Pass the result to ``predict`` in place of L; ``RF.HeldReference.load``
+    reads it in another session.  ``buckets`` is the number of buckets of its
+    tables, the session's shuffle partitions by default."""
+    if not model.configs:
+        raise ValueError("a model without configs joins nothing; there is no state of L to hold")
+    left = augment(left, left_aug)
+    cols = join_columns(left, left, id_col, on or model.params.get("on"))
+    m = _bind(model, cols, blocker, custom_jfs)
+    path = path or f"{checkpoint_dir(left.sparkSession)}/held-{uuid.uuid4().hex}"
+    return RF.build(path, left, id_col, cols, m.jfs, m.blocker, model.params.get("stem", True), m.weights, m.thresholds,
+                    model.rules, model.params.get("null_fill"), buckets)
+
+
+def _predict_held(model: FuzzyJoinModel, held: RF.HeldReference, right: DataFrame, id_col: str, blocker=None,
+                  checkpoint: bool = True, custom_jfs=None) -> DataFrame:
+    """``predict_matches`` against a held L: blocking, rules, profiles and distances of R's records only."""
+    m = _bind(model, held.meta["on"], blocker, custom_jfs)
+    if id_col != held.meta["id_column"] or m.weights != held.meta["weights"] or m.thresholds != held.meta["thresholds"]:
+        raise ValueError("the reference is held for another model or id column")
+    lr, rsets = held.block(m.blocker, right)
+    lr = _cut(NR.apply(lr, held.records.select("id", "toks"), rsets, held.rules), checkpoint)
+    ps = PairSpace(None, right, id_col, m.cols, m.jfs, held.meta["stem"], held=held)
+    wide = _cut(ps.pair_distances(None, lr, null_fill=held.meta["null_fill"]), checkpoint)
+    ps.unpersist()
+    near = P.nearest(P.weighted(to_long(wide, ps), len(m.cols), m.weights))
+    thr = P.threshold_table(right.sparkSession, m.thresholds)
+    g = G.materialize_G(P.per_r(P.local_precision(near, held.balls, thr)), checkpoint, len(m.thresholds),
+                        max(map(len, m.thresholds.values())))
+    return G.resolve_matches(g, m.configs)
+
+
+def predict_matches(model: FuzzyJoinModel, left: DataFrame | RF.HeldReference, right: DataFrame, id_col: str,
+                    on=None, blocker=None, checkpoint: bool = True, custom_jfs=None) -> DataFrame:
+    """Apply a learned UOC with its absolute thresholds: ``(id_l, id_r, p)``."""
+    if isinstance(left, RF.HeldReference):
+        return _predict_held(model, left, right, id_col, blocker, checkpoint, custom_jfs)
+    cols = join_columns(left, right, id_col, on or model.params.get("on"))
+    m = _bind(model, cols, blocker, custom_jfs)
+    prep = prepare(left, right, id_col, cols, m.jfs, m.blocker, model.rules, model.params.get("stem", True), checkpoint,
+                   model.params.get("null_fill"))
+    Gdf, _ = _build_G(left.sparkSession, P.weighted(prep.long, len(cols), m.weights), m.thresholds, checkpoint)
+    return G.resolve_matches(Gdf, m.configs)
+
+
+def predict(model: FuzzyJoinModel, left: DataFrame | RF.HeldReference, right: DataFrame, id_col: str, on=None,
             left_aug: DataFrame | None = None, blocker=None, checkpoint: bool = True,
             custom_jfs=None) -> DataFrame:
-    left = augment(left, left_aug)
+    """Matched rows of a learned model.
+
+    ``left`` is L, or the state of L that ``hold`` keeps; with the latter
+    ``on`` and ``left_aug`` are those it was built with."""
+    held = isinstance(left, RF.HeldReference)
+    rows = left.rows if held else augment(left, left_aug)
     if not model.configs:
-        return empty_result(left, right)
-    m = predict_matches(model, left, right, id_col, on, blocker, checkpoint, custom_jfs)
-    return materialize(m, left, right, id_col, distinct=True)
+        return empty_result(rows, right)
+    m = predict_matches(model, left if held else rows, right, id_col, on, blocker, checkpoint, custom_jfs)
+    return materialize(m, rows, right, id_col, distinct=True)
 
 
 def fuzzy_join(left, right, id_col, on=None, **kw) -> DataFrame:

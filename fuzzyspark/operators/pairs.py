@@ -30,10 +30,13 @@ def _key(group, ci):
 
 
 class PairSpace:
-    """Record-level state for one (L, R, columns, join functions) problem."""
+    """Record-level state for one (L, R, columns, join functions) problem.
 
-    def __init__(self, left: DataFrame, right: DataFrame, id_col: str, cols: list[str],
-                 jfs: list, stem: bool = True, persist: bool = True):
+    ``right`` may be absent (L alone).  With ``held``, a kept state of L, only
+    the records of R are prepared, weighed by the tokens of L kept there."""
+
+    def __init__(self, left: DataFrame | None, right: DataFrame | None, id_col: str, cols: list[str],
+                 jfs: list, stem: bool = True, persist: bool = True, held=None):
         self.id_col, self.cols, self.jfs, self.stem = id_col, cols, jfs, stem
         self.builtin = [j for j in jfs if isinstance(j, JoinFunction)]
         self.custom = [j for j in jfs if not isinstance(j, JoinFunction)]
@@ -41,8 +44,10 @@ class PairSpace:
         self.groups = sorted({j.group for j in self.builtin if j.is_set},
                              key=lambda g: (g[0], g[1], g[2] or ""))
         self.n_left = None
+        self.held, self.idf = held, None
         self._persisted = []
-        base = self._records(left, "L").unionByName(self._records(right, "R"))
+        sides = [self._records(df, side) for df, side in ((None if held else left, "L"), (right, "R")) if df is not None]
+        base = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
         if persist:
             base = base.persist(StorageLevel.MEMORY_AND_DISK)
         self.base = base
@@ -75,15 +80,16 @@ class PairSpace:
         ex = (base.select("side", "id", F.explode(F.concat(*lists)).alias("kt"))
               .select("side", "id", "kt.key", "kt.token")
               .groupBy("side", "id", "key", "token").agg(F.count(F.lit(1)).cast("int").alias("c")))
-        n_left = base.where(F.col("side") == "L").count()
+        n_left = self.held.n_left if self.held else base.where(F.col("side") == "L").count()
         self.n_left = n_left
         idf_keys = [_key(g, ci) for g in self.groups if g[2] == "idfWeight" for ci in range(len(self.cols))]
         lnN = math.log(n_left) if n_left > 0 else 0.0
         if idf_keys:
-            dfs = (ex.where((F.col("side") == "L") & F.col("key").isin(idf_keys))
-                   .groupBy("key", "token").agg(F.count(F.lit(1)).alias("df"))
-                   .select("key", "token", F.log(F.lit(float(n_left)) / (F.col("df") + 1)).alias("w")))
-            ex = ex.join(dfs, ["key", "token"], "left")
+            self.idf = self.held.idf if self.held else (
+                ex.where((F.col("side") == "L") & F.col("key").isin(idf_keys))
+                .groupBy("key", "token").agg(F.count(F.lit(1)).alias("df"))
+                .select("key", "token", F.log(F.lit(float(n_left)) / (F.col("df") + 1)).alias("w")))
+            ex = ex.join(self.idf, ["key", "token"], "left")
             w = F.when(F.col("key").isin(idf_keys), F.coalesce(F.col("w"), F.lit(lnN))).otherwise(F.lit(1.0))
         else:
             w = F.lit(1.0)
@@ -113,8 +119,11 @@ class PairSpace:
         return out
 
     def pair_distances(self, ll: DataFrame | None, lr: DataFrame | None,
-                       fill: bool = True) -> DataFrame:
-        """Wide table ``(side, id_l, id_r, d{f}_{c}…)`` for LL ∪ LR pairs."""
+                       fill: bool = True, null_fill: dict | None = None) -> DataFrame:
+        """Wide table ``(side, id_l, id_r, d{f}_{c}…)`` for LL ∪ LR pairs.
+
+        ``null_fill`` {function: {column: distance}} stands for null LR
+        distances in place of the maxima of the pairs at hand."""
         parts = []
         if ll is not None:
             parts.append(ll.select(F.lit("LL").alias("side"), "id_l", "id_r"))
@@ -124,7 +133,7 @@ class PairSpace:
         for p in parts[1:]:
             pairs = pairs.unionByName(p)
         recs = self.records
-        lrec = recs.where(F.col("side") == "L").drop("side").alias("l")
+        lrec = (self.held.records if self.held else recs.where(F.col("side") == "L")).drop("side").alias("l")
         rrec = recs.withColumnRenamed("side", "rside").alias("r")
         j = (pairs.withColumn("need", F.when(F.col("side") == "LL", "L").otherwise("R"))
              .join(lrec, F.col("id_l") == F.col("l.id"))
@@ -170,11 +179,14 @@ class PairSpace:
         wide = s2.select(*out)
         if not fill:
             return wide
+        given = {c: (null_fill or {}).get(name, {}).get(self.cols[ci]) for c, name, ci in self.dist_columns()}
+        if ll is None and None not in given.values():
+            return wide.select("side", "id_l", "id_r", *[F.coalesce(F.col(c), F.lit(float(v))).alias(c) for c, v in given.items()])
         # the fill needs two passes (per-side maxima, then coalesce):
         # persist so the distances are computed once
         wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
         self._persisted.append(wide)
-        return fill_nulls(wide, [c for c, _, _ in self.dist_columns()])
+        return fill_nulls(wide, given)
 
     def unpersist(self):
         for df in self._persisted:
@@ -187,13 +199,15 @@ def _tagger(key: str):
     return lambda t: F.struct(F.lit(key).alias("key"), t.alias("token"))
 
 
-def fill_nulls(wide: DataFrame, dcols: list[str]) -> DataFrame:
-    """Null distance → max of that column within its side (LL or LR);
-    a column that is null for a whole side becomes 1.0."""
-    mx = wide.groupBy("side").agg(*[F.max(c).alias(f"mx_{c}") for c in dcols])
+def fill_nulls(wide: DataFrame, given: dict) -> DataFrame:
+    """Null distance → the value given for the column (LR pairs only), else
+    the max of that column within its side (LL or LR); a column that is null
+    for a whole side becomes 1.0."""
+    mx = wide.groupBy("side").agg(*[F.max(c).alias(f"mx_{c}") for c in given])
     out = wide.join(F.broadcast(mx), "side")
+    lr = lambda v: F.when(F.col("side") == "LR", F.lit(v).cast("double"))
     return out.select("side", "id_l", "id_r",
-                      *[F.coalesce(F.col(c), F.col(f"mx_{c}"), F.lit(1.0)).alias(c) for c in dcols])
+                      *[F.coalesce(F.col(c), lr(v), F.col(f"mx_{c}"), F.lit(1.0)).alias(c) for c, v in given.items()])
 
 
 def to_long(wide: DataFrame, ps: PairSpace) -> DataFrame:

@@ -72,13 +72,14 @@ def threshold_table(spark: SparkSession, ts: dict[str, list[float]]) -> DataFram
     return spark.createDataFrame([(n, i, [float(x) for x in ts[n]]) for i, n in enumerate(names)], schema)
 
 
-def ball_counts(dist: DataFrame, near: DataFrame, thr: DataFrame) -> DataFrame:
-    """``(jf, proxy, cum)``: cum[i] = #LL neighbours of proxy with d ≤ 2·ts[i]."""
-    proxies = near.select("jf", F.col("id_l").alias("proxy")).distinct()
-    ll = (dist.where(F.col("side") == "LL")
-          .select("jf", F.col("id_r").alias("proxy"), "d")
-          .join(proxies, ["jf", "proxy"], "left_semi")
-          .join(F.broadcast(thr), "jf"))
+def ball_counts(dist: DataFrame, near: DataFrame | None, thr: DataFrame) -> DataFrame:
+    """``(jf, proxy, cum)``: cum[i] = #LL neighbours of proxy with d ≤ 2·ts[i].
+
+    Counted for the proxies of ``near``, or for all of L without it."""
+    ll = dist.where(F.col("side") == "LL").select("jf", F.col("id_r").alias("proxy"), "d")
+    if near is not None:
+        ll = ll.join(near.select("jf", F.col("id_l").alias("proxy")).distinct(), ["jf", "proxy"], "left_semi")
+    ll = ll.join(F.broadcast(thr), "jf")
     bucket = F.size(F.filter("ts", lambda t: F.round(2 * t, DIGITS) < F.col("d")))
     hist = (ll.select("jf", "proxy", F.size("ts").alias("nt"), bucket.alias("b"))
             .groupBy("jf", "proxy", "nt", "b").agg(F.count(F.lit(1)).alias("cnt"))

@@ -19,6 +19,11 @@ def token_sets(df: DataFrame, id_col: str, cols: list[str], stem: bool = True) -
                      F.array_distinct(split_by_space(block_normalize(cols, stem=stem))).alias("toks"))
 
 
+def word_sets(norm: DataFrame) -> DataFrame:
+    """``(id, toks)`` of records normalised before: ``(id, value)``."""
+    return norm.select("id", F.filter(F.array_distinct(F.split("value", " ")), lambda t: t != "").alias("toks"))
+
+
 def _pair_diffs(pairs: DataFrame, lsets: DataFrame, rsets: DataFrame) -> DataFrame:
     l = lsets.select(F.col("id").alias("id_l"), F.col("toks").alias("tl"))
     r = rsets.select(F.col("id").alias("id_r"), F.col("toks").alias("tr"))

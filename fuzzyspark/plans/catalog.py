@@ -24,6 +24,7 @@ from fuzzyspark.operators import prep as PR
 from fuzzyspark.operators import rules as NR
 from fuzzyspark.operators import validate as VA
 from fuzzyspark.operators.pairs import PairSpace, to_long
+from fuzzyspark.operators.reference import HeldReference
 from fuzzyspark.operators.space import from_name, resolve
 from fuzzyspark.plans import sqlparts as S
 from fuzzyspark.session import checkpoint_dir
@@ -460,6 +461,14 @@ def q_predict(spark, d):
     return M.materialize(m, L, R, "id", distinct=True)
 
 
+def q_predict_held(spark, d):
+    """The join of ``predict`` against a kept state of L, read back from its tables."""
+    L, R = _lr(spark, d)
+    model = _uoc_model(spark)
+    held = M.hold(model, L, "id")
+    return M.predict(model, HeldReference.load(spark, held.path), R, "id")
+
+
 def q_evaluate(spark, d):
     c = E.counts(V.fj_gt(spark, d), _predict_pairs(spark, d))
     p = F.col("n_tp") / F.col("n_pred")

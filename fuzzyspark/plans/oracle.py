@@ -197,6 +197,7 @@ def oracle() -> dict[str, str]:
     pr = _predict_ctes()
     o["predict"] = W(pr, "SELECT DISTINCT w.id_l, l.title AS title_l, w.id_r, r.title AS title_r FROM win w "
                          "JOIN fj_left l ON l.id = w.id_l JOIN fj_right r ON r.id = w.id_r")
+    o["predict_held"] = o["predict"]
     o["evaluate"] = W(pr, "SELECT n_pred, n_gt, n_tp, round(n_tp / n_pred, 6) AS precision, round(n_tp / n_gt, 6) AS recall, "
                           "round(2 * (n_tp / n_pred) * (n_tp / n_gt) / (n_tp / n_pred + n_tp / n_gt), 6) AS f1 FROM "
                           "(SELECT (SELECT count(*) FROM pp) AS n_pred, (SELECT count(*) FROM gg) AS n_gt, "

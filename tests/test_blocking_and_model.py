@@ -265,3 +265,78 @@ def test_train_score_writes_a_run(spark, sf, tmp_path):
     assert len(back.configs or []) == row["n_configs"] == spark.read.parquet(f"{out}/join_configs").count()
     n = {k: spark.read.parquet(f"{out}/{k}").count() for k in ("pred", "pred_tp", "pred_fp", "pred_fn")}
     assert n["pred"] == n["pred_tp"] + n["pred_fp"] == row["n_pred_test"] and n["pred_tp"] + n["pred_fn"] == row["n_gt_test"]
+
+
+# ------------------------------------------------------------ held reference
+def _held_model():
+    return M.FuzzyJoinModel([("lower_splitBySpace_idfWeight_jaccardDistance", 0.35), ("lower_threeGram_uniformWeight_diceDistance", 0.3)],
+                            {"title": 1.0}, None, None, {"on": ["title"], "stem": False})
+
+
+def _triples(df):
+    return {(r["id_l"], r["id_r"], round(r["p"], 9)) for r in df.collect()}
+
+
+def test_held_reference_predicts_as_the_whole_join(spark, sf, tmp_path):
+    from fuzzyspark.operators.reference import HeldReference
+    L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
+    model, path = _held_model(), str(tmp_path / "held")
+    want = _triples(M.predict_matches(model, L, R, "id"))
+    held = M.hold(model, L, "id", path, buckets=3)
+    assert want and _triples(M.predict_matches(model, held, R, "id")) == want
+    held.forget(spark)
+    back = HeldReference.load(spark, path)
+    assert back.n_left == L.count() and _triples(M.predict_matches(model, back, R, "id")) == want
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(M.predict(model, back, R, "id")) == rows(M.predict(model, L, R, "id"))
+
+
+def test_held_reference_of_a_fit(spark, sf, tmp_path):
+    """Rules, weights and null distances of the fit go into the held state; both paths give the matches of the fit."""
+    L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
+    space = {"preprocess_methods": ["lower"], "tokenize_methods": ["threeGram"], "token_weights": ["idfWeight"],
+             "char_distance_functions": ["editDistance"], "set_distance_functions": ["jaccardDistance"]}
+    model, res = M.fit(L, R, "id", join_function_space=space, distance_threshold_space=8)
+    assert model.configs and set(model.params["null_fill"]) >= {jf for jf, _ in model.configs}
+    held = M.hold(model, L, "id", str(tmp_path / "held"))
+    got = {(r["id_l"], r["id_r"]) for r in M.predict(model, held, R, "id").collect()}
+    assert got == {(r["id_l"], r["id_r"]) for r in res.collect()}
+
+
+def test_held_predictions_do_not_depend_on_the_batch(spark, sf, tmp_path):
+    L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
+    R = R.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "...")], R.schema))
+    model = _held_model()
+    held = M.hold(model, L, "id", str(tmp_path / "held"))
+    whole = _triples(M.predict_matches(model, held, R, "id"))
+    parts = [_triples(M.predict_matches(model, held, R.where(F.pmod(F.hash("id"), F.lit(3)) == i), "id")) for i in range(3)]
+    assert whole == set().union(*parts)
+
+
+def test_held_prediction_leaves_l_alone(spark, sf, tmp_path):
+    """The records of L are read in their buckets: no shuffle, no second blocking of L."""
+    L, R = V.fj_left(spark, sf), V.fj_right(spark, sf)
+    held = M.hold(_held_model(), L, "id", str(tmp_path / "held"), buckets=3)
+    pairs = R.select(F.col("id").alias("id_r"), F.col("id").alias("id_l")).hint("merge")
+    plan = pairs.join(held.records.select(F.col("id").alias("id_l"), "toks"), "id_l")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_held_reference_edge_cases(spark, tmp_path):
+    """Empty R, empty L, another model, and a custom blocker."""
+    schema = "id long, title string"
+    L = spark.createDataFrame([(1, "red fox den"), (2, "blue whale song"), (3, None)], schema)
+    R = spark.createDataFrame([(7, "red fox den"), (8, "blue whale sung"), (9, None)], schema)
+    model = _held_model()
+    held = M.hold(model, L, "id", str(tmp_path / "a"))
+    assert M.predict(model, held, R.limit(0), "id").count() == 0
+    empty = M.hold(model, L.limit(0), "id", str(tmp_path / "b"))
+    assert M.predict(model, empty, R, "id").count() == 0
+    other = _held_model()
+    other.configs = other.configs[:1]
+    with pytest.raises(ValueError):
+        M.predict(other, held, R, "id").count()
+    words = B.WordSetBlocker()
+    held = M.hold(model, L, "id", str(tmp_path / "c"), blocker=words)
+    got = _triples(M.predict_matches(model, held, R, "id", blocker=words))
+    assert (1, 7, 1.0) in got and got == _triples(M.predict_matches(model, L, R, "id", blocker=words))
