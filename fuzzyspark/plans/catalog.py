@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fuzzyspark.functions import distances as D
 from fuzzyspark.functions.text import (block_tokens, preprocess, split_by_space, three_gram)
 from fuzzyspark.operators import blocking as B
+from fuzzyspark.operators import entities as EN
 from fuzzyspark.operators import evaluate as E
 from fuzzyspark.operators import greedy as G
 from fuzzyspark.operators import model as M
@@ -635,6 +636,54 @@ def q_table_fingerprint(spark, d):
     return PR.fingerprint(L.unionByName(R))
 
 
+IRI = "http://example.org"
+
+
+def _claims(spark, d):
+    """Events as claims of every shape, by event_id mod 7."""
+    e = V.table(spark, d, "events")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    shapes = [text('"', kind, '"'), text('{"entity-type": "item", "id": "Q', u % 30, '"}'),
+              text('{"time": "+', F.col("ts"), '"}'), text('{"latitude": ', i % 90, ', "longitude": ', u % 180, "}"),
+              text('{"text": "', kind, '", "language": "en"}'),
+              text('{"amount": "+', i, '", "unit": "', f"{IRI}/entity/Q", u % 30, '"}'),
+              text('{"mainsnak": {"datavalue": {"value": "', kind, '"}}}')]
+    claim = shapes[-1]
+    for n, shape in enumerate(shapes[:-1]):
+        claim = F.when(i % 7 == n, shape).otherwise(claim)
+    return e.select("event_id", claim.alias("claim"))
+
+
+def q_claim_text(spark, d):
+    labels = V.table(spark, d, "nation").select(F.format_string("Q%d", "n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    return EN.claim_text(_claims(spark, d), "claim", labels, "text").select("event_id", "text")
+
+
+def _triples(spark, d):
+    """Customers and their orders as triples of IRIs and literals."""
+    c, o = V.table(spark, d, "customer"), V.table(spark, d, "orders")
+    iri = lambda tail, *cols: F.concat(F.lit(f"{IRI}/{tail}"), *[x.cast("string") for x in cols])
+    row = lambda df, who, prop, value, kind, lang, order: df.select(
+        iri("entity/Q", F.col(who)).alias("entity"), F.lit(prop).alias("property"), value.alias("value"),
+        F.lit(kind).alias("kind"), lang.cast("string").alias("lang"), F.col(order).cast("long").alias("ord"))
+    lang = F.when(F.col("o_orderkey") % 3 == 0, "en").when(F.col("o_orderkey") % 3 == 1, "de")
+    none = F.lit(None)
+    return (row(c, "c_custkey", "http://www.w3.org/2000/01/rdf-schema#label", F.col("c_name"), "literal", F.lit("en"), "c_custkey")
+            .unionByName(row(c, "c_custkey", f"{IRI}/prop/P17", iri("entity/Q", F.col("c_nationkey")), "uri", none, "c_custkey"))
+            .unionByName(row(c, "c_custkey", f"{IRI}/prop/P18", iri("entity/statement/", F.col("c_custkey")), "uri", none, "c_custkey"))
+            .unionByName(row(o, "o_custkey", f"{IRI}/prop/P31", F.col("o_orderpriority"), "literal", lang, "o_orderkey"))
+            .unionByName(row(o, "o_custkey", f"{IRI}/prop/homepage", iri("home/", F.col("o_orderkey")), "uri", none, "o_orderkey")))
+
+
+def q_entity_rows(spark, d):
+    n = V.table(spark, d, "nation")
+    labels = (n.where(F.col("n_regionkey") != 0).select(F.format_string("Q%d", "n_nationkey").alias("id"), F.col("n_name").alias("label"))
+              .unionByName(spark.createDataFrame([("P17", "country")], "id string, label string")))
+    props = EN.entity_properties(_triples(spark, d), labels)
+    return EN.property_columns(props, ["label", "country", "P18", "P31", "homepage"])
+
+
 def q_normalize_claims(spark, d):
     return PR.normalize_props(V.table(spark, d, "events"))
 

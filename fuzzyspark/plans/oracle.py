@@ -240,6 +240,18 @@ def oracle() -> dict[str, str]:
     o["normalize_claims"] = (f"SELECT event_id, regexp_extract(CAST(ts AS VARCHAR), '{YEAR_RE}', 1) AS year, "
                              f"CAST(value AS VARCHAR) || ' ' || event_type AS quantity, "
                              f"json_extract_string(props, '$.k') AS k FROM events")
+    lab = "coalesce(n_name, 'Q' || (user_id % 30))"
+    o["claim_text"] = (f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN {lab} "
+                       "WHEN 2 THEN strftime(ts, '%Y') WHEN 3 THEN '(' || (event_id % 90) || ', ' || (user_id % 180) || ')' "
+                       f"WHEN 4 THEN event_type WHEN 5 THEN '+' || event_id || ' ' || {lab} ELSE event_type END AS text "
+                       "FROM events LEFT JOIN nation ON n_nationkey = user_id % 30")
+    o["entity_rows"] = (
+        "SELECT 'Q' || k AS entity, c_name AS label, n_name AS country, CAST(NULL AS VARCHAR) AS \"P18\", p AS \"P31\", "
+        "'http://example.org/home/' || last AS homepage FROM (SELECT o_custkey AS k, max(o_orderkey) AS last, "
+        "coalesce(arg_min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END), "
+        "arg_max(o_orderpriority, o_orderkey)) AS p FROM orders GROUP BY o_custkey) o "
+        "FULL JOIN (SELECT c_custkey AS k, c_name, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey "
+        "AND n_regionkey <> 0) c USING (k)")
     o["rename_project"] = "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS segment FROM customer"
     o["drop_by_regex"] = "SELECT * EXCLUDE (o_orderkey, o_custkey) FROM orders"
     o["packed_split"] = (
