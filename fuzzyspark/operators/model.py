@@ -173,9 +173,11 @@ def new_weights(old: list[float] | None, grid: list[float]) -> list[list[float]]
 def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_target: float = 0.9,
         join_function_space="sm", distance_threshold_space=50, column_weight_space=10,
         blocker=None, left_aug: DataFrame | None = None, stem: bool = True,
-        checkpoint: bool = True):
+        checkpoint: bool = True, negative_rules: DataFrame | None = None):
     """Learn the join; returns ``(model, result)``.
 
+    ``negative_rules`` are rules learned before; those of L are added to them.
+
     ``result`` holds the matched L and R rows (columns suffixed ``_l`` /
     ``_r``) sorted by the R id, or an empty frame of that schema when the
     target cannot be met.
@@ -188,7 +190,7 @@ def fit(left: DataFrame, right: DataFrame, id_col: str, on=None, precision_targe
         else list(distance_threshold_space)
     wgrid = P.linspace(column_weight_space) if isinstance(column_weight_space, int) \
         else list(column_weight_space)
-    prep = prepare(left, right, id_col, cols, jfs, blocker, None, stem, checkpoint)
+    prep = prepare(left, right, id_col, cols, jfs, blocker, negative_rules, stem, checkpoint)
 
     best_reward, best = float("-inf"), None
     base_cols: list[str] = []

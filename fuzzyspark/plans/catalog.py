@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fuzzyspark.functions import distances as D
 from fuzzyspark.functions.text import (block_tokens, preprocess, split_by_space, three_gram)
 from fuzzyspark.operators import blocking as B
+from fuzzyspark.operators import datasets as DS
 from fuzzyspark.operators import entities as EN
 from fuzzyspark.operators import evaluate as E
 from fuzzyspark.operators import greedy as G
@@ -684,6 +685,47 @@ def q_entity_rows(spark, d):
     return EN.property_columns(props, ["label", "country", "P18", "P31", "homepage"])
 
 
+def _property_labels(spark, **names):
+    return spark.createDataFrame(list(names.items()), "id string, label string")
+
+
+def q_make_dataset(spark, d):
+    """Orders as judged descriptions of their customers, whose claims are their segment, an id and the states of their orders."""
+    c, o = V.table(spark, d, "customer"), V.table(spark, d, "orders")
+    who = lambda k: F.format_string("Q%d", k)
+    pages = c.where("c_custkey % 10 <> 9").select(F.col("c_name").alias("title"), who("c_custkey").alias("entity"))
+    claim = lambda df, k, prop, json, order: df.select(
+        who(k).alias("entity"), F.lit(prop).alias("property"), json.alias("claim"), F.col(order).cast("long").alias("ord"))
+    quoted = lambda col: F.concat(F.lit('"'), col, F.lit('"'))
+    state = F.concat(F.lit('{"language": "en", "text": "'), F.col("o_orderstatus"), F.lit('"}'))
+    claims = (claim(c, "c_custkey", "P1", quoted("c_mktsegment"), "c_custkey")
+              .unionByName(claim(c, "c_custkey", "P2", quoted(F.col("c_custkey").cast("string")), "c_custkey"))
+              .unionByName(claim(o, "o_custkey", "P3", state, "o_orderkey")))
+    labels = c.select(who("c_custkey").alias("id"), F.col("c_name").alias("label")).unionByName(
+        _property_labels(spark, P1="segment", P2="VIAF ID", P3="state"))
+    bare = F.col("o_orderkey") % 7 == 0
+    judged = o.select(
+        F.format_string("s%d", "o_orderkey").alias("subject_id"),
+        F.format_string("https://example.org/wiki/Customer#%09d", "o_custkey").alias("page"),
+        F.when(bare, "name").otherwise("name`status`status`order ID").alias("predicates"),
+        F.when(bare, F.col("o_orderpriority")).otherwise(F.concat_ws("`", "o_orderpriority", "o_orderstatus", F.when(
+            F.col("o_orderkey") % 2 == 0, "A").otherwise(F.col("o_orderstatus")), F.col("o_orderkey").cast("string"))).alias("objects"),
+        F.element_at(F.array(*map(F.lit, ("yes", "no", "insufficient_info", "yes"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("match"))
+    left, right, gt = DS.make_dataset(judged, pages, claims, labels, {"title": "title", "state": "status"}, "2col")
+    side = lambda df, part, s: df.select(F.lit(part).alias("part"), *[F.col(x).alias(x + s) for x in df.columns])
+    return (side(left, "left", "_l").unionByName(side(right, "right", "_r"), allowMissingColumns=True)
+            .unionByName(gt.select(F.lit("gt").alias("part"), "*")))
+
+
+def q_make_augmentation(spark, d):
+    n, c = V.table(spark, d, "nation"), V.table(spark, d, "customer")
+    named = lambda df, k, name: df.select(F.format_string("Q%d", k).alias("id"), F.col(name).alias("label"))
+    labels = (named(n.where("n_regionkey <> 0"), "n_nationkey", "n_name")
+              .unionByName(named(c.where("c_custkey > 24 AND c_custkey % 5 <> 0"), "c_custkey", "c_name"))
+              .unionByName(_property_labels(spark, P17="country")))
+    return DS.make_augmentation(_triples(spark, d), labels, {"id": "id", "title (en)": "title", "country": "nation", "P31": "priority"})
+
+
 def q_normalize_claims(spark, d):
     return PR.normalize_props(V.table(spark, d, "events"))
 

@@ -252,6 +252,23 @@ def oracle() -> dict[str, str]:
         "arg_max(o_orderpriority, o_orderkey)) AS p FROM orders GROUP BY o_custkey) o "
         "FULL JOIN (SELECT c_custkey AS k, c_name, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey "
         "AND n_regionkey <> 0) c USING (k)")
+    o["make_dataset"] = (
+        "WITH ord AS (SELECT *, o_orderkey % 7 <> 0 AS full_row FROM orders), "
+        "l AS (SELECT 'Q' || o_custkey AS id_l, min(c_name) AS title_l, string_agg(o_orderstatus, '|' ORDER BY o_orderkey) AS status_l "
+        "FROM ord JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 10 <> 9 GROUP BY o_custkey), "
+        "r AS (SELECT 's' || o_orderkey AS id_r, o_orderpriority AS title_r, CASE WHEN o_orderkey % 2 <> 0 OR o_orderstatus = 'A' "
+        "THEN o_orderstatus WHEN o_orderstatus < 'A' THEN o_orderstatus || ' A' ELSE 'A ' || o_orderstatus END AS status_r, "
+        "'Q' || o_custkey AS id_l, o_orderkey FROM ord WHERE full_row) "
+        "SELECT 'left' AS part, id_l, title_l, status_l, CAST(NULL AS VARCHAR) AS id_r, CAST(NULL AS VARCHAR) AS title_r, "
+        "CAST(NULL AS VARCHAR) AS status_r FROM l UNION ALL SELECT 'right', NULL, NULL, NULL, id_r, title_r, status_r FROM r "
+        "UNION ALL SELECT 'gt', id_l, title_l, status_l, id_r, title_r, status_r FROM l JOIN r USING (id_l) WHERE o_orderkey % 4 <> 1")
+    o["make_augmentation"] = (
+        "SELECT entity AS id, title, nation, priority FROM (SELECT 'Q' || k AS entity, coalesce(own.n_name, CASE WHEN k > 24 AND k % 5 <> 0 "
+        "THEN c_name END) AS title, home.n_name AS nation, p AS priority FROM (SELECT o_custkey AS k, "
+        "coalesce(arg_min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END), "
+        "arg_max(o_orderpriority, o_orderkey)) AS p FROM orders GROUP BY o_custkey) FULL JOIN (SELECT c_custkey AS k, * FROM customer) USING (k) "
+        "LEFT JOIN nation own ON own.n_nationkey = k AND own.n_regionkey <> 0 "
+        "LEFT JOIN nation home ON home.n_nationkey = c_nationkey AND home.n_regionkey <> 0) WHERE title IS NOT NULL")
     o["rename_project"] = "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS segment FROM customer"
     o["drop_by_regex"] = "SELECT * EXCLUDE (o_orderkey, o_custkey) FROM orders"
     o["packed_split"] = (
