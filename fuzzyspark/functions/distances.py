@@ -11,6 +11,7 @@ Let I = Σ w over X∩Y, sx, sy = Σ w over X, Y, U = sx + sy − I, ε = 1e-9.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,48 +64,71 @@ def set_distance(name: str, pl: Column, pr: Column, st: Column) -> Column:
     return F.when(empty, F.lit(None).cast("double")).otherwise(d.cast("double"))
 
 
-def jaro_winkler_similarity(s1: str, s2: str) -> float:
+def _code_points(values: list[str], pad: int, width: int) -> np.ndarray:
+    """One row of code points a value, filled with ``pad``."""
+    out = np.full((len(values), width), pad, np.int64)
+    for row, v in zip(out, values):
+        row[:len(v)] = np.frombuffer(v.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def jaro_winkler_similarities(left: list[str], right: list[str]) -> np.ndarray:
     """Jaro similarity with the Winkler prefix boost (p = 0.1, up to 4
-    characters, only when the Jaro similarity exceeds 0.7)."""
-    n1, n2 = len(s1), len(s2)
-    if n1 == 0 or n2 == 0:
-        return 0.0
-    rng = max(max(n1, n2) // 2 - 1, 0)
-    f1 = [False] * n1
-    f2 = [False] * n2
-    m = 0
-    for i, ch in enumerate(s1):
-        lo, hi = max(0, i - rng), min(i + rng, n2 - 1)
-        for j in range(lo, hi + 1):
-            if not f2[j] and s2[j] == ch:
-                f1[i] = f2[j] = True
-                m += 1
-                break
-    if m == 0:
-        return 0.0
-    t, k = 0, 0
-    for i in range(n1):
-        if f1[i]:
-            while not f2[k]:
-                k += 1
-            if s1[i] != s2[k]:
-                t += 1
-            k += 1
-    t //= 2
-    sim = (m / n1 + m / n2 + (m - t) / m) / 3.0
-    if sim > 0.7:
-        p = 0
-        while p < min(n1, n2, 4) and s1[p] == s2[p]:
-            p += 1
-        sim += p * 0.1 * (1.0 - sim)
-    return sim
+    characters, only when the Jaro similarity exceeds 0.7) of each pair.
+
+    All pairs advance together, one position of the left value a step; an
+    empty value has similarity 0."""
+    n1, n2 = (np.array([len(v) for v in side], np.int64) for side in (left, right))
+    a, b = _code_points(left, -1, int(n1.max(initial=0))), _code_points(right, -2, int(n2.max(initial=0)))
+    k, width = len(left), b.shape[1]
+    if k == 0 or a.shape[1] == 0 or width == 0:
+        return np.zeros(k)
+    reach = np.maximum(np.maximum(n1, n2) // 2 - 1, 0)
+    rows = np.arange(k)
+    met_a, met_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    at = np.arange(width)
+    for i in range(a.shape[1]):
+        free = (b == a[:, i:i + 1]) & ~met_b & (np.abs(at - i) <= reach[:, None])
+        first = free.argmax(1)
+        hit = free[rows, first]
+        met_a[:, i] = hit
+        met_b[rows[hit], first[hit]] = True
+    m = met_a.sum(1)
+    # the matched characters of both sides, in their orders, stand side by side in a flat list
+    moved = np.bincount(np.nonzero(met_a)[0], weights=a[met_a] != b[met_b], minlength=k).astype(np.int64) // 2
+    some = np.maximum(m, 1)
+    sim = np.where(m > 0, (m / np.maximum(n1, 1) + m / np.maximum(n2, 1) + (m - moved) / some) / 3.0, 0.0)
+    head = min(4, a.shape[1], width)
+    prefix = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(1)
+    return np.where(sim > 0.7, sim + prefix * 0.1 * (1.0 - sim), sim)
+
+
+# cells (pairs times the longest value) compared at once by the Jaro-Winkler UDF
+JARO_CELLS = 1 << 20
+
+
+def _runs(lengths, cells: int = JARO_CELLS) -> list[int]:
+    """Starts of the runs of descending lengths whose rows, each as wide as
+    the first of its run, hold at most ``cells``; one longer than that is alone."""
+    starts, width = [], 0
+    for i, n in enumerate(lengths):
+        if not starts or (i - starts[-1] + 1) * width > cells:
+            starts.append(i)
+            width = max(n, 1)
+    return starts
 
 
 @F.pandas_udf(T.DoubleType())
 def _jaro_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = list(zip(a, b))  # each pair of values is compared once in a batch
-    known = {(x, y): None if (x is None or y is None) else 1.0 - jaro_winkler_similarity(x, y) for x, y in set(pairs)}
-    return pd.Series([known[p] for p in pairs], dtype="float64")
+    pairs = pd.DataFrame({"a": a.array, "b": b.array})
+    known = pairs.dropna().drop_duplicates()  # each pair of values is compared once in a batch
+    known = known.assign(n=np.maximum(known["a"].str.len(), known["b"].str.len()).astype("int64"), d=1.0)
+    known = known.sort_values("n", ascending=False, kind="stable")
+    starts = _runs(known["n"].tolist())
+    for lo, hi in zip(starts, starts[1:] + [len(known)]):
+        part = known.iloc[lo:hi]
+        known.iloc[lo:hi, known.columns.get_loc("d")] = 1.0 - jaro_winkler_similarities(part["a"].tolist(), part["b"].tolist())
+    return pairs.merge(known, on=["a", "b"], how="left")["d"]
 
 
 def jaro_distance(sl: Column, sr: Column) -> Column:

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from fuzzyspark.functions.distances import jaro_winkler_similarity
+from fuzzyspark.functions.distances import _runs, jaro_distance, jaro_winkler_similarities
 from fuzzyspark.operators.pairs import PairSpace
 from fuzzyspark.operators.space import JoinFunction, resolve
 
@@ -48,10 +49,56 @@ def test_empty_token_lists_are_null_then_filled(spark):
     assert filled[(1, 11)] == pytest.approx(0.0, abs=1e-8) and filled[(2, 10)] == pytest.approx(0.0, abs=1e-8)
 
 
+def jaro_winkler_similarity(a, b):
+    """The definition, character by character."""
+    taken, pairs = set(), []
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    for i, ch in enumerate(a):
+        j = next((j for j, other in enumerate(b) if other == ch and j not in taken and abs(i - j) <= reach), None)
+        if j is not None:
+            taken.add(j)
+            pairs.append(ch)
+    m = len(pairs)
+    if m == 0:
+        return 0.0
+    t = sum(x != b[j] for x, j in zip(pairs, sorted(taken))) // 2
+    sim = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    same = 0
+    while same < min(len(a), len(b), 4) and a[same] == b[same]:
+        same += 1
+    return sim + same * 0.1 * (1 - sim) if sim > 0.7 else sim
+
+
+def test_jaro_winkler_of_many_pairs():
+    rng = random.Random(7)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, n)))
+    for alphabet, n in (("ab", 9), ("abcdef gh", 24), ("aé日\U0001F600\x00", 12)):
+        left, right = [word(alphabet, n) for _ in range(3000)], [word(alphabet, n) for _ in range(3000)]
+        assert list(jaro_winkler_similarities(left, right)) == pytest.approx([jaro_winkler_similarity(*p) for p in zip(left, right)], abs=1e-12)
+    assert list(jaro_winkler_similarities([], [])) == [] and list(jaro_winkler_similarities([""], [""])) == [0.0]
+
+
+def test_runs_of_lengths_are_bounded():
+    lengths = sorted([1] * 500 + [7] * 30 + [90, 250, 4000], reverse=True)
+    starts = _runs(lengths, 100)
+    for lo, hi in zip(starts, starts[1:] + [len(lengths)]):
+        assert hi - lo == 1 or (hi - lo) * lengths[lo] <= 100
+    assert _runs([]) == [] and _runs([0, 0]) == [0]
+
+
+def test_jaro_distance_column(spark):
+    long = "x" * 3000
+    rows = [("martha", "marhta"), ("martha", "marhta"), (None, "a"), ("a", None), ("", "a"), (long, long + "y"), (None, None), ("a", "b")]
+    got = [r["d"] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(
+        jaro_distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    want = [None if not x or not y else pytest.approx(1 - jaro_winkler_similarity(x, y)) for x, y in rows]
+    assert got == want
+
+
 @pytest.mark.parametrize("a,b,d", [("martha", "marhta", 0.038889), ("dwayne", "duane", 0.16),
                                    ("abcd", "axyz", 0.5), ("same", "same", 0.0)])
 def test_jaro_winkler_hand_values(a, b, d):
-    assert round(1 - jaro_winkler_similarity(a, b), 6) == d
+    assert round(1 - jaro_winkler_similarities([a], [b])[0], 6) == d
 
 
 def _lev(a, b):
