@@ -45,6 +45,12 @@ def test_pair_sums_are_those_of_the_token_join(tokens, monkeypatch):
     assert rows(B.token_join(rtok, post, by_pair=True).select("id_l", "id_r", "n", F.round("w", 9))) == want
 
 
+def test_records_that_share_nothing_have_no_pairs(spark, tokens):
+    strange = spark.createDataFrame([(1, "never"), (2, "seen")], "id_r long, token string")
+    assert B.pair_sums(strange, tokens[0]).count() == 0
+    assert B.pair_sums(strange, tokens[0], 3).count() == 0
+
+
 def test_pair_sums_keep_the_k_best_with_ties(tokens):
     post, rtok = tokens
     scores = lambda df: df.select("id_l", "id_r", F.round("w", 9).alias("score"))
