@@ -7,6 +7,7 @@ alignment of attributes as a mapping {name in L: name in R}.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +76,16 @@ def make_dataset(judged: DataFrame, pages: DataFrame, claims: DataFrame, labels:
     page = judged.withColumn("title", F.nullif(F.regexp_extract("page", PAGE_RE, 1), F.lit("")))
     known = EN.with_label(page.select("subject_id", "match", "title"), "title",
                           pages.select(F.col("title").alias("id"), F.col("entity").alias("label")), "entity")
-    known = known.where("entity IS NOT NULL").select("subject_id", "match", "entity").distinct()
+    # known, left and right are each needed again by the truth, and made once
+    known = known.where("entity IS NOT NULL").select("subject_id", "match", "entity").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     wanted = known.select("entity").distinct()
     claimed = claimed_properties(claims.join(wanted, "entity", "left_semi"), labels, drop)
     named = EN.with_label(wanted.join(claimed, "entity", "left"), "entity", labels, "title")
     props = F.coalesce("props", F.create_map().cast("map<string,string>"))
     titled = F.when(F.col("title").isNull(), props).otherwise(
         F.map_concat(F.map_filter(props, lambda k, _: k != "title"), F.create_map(F.lit("title"), F.col("title"))))
-    left = _columns(named.select("entity", titled.alias("props")), "entity", mapping)
-    right = _columns(described_properties(judged, sep, drop), "subject_id", {c: c for c in cols})
+    left = _columns(named.select("entity", titled.alias("props")), "entity", mapping).persist(StorageLevel.MEMORY_AND_DISK)
+    right = _columns(described_properties(judged, sep, drop), "subject_id", {c: c for c in cols}).persist(StorageLevel.MEMORY_AND_DISK)
     truth = PR.label_filter(known, "match", list(keep)).select(F.col("entity").alias("id_l"), F.col("subject_id").alias("id_r")).distinct()
     pairs = PR.gt_enrich(truth, left, right, "id")
     used = cols if variant == "full" else cols[:1] if variant == "1col" else cols[:2]

@@ -26,10 +26,15 @@ def with_label(df: DataFrame, key: str, labels: DataFrame, out: str) -> DataFram
     """``out``: the label of ``key`` in ``labels`` (id, label), null where it has none.
 
     An id with several labels gets the smallest.  The label table is counted
-    before it is broadcast; a longer one is joined by id."""
+    before it is broadcast; a longer one is joined by id, and the rows without
+    a key, which are often most, are spread over the tasks of that join."""
     kept = (labels.where(F.col("id").isNotNull()).groupBy(F.col("id").alias(key)).agg(F.min("label").alias(out))
             .persist(StorageLevel.MEMORY_AND_DISK))
-    return df.join(F.broadcast(kept) if kept.count() <= LABEL_BROADCAST_ROWS else kept, key, "left")
+    if kept.count() <= LABEL_BROADCAST_ROWS:
+        return df.join(F.broadcast(kept), key, "left")
+    spread = _unused("spread", [*df.columns, out])
+    dealt = df.withColumn(spread, F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    return dealt.join(kept.withColumn(spread, F.lit(0).cast("long")), [key, spread], "left").drop(spread)
 
 
 def claim_text(df: DataFrame, claim: str, labels: DataFrame, out: str) -> DataFrame:

@@ -62,3 +62,13 @@ def test_entity_properties(spark):
     assert [tuple(r) for r in cols] == [("Q5", "one", None)]
     assert EN.entity_properties(t.limit(0), _labels(spark)).count() == 0
     assert EN.entity_properties(t, _labels(spark), prefer="fr").first()["props"]["name"] == "un"
+
+
+def test_rows_without_a_key_are_spread_in_a_join_by_id(spark, monkeypatch):
+    monkeypatch.setattr(EN, "LABEL_BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("z", 4)], "k string, spread int")
+    labels = spark.createDataFrame([("a", "A"), (None, "none"), ("b", "B")], "id string, label string")
+    got = EN.with_label(df, "k", labels, "out")
+    assert got.columns == ["k", "spread", "out"]
+    assert {tuple(r) for r in got.collect()} == {("a", 1, "A"), (None, 2, None), (None, 3, None), ("z", 4, None)}
+    assert "monotonically_increasing_id" in got._jdf.queryExecution().optimizedPlan().toString()
