@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fuzzyspark.operators import blocking as B
 from fuzzyspark.operators import cells as C
+from fuzzyspark.operators import rules as NR
 from fuzzyspark.session import checkpoint_dir, reliable_checkpoint, scratch
 
 
@@ -52,3 +53,16 @@ def test_cells_get_blocks_and_few_rows(spark):
 def test_records_are_copied_to_few_rows_of_cells(spark):
     """Cells of 4,096 records squared copied each of 150,000 records seven times."""
     assert -(-(150_000 / C.CELL_RECORDS) ** 0.5 // 1) <= 4
+
+
+def test_pairs_are_found_once_for_the_rules(spark):
+    """The plan of the pairs stood twice in that of the pruned ones, so blocking ran twice."""
+    norm = spark.createDataFrame([(1, "red car"), (2, "blue car"), (3, "red boat"), (9, "blue boat")], "id long, value string")
+    pairs = B.block_normalized(norm, norm, 4, 3)
+    sets = NR.word_sets(norm)
+    rules = spark.createDataFrame([("red", "blue"), ("blue", "red")], "a string, b string")
+    kept = NR.apply(pairs, sets, sets, rules)
+    assert "FlatMapGroupsInArrow" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    colour = {1: "red", 2: "blue", 3: "red", 9: "blue"}
+    want = {(r["id_l"], r["id_r"]) for r in pairs.collect() if colour[r["id_l"]] == colour[r["id_r"]]}
+    assert {tuple(r) for r in kept.collect()} == want and want
