@@ -1,12 +1,15 @@
 """What the fuzzy join keeps on disk: cuts of the lineage in columns, records that travel in blocks."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from fuzzyspark.operators import blocking as B
 from fuzzyspark.operators import cells as C
 from fuzzyspark.operators import rules as NR
+from fuzzyspark.operators.pairs import PairSpace
+from fuzzyspark.operators.space import from_name
 from fuzzyspark.session import checkpoint_dir, reliable_checkpoint, scratch
 
 
@@ -66,3 +69,53 @@ def test_pairs_are_found_once_for_the_rules(spark):
     colour = {1: "red", 2: "blue", 3: "red", 9: "blue"}
     want = {(r["id_l"], r["id_r"]) for r in pairs.collect() if colour[r["id_l"]] == colour[r["id_r"]]}
     assert {tuple(r) for r in kept.collect()} == want and want
+
+
+def test_blocks_hold_the_factors_of_weights_once(spark):
+    """A weight is count/len times ln(N/(df+1)): nearly every one differs, and each stood with eight bytes in the blocks."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 7))) for _ in range(900)]
+    norm = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randint(2, 9)))) for i in range(1_500)], "id long, value string").cache()
+    post = B.left_postings(norm, 1_500).cache()
+    assert post.where("w <> tf * idf").isEmpty()
+    sizes, sums = [], []
+    for p in (post, post.drop("tf", "idf")):
+        sums.append(B.pair_sums(B.right_tokens(norm), p, 5))
+        lists = ["collect_list(token) AS tokens"] + (["collect_list(tf) AS ws", "collect_list(idf) AS idf"] if "tf" in p.columns else ["collect_list(w) AS ws"])
+        whole = p.groupBy("id_l").agg(*[F.expr(x) for x in lists])
+        sent = whole.select(F.lit(0).alias("part"), F.col("id_l").alias("id"), *whole.columns[1:], F.lit(None).cast("double").alias("least"))
+        sizes.append(sum(len(r["block"]) for r in sent.coalesce(1).mapInArrow(B._blocks, "part int, block binary").collect()))
+    assert sizes[0] < 0.75 * sizes[1]
+    assert sums[0].exceptAll(sums[1]).isEmpty() and sums[1].exceptAll(sums[0]).isEmpty(), "the same sums to the last bit"
+    assert B.pair_sums(B.right_tokens(norm), post.drop("w"), 5).exceptAll(sums[0]).isEmpty()
+
+
+def test_distances_are_cut_once_and_as_whole_numbers(spark):
+    class Gap:
+        name = "gap"
+
+        def distance(self, left, right):
+            return F.abs(F.length(left) - F.length(right)) / 7
+
+    left = spark.createDataFrame([(1, "red car one"), (2, "blue car"), (3, None), (4, "!!")], "id long, v string")
+    right = spark.createDataFrame([(10, "red car"), (11, ""), (12, "blue cars two"), (13, None)], "id long, v string")
+    jfs = [from_name("lower_threeGram_idfWeight_cosineDistance"), from_name("lower_None_None_jaroDistance"), from_name("lower_None_None_editDistance"), Gap()]
+    pairs = lambda l, r: l.select(F.col("id").alias("id_l")).crossJoin(r.select(F.col("id").alias("id_r")))
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    ps = PairSpace(left, right, "id", ["v"], jfs, stem=False)
+    made = []
+
+    def cut(df):
+        made.append(reliable_checkpoint(df))
+        return made[-1]
+
+    got = ps.pair_distances(pairs(left, left), pairs(left, right), cut=cut)
+    assert not ps._persisted, "no second copy of the distances"
+    assert [t for c, t in made[0].dtypes if c.startswith("d")] == ["bigint"] * 3 + ["double"]
+    raw = rows(ps.pair_distances(pairs(left, left), pairs(left, right), fill=False))
+    assert len(raw) == 32 and any("None" in r for r in raw)
+    plain = ps.pair_distances(pairs(left, left), pairs(left, right))
+    assert rows(got) == rows(plain) and got.dtypes == plain.dtypes
+    given = {jf.name: {"v": 0.25} for jf in jfs}
+    assert (rows(ps.pair_distances(pairs(left, left), pairs(left, right), null_fill=given, cut=cut))
+            == rows(ps.pair_distances(pairs(left, left), pairs(left, right), null_fill=given)))
