@@ -23,7 +23,8 @@ from fuzzyspark.llm.words import _mix, flat, word_bounds, word_hashes
 
 #: documents the scorer is trained on at most (the vote counts cover all), and hashed dimensions
 TRAIN_DOCS, DIM = 8000, 1024
-PIECE_BYTES = 4 << 20
+#: bytes of texts worked on at once: the arrays of a piece are some fifty times as large
+PIECE_BYTES = 1 << 19
 GOOD, BAD, ABSTAIN = 0, 1, 2
 #: a labeller's vote, the share from which it casts it, and the least words; it abstains otherwise
 LABELLERS = {

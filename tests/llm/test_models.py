@@ -1,9 +1,11 @@
 """Operators that learn, search or mine: held-out accuracy, recall, and plain versions on small inputs."""
 
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fuzzyspark.llm import hnsw, quality, toxicity, urls
@@ -343,3 +345,16 @@ def test_pipeline_stages(spark, sf):
     for r in sorted(after, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+def test_quality_pieces_are_small(rows):
+    """The arrays of a piece of 4 MB took 200 MB of a Python worker, of which an executor has one a core."""
+    texts = pa.array([t for _, t, _ in rows if t] * 60)
+    tracemalloc.start()
+    try:
+        votes = [s.votes() for s in quality._pieces(texts) if s.features().size]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts.nbytes > 8 << 20 and sum(map(len, votes)) == len(texts)
+    assert peak < 80 << 20
