@@ -124,6 +124,17 @@ def test_audit_matches_brute_force(spark, rows, monkeypatch):
     assert filter_audit.audit(df.limit(1), ls.limit(0)).count() == 600
 
 
+@pytest.mark.parametrize("n_df", [None, 3, 1000])
+def test_a_repeated_lookup_is_not_broadcast(spark, monkeypatch, n_df):
+    """Spark sized the table of an audit's copies before it was repeated and sent 16 copies to the driver."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(i % 3, i) for i in range(9)] + [(None, 9)], "k long, x long")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "k long, v string")
+    got = common.lookup(df, small, ["k"], df["x"], 3, n_df=n_df)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["x"], r["v"]) for r in got.collect()) == [(i, ("a", "b", None)[i % 3]) for i in range(9)] + [(9, "n")]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_intervals_remove_each_mask_once_in_every_order(n):
     orders = list(permutations(range(n)))
