@@ -33,7 +33,9 @@ from fuzzyspark.llm.words import flat, word_bounds
 
 MAX_WORDS, MIN_COUNT, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 #: frequent groups are sent to the tasks up to this many bytes; beyond it occurrences are joined to them
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 96 << 20
+#: bytes of a sent group of two words and more: its key and its id
+PAIR_BYTES = 16
 #: positions of a stretch
 STRETCH = 128
 #: bytes of text, occurrences joined, and pairs counted at a time in a task
@@ -123,24 +125,34 @@ def _table(batch: pa.RecordBatch, whose: np.ndarray, end: np.ndarray, pos: np.nd
         pa.ListArray.from_arrays(cuts, pa.array(pos)), pa.ListArray.from_arrays(cuts, pa.array(ids))], ["lang", "doc", "end", "pos", "id"])
 
 
+def _sent_words(groups: DataFrame) -> tuple:
+    """What ``_first_relation`` needs of the groups: (langs, words, keys, ids), the keys sorted; made once for all tasks."""
+    known = groups.select("lang", "word", "id").toArrow().combine_chunks()
+    lang, word = (known.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word"))
+    size = np.int64(max(len(word.dictionary), 1))
+    key = lang.indices.to_numpy().astype(np.int64) * size + word.indices.to_numpy()
+    order = np.argsort(key)
+    return lang.dictionary.cast(pa.string()), word.dictionary.cast(pa.large_string()), key[order], known.column("id").to_numpy()[order]
+
+
 def _first_relation(sent, longest: int):
-    """Occurrences of the words in the sent groups (lang, word, id)."""
+    """Occurrences of the words in the sent groups, those of ``_sent_words``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_lang, g_word, g_id = sent.value
-        vocabulary = pc.unique(g_word)
-        at_word = pc.index_in(g_word, vocabulary).to_numpy()
-        size = max(len(vocabulary), 1)
+        langs, vocabulary, key, ids = sent.value
+        size = np.int64(max(len(vocabulary), 1))
         for batch in _pieces(batches, TEXT_BYTES):
             words, pos, first = tokens(batch.column("text"))
             names, lang = _langs(batch, np.diff(first))
-            at_lang = pc.index_in(g_lang, names).to_numpy(zero_copy_only=False)
-            here = np.flatnonzero(~np.isnan(at_lang)) if at_lang.dtype.kind == "f" else np.arange(len(g_lang))
-            key = at_lang[here].astype(np.int64) * size + at_word[here]
-            order = np.argsort(key)
-            key, ids = key[order], g_id[here][order]
-            word = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy().astype(np.int64)
-            known = np.flatnonzero(word >= 0)
-            mine = lang[known] * np.int64(size) + word[known]
+            coded = words.dictionary_encode()
+            # the few words of the batch are hashed and the vocabulary looked up in them
+            found = pc.index_in(vocabulary, coded.dictionary)
+            place = np.full(len(coded.dictionary), -1, np.int64)
+            held = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            place[found.drop_null().to_numpy()] = held
+            at_lang = pc.fill_null(pc.index_in(names, langs), -1).to_numpy().astype(np.int64)
+            word, lang = place[coded.indices.to_numpy()], at_lang[lang]
+            known = np.flatnonzero((word >= 0) & (lang >= 0))
+            mine = lang[known] * size + word[known]
             at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
             ok = key[at] == mine if len(key) else np.zeros(len(mine), bool)
             keep = known[ok]
@@ -164,55 +176,63 @@ def _all_words(longest: int):
 
 
 def _adjacent(batch: pa.RecordBatch):
-    """Merge-join of the occurrences with themselves: (langs, row, lang, position, a, b) of every two side by side."""
+    """Merge-join of the occurrences with themselves: (row, position, a, b) of every two side by side."""
     lists = batch.column("pos")
     counts = np.diff(lists.offsets.to_numpy())
     pos = lists.flatten().to_numpy(zero_copy_only=False)
     ids = batch.column("id").flatten().to_numpy(zero_copy_only=False)
     whose = np.repeat(np.arange(batch.num_rows), counts)
     at = np.flatnonzero((pos[1:] == pos[:-1] + 1) & (whose[1:] == whose[:-1])) if len(pos) else np.zeros(0, np.int64)
-    names, lang = _langs(batch, counts)
-    return names, whose[at], lang[at], pos[at], ids[at], ids[at + 1]
+    return whose[at], pos[at], ids[at], ids[at + 1]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted(held) -> Iterator[pa.RecordBatch]:
-        lang, a, b = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((b, a, lang))
-        lang, a, b = lang[order], a[order], b[order]
-        new = np.flatnonzero(np.concatenate(([True], (lang[1:] != lang[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        n = np.diff(np.concatenate((new, [len(a)])))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()).take(pa.array(lang[new])), pa.array(a[new]), pa.array(b[new]), pa.array(n)],
-                                         ["lang", "a", "b", "n"])
-
-    seen: list[str] = []
+    def counted(held) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.concatenate((new, [len(a)]))))], ["a", "b", "n"])
+
     held, size = [], 0
     for batch in _runs(batches):
-        names, whose, lang, pos, a, b = _adjacent(batch)
+        whose, pos, a, b = _adjacent(batch)
         own = pos < batch.column("end").to_numpy()[whose]
-        lang, a, b = lang[own], a[own], b[own]
-        for x in names.to_pylist():
-            if x not in seen:
-                seen.append(x)
-        number = np.array([seen.index(x) for x in names.to_pylist()] or [0], np.int32)
-        held.append((number[lang], a, b))
-        size += len(a)
+        held.append((a[own], b[own]))
+        size += len(held[-1][0])
         if size >= PAIRS:
-            yield from counted(held)
+            yield counted(held)
             held, size = [], 0
     if size:
-        yield from counted(held)
+        yield counted(held)
+
+
+def _sent_pairs(groups: DataFrame) -> tuple:
+    """What ``_next_relation`` needs of the groups: (firsts, seconds, keys, ids), all but the ids sorted; made once for all tasks."""
+    known = groups.select("a", "b", "id").toArrow()
+
+    def numbers(name):
+        coded = known.column(name).combine_chunks().dictionary_encode()
+        values = coded.dictionary.to_numpy()
+        order = np.argsort(values)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return values[order], rank[coded.indices.to_numpy()]
+
+    firsts, key = numbers("a")
+    seconds, b = numbers("b")
+    key *= max(len(seconds), 1)
+    key += b
+    order = np.argsort(key)
+    return firsts, seconds, key[order], known.column("id").to_numpy()[order]
 
 
 def _next_relation(sent):
-    """Occurrences of the sent groups (a, b, id, sorted) among the pairs side by side."""
+    """Occurrences of the sent groups, those of ``_sent_pairs``, among the pairs side by side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_a, g_b, g_id = sent.value
-        firsts, begin = np.unique(g_a, return_index=True)
-        seconds = np.unique(g_b)
-        key = np.searchsorted(firsts, g_a) * np.int64(max(len(seconds), 1)) + np.searchsorted(seconds, g_b)
+        firsts, seconds, key, g_id = sent.value
         for batch in _runs(batches):
-            _, whose, _, pos, a, b = _adjacent(batch)
+            whose, pos, a, b = _adjacent(batch)
             keep, ids = np.zeros(0, np.int64), np.zeros(len(a), np.int64)
             if len(key):
                 i = np.minimum(np.searchsorted(firsts, a), len(firsts) - 1)
@@ -229,9 +249,9 @@ def _next_relation(sent):
 def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every two occurrences side by side as a row."""
     for batch in _runs(batches):
-        names, whose, lang, pos, a, b = _adjacent(batch)
+        whose, pos, a, b = _adjacent(batch)
         row = pa.array(whose)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), batch.column("doc").take(row), batch.column("end").take(row),
+        yield pa.RecordBatch.from_arrays([batch.column("lang").take(row), batch.column("doc").take(row), batch.column("end").take(row),
                                           pa.array(pos), pa.array(a), pa.array(b)], ["lang", "doc", "end", "pos", "a", "b"])
 
 
@@ -242,12 +262,6 @@ def _regrouped(flat_rows: DataFrame, groups: DataFrame, keys: list[str], n: int)
     return met.groupBy("lang", "doc", "end").agg(sides).select("lang", "doc", "end", F.col("o.pos").alias("pos"), F.col("o.id").alias("id"))
 
 
-def _sorted_columns(rows: list, names: list[str]) -> list[np.ndarray]:
-    cols = [np.array([r[c] for r in rows], np.int64) for c in names]
-    order = np.lexsort((cols[1], cols[0]))
-    return [c[order] for c in cols]
-
-
 def _frequent(counts: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:
     """Groups with ``min_count`` occurrences or more, each with an id of its own."""
     return written(counts.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
@@ -258,9 +272,9 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     """(groups, sizes): the frequent phrases of 1 to ``max_words`` words, a table for each length, and
     lang, n: the words of each lang.
 
-    Tables have lang, id and f (occurrences); that of single words has word,
+    Tables have id and f (occurrences); that of single words has lang and word,
     the others a and b, the ids of the phrases without the last and the first
-    word."""
+    word, which are of one lang."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     counted = written(rows.mapInArrow(_count_words, "lang string, word string, n long")
@@ -271,26 +285,24 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     n, size = groups[0].agg(F.count(F.lit(1)), F.sum(F.octet_length("word") + F.octet_length("lang") + 8)).first()
     keyed = rows.withColumn("doc", F.monotonically_increasing_id())
     if (size or 0) <= GROUP_BYTES:
-        known = groups[0].toArrow()
-        column = lambda c: known.column(c).combine_chunks()
-        sent = spark.sparkContext.broadcast((column("lang").cast(pa.string()), column("word").cast(pa.large_string()), column("id").to_numpy()))
+        sent = spark.sparkContext.broadcast(_sent_words(groups[0]))
         relation = written(keyed.mapInArrow(_first_relation(sent, max_words), OCCURRENCES), "occurrences")
     else:
         flat_rows = written(keyed.mapInArrow(_all_words(max_words), "lang string, doc long, end int, pos int, word string"), "positions")
         relation = written(_regrouped(flat_rows, groups[0], ["lang", "word"], n), "occurrences")
         remove(flat_rows)
     for k in range(2, max_words + 1):
-        pairs = relation.mapInArrow(_count_pairs, "lang string, a long, b long, n long")
-        groups.append(_frequent(pairs, ["lang", "a", "b"], min_count, "groups"))
+        pairs = relation.mapInArrow(_count_pairs, "a long, b long, n long")
+        groups.append(_frequent(pairs, ["a", "b"], min_count, "groups"))
         n = groups[-1].count()
         if k == max_words:
             break
-        if n * 24 <= GROUP_BYTES:
-            sent = spark.sparkContext.broadcast(_sorted_columns(groups[-1].select("a", "b", "id").collect(), ["a", "b", "id"]))
+        if n * PAIR_BYTES <= GROUP_BYTES:
+            sent = spark.sparkContext.broadcast(_sent_pairs(groups[-1]))
             after = written(relation.mapInArrow(_next_relation(sent), OCCURRENCES), "occurrences")
         else:
             flat_rows = relation.mapInArrow(_all_pairs, "lang string, doc long, end int, pos int, a long, b long")
-            after = written(_regrouped(flat_rows, groups[-1], ["lang", "a", "b"], n), "occurrences")
+            after = written(_regrouped(flat_rows, groups[-1], ["a", "b"], n), "occurrences")
         remove(relation)
         relation = after
     remove(relation)
@@ -311,10 +323,10 @@ def _scored(groups: list[DataFrame], scale: int) -> list[DataFrame]:
                               F.array().cast("array<struct<len:int,id:long>>").alias("subs"))]
     out = []
     for k in range(2, len(groups) + 1):
-        part, n = written(known[-1], "phrases"), groups[k - 2].count()
-        side = lambda s: part.select(F.col("id").alias(s), F.struct("phrase", "last", "a", "left", "right", "subs").alias(f"{s}_"))
-        met = lookup(groups[k - 1], side("a"), ["a"], F.col("b"), n, "inner")
-        met = lookup(met, side("b"), ["b"], F.col("a"), n, "inner")
+        part, n, n_new = written(known[-1], "phrases"), groups[k - 2].count(), groups[k - 1].count()
+        side = lambda s: part.select(F.col("id").alias(s), F.struct("lang", "phrase", "last", "a", "left", "right", "subs").alias(f"{s}_"))
+        met = lookup(groups[k - 1], side("a"), ["a"], F.col("b"), n, "inner", n_new)
+        met = lookup(met, side("b").withColumn("b_", F.col("b_").dropFields("lang", "phrase", "left")), ["b"], F.col("a"), n, "inner", n_new)
         # f of the first 1..k-1 words, and of the last 1..k-1
         left = F.concat("a_.left", F.array("a_.a"))
         right = F.concat("b_.right", F.array("b_.a"))
@@ -322,7 +334,7 @@ def _scored(groups: list[DataFrame], scale: int) -> list[DataFrame]:
         if k > 2:
             inside = F.array_union(inside, F.array(F.struct(F.lit(k - 1).alias("len"), F.col("a").alias("id")),
                                                    F.struct(F.lit(k - 1).alias("len"), F.col("b").alias("id"))))
-        new = met.select("lang", "id", F.concat_ws(" ", "a_.phrase", "b_.last").alias("phrase"), F.col("b_.last").alias("last"),
+        new = met.select("a_.lang", "id", F.concat_ws(" ", "a_.phrase", "b_.last").alias("phrase"), F.col("b_.last").alias("last"),
                          F.col("f").alias("a"), left.alias("left"), right.alias("right"), inside.alias("subs"))
         known.append(new)
         cuts = []
@@ -354,7 +366,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     longer = (every.select(F.col("a").alias("more"), F.explode("subs").alias("s"))
               .groupBy(F.col("s.len").alias("len"), F.col("s.id").alias("id")).agg(F.max("more").alias("more")))
     covered = F.coalesce(_exact(F.col("more")) * 100 >= _exact(F.col("a")) * cover, F.lit(False))
-    kept = every.join(longer, ["len", "id"], "left").filter(~covered).select("lang", "phrase", "a", "l", "r", "score")
+    kept = every.join(longer.hint("merge"), ["len", "id"], "left").filter(~covered).select("lang", "phrase", "a", "l", "r", "score")
     first = numbered(kept, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], "ranks").filter(F.col("slot") < top)
     sizes = written(sizes, "sizes")
     return lookup(first, sizes, ["lang"], F.col("phrase"), sizes.count()).select(

@@ -78,6 +78,26 @@ def test_collocations_keep_the_first_of_ties(spark):
     assert collocations.collocations(spark.createDataFrame([(1, None, None), (2, "", "")], df.schema)).collect() == []
 
 
+def test_phrases_are_joined_without_the_driver(spark, phrase_docs, monkeypatch):
+    """Spark broadcast tables of phrases that it had sized before they were repeated or exploded."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(*r, "x", 1) for r in phrase_docs], "doc_id long, text string, lang string, word string, end int")
+    groups, _ = collocations.mine(df, 3, 6)
+    for found in collocations._scored(groups, 100):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_sent_as_numbers(spark):
+    """Groups went to the tasks as rows of the driver, up to 1.4 million; phrases of a large table were then all shuffled."""
+    assert 5_000_000 * collocations.PAIR_BYTES <= collocations.GROUP_BYTES
+    rows = [(7, 2, 10), (1 << 40, 2, 11), (7, 1 << 35, 12), (3, 5, 13)]
+    firsts, seconds, key, ids = collocations._sent_pairs(spark.createDataFrame(rows, "a long, b long, id long"))
+    assert (firsts.tolist(), seconds.tolist()) == ([3, 7, 1 << 40], [2, 5, 1 << 35])
+    assert sorted(zip(key.tolist(), ids.tolist())) == list(zip(key.tolist(), ids.tolist())) == [(1, 13), (3, 10), (5, 12), (6, 11)]
+    none = collocations._sent_pairs(spark.createDataFrame([], "a long, b long, id long"))
+    assert [len(x) for x in none] == [0, 0, 0, 0]
+
+
 # --- filter audit --------------------------------------------------------------------------------
 
 def brute_audit(rows, labels):
