@@ -101,6 +101,39 @@ def test_greedy_matches_definition(spark, partitions):
         assert got == want[2]
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_small_searches_take_one_task_and_few_jobs(spark, monkeypatch, kind):
+    """Each step of a search was a job, however few its records."""
+    import random
+    rng, nj, nt, rows = random.Random(11), 4, 6, []
+    for w in range(3):
+        for r in range(60):
+            ls, ps = [], []
+            for _ in range(nj):
+                first, n = rng.randint(0, nt), rng.randint(0, 3)
+                ls.append(None if first == nt else rng.randint(1, 9))
+                ps += [None if t < first else 1 / (1 + n + (t - first) // 2) for t in range(nt)]
+            rows.append((w, r, [x if x is None or kind == "long" else f"l{x}" for x in ls], ps, nt))
+    rows.append((5, 1, [None] * nj, [None] * (nj * nt), nt))  # a search without proposals has no result
+    g = spark.createDataFrame(rows, f"w int, id_r long, ls array<{kind}>, ps array<double>, nt int").repartition(3).cache()
+    sc = spark.sparkContext
+    sc.setJobGroup(f"small {kind}", "small")
+    small = G.run_greedy_many(g, 0.5)
+    jobs = len(sc.statusTracker().getJobIdsForGroup(f"small {kind}"))
+    sc.setJobGroup(f"steps {kind}", "steps")
+    monkeypatch.setattr(G, "TASK_BYTES", 0)
+    steps = G.run_greedy_many(g, 0.5)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(small) == sorted(steps) == [0, 1, 2]
+    most = max(len(x.selected) for x in steps.values())
+    assert most > 8 and jobs < most
+    for w, want in steps.items():
+        got = small[w]
+        assert (got.selected, got.n_keep) == (want.selected, want.n_keep)
+        assert got.precision == pytest.approx(want.precision) and got.last_precision == pytest.approx(want.last_precision)
+        assert [(h["j"], h["t"], h["n"]) for h in got.history] == [(h["j"], h["t"], h["n"]) for h in want.history]
+
+
 def test_ball_count_hand_value(spark):
     dist = spark.createDataFrame(
         [("LL", 11, 100, "x", 0.1), ("LL", 12, 100, "x", 0.3), ("LL", 13, 100, "x", 0.5),
