@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,37 @@ def test_attached_records_are_those_of_two_joins(spark, monkeypatch, cell):
     assert "Join" not in plan(got)
 
 
+@pytest.mark.parametrize("share", [1, 4, 1 << 40])
+def test_best_pairs_by_matrix_are_those_of_single_matches(monkeypatch, share):
+    """Every match of every pair was a number of its own, though most are of a few tokens."""
+    monkeypatch.setattr(B, "HOT_SHARE", share)
+    rng, found = np.random.default_rng(share), 0
+    for trial in range(60):
+        n_left, n_right, n_tok = int(rng.integers(2, 40)), int(rng.integers(1, 12)), int(rng.integers(2, 25))
+        k = int(rng.integers(1, n_left))
+        lists = []
+        for n in (n_left, n_right):  # tokens of a record may repeat, weights be nothing or less
+            held = [rng.integers(0, n_tok + len(lists), rng.integers(1, 8)) for _ in range(n)]
+            tok = np.concatenate(held)
+            lists.append((np.concatenate([[0], np.cumsum([len(x) for x in held])]), tok, rng.choice([-0.5, 0.0, 0.25, 0.5, 1.5], len(tok))))
+        want = {}
+        for r in range(n_right):
+            n, w = np.zeros(n_left, int), np.zeros(n_left)
+            for l in range(n_left):
+                for i in range(lists[0][0][l], lists[0][0][l + 1]):
+                    for j in range(lists[1][0][r], lists[1][0][r + 1]):
+                        if lists[0][1][i] == lists[1][1][j]:
+                            n[l] += 1
+                            w[l] += lists[0][2][i] * lists[1][2][j]
+            met = np.flatnonzero(n)
+            least = np.sort(w[met])[-k] if len(met) >= k else -np.inf
+            want.update({(int(l), r): (int(n[l]), round(float(w[l]), 9)) for l in met if w[l] >= least - 2e-10})
+        got = [x for part in B._best_runs(lists, n_left, k) for x in zip(*(c.tolist() for c in part))]
+        assert len(got) == len(want) and {(l, r): (n, round(w, 9) + 0.0) for l, r, n, w in got} == {p: (n, w + 0.0) for p, (n, w) in want.items()}
+        found += len(got)
+    assert found > 1000
+
+
 def test_few_rules_are_broadcast(spark):
     sets = spark.createDataFrame([(1, ["red", "car"]), (2, ["blue", "car"])], "id long, toks array<string>")
     pairs = spark.createDataFrame([(1, 2), (1, 1)], "id_l long, id_r long")

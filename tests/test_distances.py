@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fuzzyspark.functions import distances as D
 from fuzzyspark.functions.distances import _runs, jaro_distance, jaro_winkler_similarities
 from fuzzyspark.operators.pairs import PairSpace
 from fuzzyspark.operators.space import JoinFunction, resolve
@@ -141,3 +142,20 @@ def test_embedding_distances(spark):
                      embed_l2_distance(F.col("a"), F.col("b")).alias("e")).collect()
     assert rows[0]["c"] == pytest.approx(1.0) and rows[0]["e"] == pytest.approx(math.sqrt(2))
     assert rows[1]["c"] == pytest.approx(0.0) and rows[1]["e"] == pytest.approx(0.0)
+
+
+def test_shared_tokens_are_found_once_a_pair(spark):
+    """The intersection was evaluated for each of its three sums, and the weight of a token three times."""
+    prof = "struct<tk:array<bigint>,dup:map<bigint,int>,n:int,s:double,nrm:double>"
+    code = lambda number, df: (number << D.DF_BITS) | df
+    x, y, z = code(1, 3), code(2, 1), code(3, 7)
+    rows = [(([x, y], {}, 2, 1.0, 1.0), ([y, x, z], {}, 3, 1.0, 1.0)), (([x, y], {x: 4}, 2, 1.0, 1.0), ([x], {x: 2}, 1, 1.0, 1.0)),
+            (([z], {}, 1, 1.0, 1.0), ([x], {}, 1, 1.0, 1.0)), (None, ([x], {}, 1, 1.0, 1.0))]
+    df = spark.createDataFrame(rows, f"l {prof}, r {prof}")
+    got = df.select(D.pair_stats(F.col("l"), F.col("r"), True, 10).alias("s"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") <= 1
+    w = {c: math.log(10 / (n + 1)) for c, n in ((x, 3), (y, 1), (z, 7))}
+    a, b, c, d = (r["s"] for r in got.collect())
+    assert (a["ni"], a["I"], a["dot"]) == (2, pytest.approx(w[x] + w[y]), pytest.approx(w[x] ** 2 + w[y] ** 2))
+    assert (b["ni"], b["I"], b["dot"]) == (1, pytest.approx(w[x]), pytest.approx(8 * w[x] ** 2))
+    assert (c["ni"], c["I"], c["dot"]) == (0, 0.0, 0.0) and d["I"] is None
