@@ -358,3 +358,17 @@ def test_quality_pieces_are_small(rows):
         tracemalloc.stop()
     assert texts.nbytes > 8 << 20 and sum(map(len, votes)) == len(texts)
     assert peak < 80 << 20
+
+
+def test_a_walk_looks_products_up(monkeypatch):
+    """Every step of a walk gathered the vectors it met and multiplied them again."""
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((5, 8))
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:13]
+    monkeypatch.setattr(hnsw.np, "einsum", None)
+    ids, sims = hnsw.beam_search(x, near, q, np.tile(np.arange(0, 300, 10), (5, 1)), 64)
+    assert (np.diff(sims, axis=1) <= 0).all()
+    for i in range(5):
+        assert np.allclose(sims[i], x[ids[i]] @ q[i]) and len(set(ids[i].tolist())) == 64
+    want = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert sum(len(set(a) & set(b)) for a, b in zip(want.tolist(), ids[:, :10].tolist())) >= 45
